@@ -1,0 +1,4 @@
+"""Queries over the supplied tables, one per operator, with equivalent SQL where there is one."""
+
+from . import q_rows  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401

@@ -6,6 +6,7 @@ are taken by explicit paths, so no schema is inferred from file contents.
 
 from __future__ import annotations
 
+import fnmatch
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,37 +27,46 @@ CONFIGS = ("config.resolved.json", "config.json")
 SUMMARY_NAME = r"^(.+)_summary_(\d{8}_\d{6})\.json$"
 
 
-def _glob(names: tuple[str, ...]) -> str:
-    return "{" + ",".join(names) + "}"
+def _listing(df: DataFrame, path: Column, root: str, globs: tuple[str, ...], *keep: str) -> DataFrame:
+    """Add (rel, dir, name) and keep the files whose name matches one of the globs.
+
+    Folders written by Spark count as files: ``a/leaf=x/file=report.json/part-0`` is
+    ``a/x/report.json``.
+    """
+    below = F.regexp_replace(path, "^.*?" + re.escape(root.rstrip("/")) + "/", "")
+    rel = F.regexp_replace(F.regexp_replace(below, r"/part-[^/]*$", ""), r"(^|/)[A-Za-z_]+=", "$1")
+    named = df.select(rel.alias("rel"), *keep).withColumns(
+        {"dir": F.regexp_replace("rel", r"/?[^/]*$", ""), "name": F.substring_index("rel", "/", -1)}
+    )
+    pattern = "^(?:" + "|".join(fnmatch.translate(g) for g in globs) + ")"
+    return named.filter(F.regexp_like("name", F.lit(pattern)))
 
 
-def _relative(path: Column, root: str) -> Column:
-    """Path below the results root."""
-    return F.regexp_replace(path, "^.*?" + re.escape(root.rstrip("/")) + "/", "")
+def _file_filter(globs: tuple[str, ...]) -> str:
+    return "{" + ",".join([*globs, "part-*"]) + "}"
 
 
-def list_files(spark: SparkSession, root: str, glob: str) -> DataFrame:
+def list_files(spark: SparkSession, root: str, *globs: str) -> DataFrame:
     """(rel, dir, name, length) of the files below ``root``; contents are never read."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
+        .option("pathGlobFilter", _file_filter(globs))
         .load(root)
-        .select(_relative(F.col("path"), root).alias("rel"), "length")
     )
-    return files.withColumns({"dir": F.regexp_replace("rel", r"/?[^/]*$", ""), "name": F.substring_index("rel", "/", -1)})
+    return _listing(files, F.col("path"), root, globs, "length").distinct()
 
 
-def read_texts(spark: SparkSession, root: str, glob: str) -> DataFrame:
+def read_texts(spark: SparkSession, root: str, *globs: str) -> DataFrame:
     """(rel, dir, name, body) of small text files below ``root``."""
     texts = (
         spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
+        .option("pathGlobFilter", _file_filter(globs))
         .option("wholetext", True)
         .text(root)
-        .select(_relative(F.col("_metadata.file_path"), root).alias("rel"), F.col("value").alias("body"))
+        .select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("body"))
     )
-    return texts.withColumns({"dir": F.regexp_replace("rel", r"/?[^/]*$", ""), "name": F.substring_index("rel", "/", -1)})
+    return _listing(texts, F.col("_path"), root, globs, "body").filter("length(body) > 0")
 
 
 def ancestors(path: Column) -> Column:
@@ -75,7 +85,7 @@ def discover_runs(spark: SparkSession, root: str) -> DataFrame:
     it: scored folders name their ancestors, so this is an equi join.
     """
     markers = SCORING + EXTRA + FILES
-    found = list_files(spark, root, _glob(markers))
+    found = list_files(spark, root, *markers)
     dirs = found.groupBy("dir").agg(F.array_sort(F.collect_set("name")).alias("markers"))
     has = lambda names: F.arrays_overlap("markers", F.array(*[F.lit(n) for n in names]))
     runs = dirs.filter(has(SCORING) | has(("run_manifest.json",))).filter(
@@ -107,7 +117,7 @@ def discover_runs(spark: SparkSession, root: str) -> DataFrame:
 def discover_experiments(spark: SparkSession, root: str, *, max_depth: int = 5) -> DataFrame:
     """Experiment folders at most ``max_depth`` below the root; the first match on a path wins."""
     wanted = ("predictions.csv", "full_predictions.json", "report.json", "full_metadata.json", SKIPPED)
-    dirs = list_files(spark, root, _glob(wanted)).groupBy("dir").agg(F.collect_set("name").alias("names"))
+    dirs = list_files(spark, root, *wanted).groupBy("dir").agg(F.collect_set("name").alias("names"))
     has = lambda n: F.array_contains("names", n)
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(F.split("dir", "/")))
     hits = dirs.filter(
@@ -121,7 +131,7 @@ def discover_experiments(spark: SparkSession, root: str, *, max_depth: int = 5)
 def run_documents(spark: SparkSession, root: str) -> DataFrame:
     """One row per folder with the bodies of its JSON files (NULL where absent or not an object)."""
     names = SCORING + EXTRA + CONFIGS
-    texts = read_texts(spark, root, _glob(names))
+    texts = read_texts(spark, root, *names)
     good = F.when(F.startswith(F.ltrim("body"), F.lit("{")) & F.get_json_object("body", "$").isNotNull(), F.col("body"))
     return texts.groupBy("dir").agg(*[F.max(F.when(F.col("name") == n, good)).alias(_key(n)) for n in names])
 
@@ -223,7 +233,7 @@ def read_run_records(spark: SparkSession, root: str) -> DataFrame:
 def load_table(spark: SparkSession, root: str, preds: DataFrame | None = None) -> DataFrame:
     """Load status of every experiment folder: what is there, row counts, warnings and errors."""
     found = discover_experiments(spark, root)
-    texts = read_texts(spark, root, _glob(("report.json", "config.resolved.json")))
+    texts = read_texts(spark, root, "report.json", "config.resolved.json")
     valid = F.get_json_object("body", "$").isNotNull() & F.startswith(F.ltrim("body"), F.lit("{"))
     state = texts.groupBy(F.col("dir").alias("run_dir")).agg(
         *[
@@ -231,12 +241,12 @@ def load_table(spark: SparkSession, root: str, preds: DataFrame | None = None) -
             for n, c in (("report.json", "report_ok"), ("config.resolved.json", "config_ok"))
         ]
     )
-    files = list_files(spark, root, _glob(("predictions.csv", "full_predictions.json"))).groupBy(
+    files = list_files(spark, root, "predictions.csv", "full_predictions.json").groupBy(
         F.col("dir").alias("run_dir")
     ).agg(F.lit(True).alias("pred_file"))
     out = found.join(state, "run_dir", "left").join(files, "run_dir", "left")
     if preds is not None:
-        rows = preds.groupBy(_relative(F.col("run_dir"), root).alias("run_dir")).agg(F.count(F.lit(1)).alias("n_rows_predictions"))
+        rows = preds.groupBy(F.regexp_replace("run_dir", "^.*?" + re.escape(root.rstrip("/")) + "/", "").alias("run_dir")).agg(F.count(F.lit(1)).alias("n_rows_predictions"))
         out = out.join(rows, "run_dir", "left")
     else:
         out = out.withColumn("n_rows_predictions", F.lit(None).cast("bigint"))
@@ -427,7 +437,7 @@ def read_metrics_csv(spark: SparkSession, root: str, series: str = "hf_llms_comp
     """S13, fourth layout: ``metrics_<stamp>.csv`` with one row per dataset and model; the vote row is dropped."""
     base = f"{root.rstrip('/')}/{series}"
     stamp_of = lambda c: F.regexp_extract(c, f"({STAMP})", 1)
-    files = list_files(spark, base, "{metrics_*.csv,summary_*.json,predictions_long_*.csv}").withColumn("stamp", stamp_of("name"))
+    files = list_files(spark, base, "metrics_*.csv", "summary_*.json", "predictions_long_*.csv").withColumn("stamp", stamp_of("name"))
     have = files.groupBy("stamp").agg(
         F.bool_or(F.startswith("name", F.lit("summary_"))).alias("has_summary"),
         F.bool_or(F.startswith("name", F.lit("predictions_long_"))).alias("has_preds"),
@@ -496,7 +506,7 @@ LEGACY = {
 
 def series_in(spark: SparkSession, root: str) -> list[str]:
     """First-level folder names below the results root that hold any result file."""
-    files = list_files(spark, root, "*.{json,csv}")
+    files = list_files(spark, root, "*.json", "*.csv")
     top = files.select(F.substring_index("rel", "/", 1).alias("s")).distinct()
     return sorted(r["s"] for r in top.limit(10_000).collect())
 
