@@ -101,7 +101,7 @@ preds AS (SELECT 'train_' || doc_id AS sample_id, 'run_' || r AS run_id, 'docume
   lang AS true_label,
   CASE WHEN h < 4 THEN NULL WHEN h < 62 + 6*r THEN lang ELSE {NEXT.format('lang')} END AS pred_label,
   (h % 21)::DOUBLE / 20.0 AS confidence, h % 17 = 0 AS is_confusing,
-  CASE WHEN h % 17 = 0 THEN h % 3 ELSE 1 END AS n_pred_labels,
+  (CASE WHEN h % 17 = 0 THEN h % 3 ELSE 1 END)::INTEGER AS n_pred_labels,
   40 + doc_id % 9 AS in_tokens, 5 + h % 4 AS out_tokens, doc_id, r, h, source, n_chars FROM base)"""
 
 # correctness after the scalar clean-up, as the row rule states it

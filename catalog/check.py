@@ -71,7 +71,7 @@ def main() -> int:
     picked = [n for n in QUERIES if not names or any(n.startswith(x) for x in names)]
     spark = (
         SparkSession.builder.master("local[8]").appName("check").config("spark.sql.shuffle.partitions", "8")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

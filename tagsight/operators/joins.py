@@ -141,9 +141,11 @@ def select_ids(df: DataFrame, ids: DataFrame, key: str = "sample_id") -> DataFra
     return df.join(ids.select(key), key, "left_semi")
 
 
-def select_in_order(df: DataFrame, ids: list[str], key: str = "sample_id") -> DataFrame:
-    """Rows in the order of ``ids``; fails when one is missing."""
-    wanted = df.sparkSession.createDataFrame(list(enumerate(ids)), f"position bigint, {key} string")
+def select_in_order(df: DataFrame, ids: list[str] | DataFrame, key: str = "sample_id") -> DataFrame:
+    """Rows in the order of ``ids``, a list or a table (position, id); fails when one is missing."""
+    wanted = ids
+    if isinstance(ids, list):
+        wanted = df.sparkSession.createDataFrame(list(enumerate(ids)), f"position bigint, {key} string")
     missing = wanted.join(df.select(key), key, "left_anti").orderBy("position").limit(5).collect()
     if missing:
         raise KeyError(f"ids not found: {[r[key] for r in missing]}")
