@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..plans.lineage import durable
 from ..plans.order import exact_quantiles, join_on, value_ranks
 from .calibration import roc_auc, spearman
 from .metrics import detection_metrics
@@ -54,17 +55,25 @@ def average_rank(df: DataFrame, *, by: list[str], score: str, id_col: str) -> Da
 
 
 def robust_z(df: DataFrame, cols: list[str]) -> DataFrame:
-    """``(x - median) / (1.4826 MAD)``; a zero MAD falls back to the deviation, then to 1."""
-    out = df
-    for c in cols:
-        med = exact_quantiles(df, by=[], value=c, probs={"m": 0.5}).scalar()
-        dev = df.select(F.abs(F.col(c) - med).alias("d"))
-        mad = exact_quantiles(dev, by=[], value="d", probs={"m": 0.5}).scalar()
-        std = df.agg(F.stddev_pop(c)).scalar()
-        spread = F.when(mad > 0, 1.4826 * mad).otherwise(std)
-        scale = F.when(F.coalesce(spread, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(spread)
-        out = out.withColumn(f"{c}_z", (F.col(c) - med) / scale)
-    return out
+    """``(x - median) / (1.4826 MAD)``; a zero MAD falls back to the deviation, then to 1.
+
+    The columns are stacked so that one job finds all medians and a second one all
+    deviations; only those figures reach the driver.
+    """
+    def stacked(expr) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(c).alias("c"), expr(c).cast("double").alias("v")) for c in cols])
+        return df.select(F.inline(pairs))
+
+    def medians(rows: DataFrame) -> dict[str, float]:
+        found = exact_quantiles(rows, by=["c"], value="v", probs={"m": 0.5})
+        return {r["c"]: r["m"] for r in found.collect()}
+
+    med = medians(stacked(F.col))
+    mad = medians(stacked(lambda c: F.abs(F.col(c) - F.lit(med.get(c)))))
+    flat = [c for c in cols if not mad.get(c)]
+    std = df.agg(*[F.stddev_pop(c).alias(c) for c in flat]).first().asDict() if flat else {}
+    scale = {c: 1.4826 * mad[c] if mad.get(c) else (std.get(c) or 1.0) for c in cols}
+    return df.withColumns({f"{c}_z": (F.col(c) - F.lit(med.get(c))) / F.lit(scale[c]) for c in cols})
 
 
 def token_prior(corpus: DataFrame, *, text: str = "text") -> DataFrame:
@@ -102,7 +111,8 @@ def prior_stats(docs: DataFrame, priors: DataFrame, *, id_col: str = "sample_id"
 
 def prior_score(docs: DataFrame, priors: DataFrame, *, id_col: str = "sample_id", text: str = "text") -> DataFrame:
     """Norm of the robust scores of mean and deviation of the token priors, with its quintile."""
-    z = robust_z(prior_stats(docs, priors, id_col=id_col, text=text), ["prior_mu", "prior_sigma"])
+    stats = durable(prior_stats(docs, priors, id_col=id_col, text=text))  # read by three passes
+    z = robust_z(stats, ["prior_mu", "prior_sigma"])
     scored = z.withColumn("prior_score", F.sqrt(F.col("prior_mu_z") ** 2 + F.col("prior_sigma_z") ** 2))
     return quintiles(scored, by=[], score="prior_score", id_col=id_col)
 
@@ -201,6 +211,7 @@ def jaccard_summary(pairs: DataFrame, by: list[str] | None = None) -> DataFrame:
 def method_summary(df: DataFrame, *, score: str = "score", truth: str = "is_corrupted", id_col: str = "sample_id") -> DataFrame:
     """Per method AUC, rank correlation, class means, rates per group and quality of the top quintile."""
     by = ["method"]
+    df = durable(df)  # read by four aggregations
     t = F.col(truth)
     base = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
