@@ -1,4 +1,4 @@
 """Queries over the supplied tables, one per operator, with equivalent SQL where there is one."""
 
-from . import q_models, q_ranks, q_rows, q_scores  # noqa: F401
+from . import q_models, q_ranks, q_rows, q_scores, q_sources  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

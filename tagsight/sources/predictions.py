@@ -109,10 +109,10 @@ def read_predictions(
         body = spark.read.text(list(json_paths), wholetext=True).select(
             "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("size")
         )
-        rows = F.coalesce(
-            F.from_json("value", f"array<{row}>"),
-            F.from_json("value", f"struct<predictions:array<{row}>>")["predictions"],
-        )
+        # from_json turns a lone object into a one-element array, so the shape is told apart first
+        rows = F.when(
+            F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", f"array<{row}>")
+        ).otherwise(F.from_json("value", f"struct<predictions:array<{row}>>")["predictions"])
         flat = body.filter(F.col("size") <= max_bytes).select(run_dir_of(F.col("f")).alias("run_dir"), F.inline(rows))
         parts.append(harmonise(flat))
     if not parts:

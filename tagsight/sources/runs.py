@@ -24,6 +24,7 @@ FILES = ("predictions.csv", "full_predictions.json", "summary.json")
 STAMP = r"\d{8}_\d{6}"
 SKIPPED = "full_predictions_skipped.txt"
 CONFIGS = ("config.resolved.json", "config.json")
+CSV_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 SUMMARY_NAME = r"^(.+)_summary_(\d{8}_\d{6})\.json$"
 
 
@@ -62,13 +63,19 @@ def read_texts(spark: SparkSession, root: str, *globs: str) -> DataFrame:
     texts = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", _file_filter(globs))
-        .option("wholetext", True)
-        .text(root)
+        .text(root, wholetext=True)
         .select(F.col("_metadata.file_path").alias("_path"), F.col("value").alias("body"))
     )
     return _listing(texts, F.col("_path"), root, globs, "body").filter("length(body) > 0")
 
 
+def in_series(files: DataFrame, series: str) -> DataFrame:
+    """Files of one first-level folder, with paths relative to it."""
+    prefix = f"{series}/"
+    cut = lambda c: F.when(F.col(c) == series, "").otherwise(F.substring(c, len(prefix) + 1, 1 << 20))
+    return files.filter(F.startswith("rel", F.lit(prefix))).withColumns({"rel": cut("rel"), "dir": cut("dir")})
+
+
 def ancestors(path: Column) -> Column:
     """All proper parent folders of a relative path."""
     parts = F.split(path, "/")
@@ -303,7 +310,7 @@ def aggregate_reports(docs: DataFrame, *, key: str = "run_dir", report: str = "r
 def read_tier_rows_summary(spark: SparkSession, root: str, *, series: str = "reasoning_spectrum") -> DataFrame:
     """The ``tiers`` list of every summary as run rows; the score is a set hit rate, so named."""
     tier = "struct<tier:string,name:string,model_id:string,top1_accuracy:double,gold_in_set_rate:double,elapsed_s:double>"
-    body = read_texts(spark, f"{root.rstrip('/')}/{series}", "summary.json").withColumn(
+    body = in_series(read_texts(spark, root, "summary.json"), series).withColumn(
         "tiers", F.from_json(F.get_json_object("body", "$.tiers"), f"array<{tier}>")
     )
     rows = body.select("dir", "body", F.inline("tiers"))
@@ -370,13 +377,12 @@ def _legacy(rows: DataFrame, **cols: Column) -> DataFrame:
 
 def read_result_list(spark: SparkSession, root: str, series: str = "mvp4_results") -> DataFrame:
     """S13, first layout: a JSON list of results next to ``preds_*.csv`` files."""
-    base = f"{root.rstrip('/')}/{series}"
     item = (
         "struct<dataset:string,model_family:string,model:string,train_n:double,test_n:double,accuracy:double,"
         "macro_f1:double,fit_seconds:double,infer_seconds:double>"
     )
-    rows = read_texts(spark, base, "mvp4_final_results.json").select(F.inline(F.from_json("body", f"array<{item}>")))
-    stems = list_files(spark, base, "preds_*.csv").select(
+    rows = in_series(read_texts(spark, root, "mvp4_final_results.json"), series).select(F.inline(F.from_json("body", f"array<{item}>")))
+    stems = in_series(list_files(spark, root, "preds_*.csv"), series).select(
         F.regexp_replace(F.regexp_replace("name", r"\.csv$", ""), "^preds_", "").alias("stem")
     )
     names = stems.agg(F.array_sort(F.collect_set("stem"))).scalar()
@@ -403,10 +409,9 @@ def read_result_list(spark: SparkSession, root: str, series: str = "mvp4_results
 
 def read_summaries(spark: SparkSession, root: str, series: str) -> DataFrame:
     """S13, second and third layout: ``*_summary_<stamp>.json`` files with paired predictions."""
-    base = f"{root.rstrip('/')}/{series}"
     first = series == "mvp_v1"
-    files = read_texts(spark, base, "mvp_*_summary_*.json" if first else "exp_*_summary_*.json")
-    pairs = pair_preds_for_summary(files, list_files(spark, base, "*.csv")).select("dir", "name", "prefix", "stamp", "csv")
+    files = in_series(read_texts(spark, root, "mvp_*_summary_*.json" if first else "exp_*_summary_*.json"), series)
+    pairs = pair_preds_for_summary(files, in_series(list_files(spark, root, "*.csv"), series)).select("dir", "name", "prefix", "stamp", "csv")
     rows = files.join(pairs, ["dir", "name"], "left")
     stem = F.regexp_replace("name", r"\.json$", "")
     short = F.regexp_replace("prefix", "^mvp_", "") if first else F.col("prefix")
@@ -435,18 +440,26 @@ def read_summaries(spark: SparkSession, root: str, series: str) -> DataFrame:
 
 def read_metrics_csv(spark: SparkSession, root: str, series: str = "hf_llms_comparison") -> DataFrame:
     """S13, fourth layout: ``metrics_<stamp>.csv`` with one row per dataset and model; the vote row is dropped."""
-    base = f"{root.rstrip('/')}/{series}"
     stamp_of = lambda c: F.regexp_extract(c, f"({STAMP})", 1)
-    files = list_files(spark, base, "metrics_*.csv", "summary_*.json", "predictions_long_*.csv").withColumn("stamp", stamp_of("name"))
-    have = files.groupBy("stamp").agg(
+    files = in_series(list_files(spark, root, "summary_*.json", "predictions_long_*.csv"), series)
+    have = files.groupBy(stamp_of("name").alias("stamp")).agg(
         F.bool_or(F.startswith("name", F.lit("summary_"))).alias("has_summary"),
         F.bool_or(F.startswith("name", F.lit("predictions_long_"))).alias("has_preds"),
     )
-    if not files.filter(F.startswith("name", F.lit("metrics_"))).limit(1).count():
-        return run_row(spark.range(0), f1_source=F.lit("f1_macro"))
-    scan = spark.read.csv(f"{base}/metrics_*.csv", header=True).withColumn("stamp", stamp_of(F.col("_metadata.file_name")))
-    num = lambda c: (F.col(c) if c in scan.columns else F.lit(None)).try_cast("double")
-    rows = scan.join(have.filter("has_summary"), "stamp").filter("dataset <> '' AND model <> '' AND model <> 'major_vote'")
+    cells = lambda line: F.transform(F.split(line, CSV_COMMA), lambda x: F.trim(x, F.lit('"')))
+    scan = (
+        in_series(read_texts(spark, root, "metrics_*.csv"), series)
+        .select(stamp_of("name").alias("stamp"), F.filter(F.split("body", r"\r?\n"), lambda x: x != "").alias("lines"))
+        .select("stamp", cells(F.col("lines")[0]).alias("head"), F.explode(F.slice("lines", 2, 1 << 30)).alias("line"))
+        .select("stamp", F.map_from_arrays("head", F.slice(cells(F.col("line")), F.lit(1), F.size("head"))).alias("m"))
+    )
+    field = lambda c: F.try_element_at("m", F.lit(c))
+    num = lambda c: field(c).try_cast("double")
+    rows = (
+        scan.join(have.filter("has_summary"), "stamp")
+        .withColumns({"dataset": field("dataset"), "model": field("model")})
+        .filter("dataset <> '' AND model <> '' AND model <> 'major_vote'")
+    )
     return _legacy(
         rows,
         run_key=F.concat_ws("/", F.lit(series), "stamp", "dataset", "model"), run_dir=F.concat_ws("/", F.lit(series), "stamp"),
@@ -463,11 +476,10 @@ def read_hypotheses(spark: SparkSession, root: str, series: str = "debug_accurac
 
     The file stores an accuracy as macro F1, which ``f1_source`` says.
     """
-    base = f"{root.rstrip('/')}/{series}"
     keys = ("full_accuracy", "report_accuracy", "accuracy_raw_string", "accuracy_canonical_names")
     hyp = "struct<id:string,details:struct<" + ",".join(f"{k}:double" for k in keys) + ",n:double>>"
-    body = read_texts(spark, base, "results.json").filter(F.regexp_like("dir", F.lit(f"^{STAMP}$")))
-    live = list_files(spark, base, "live_*.csv").groupBy("dir").agg(F.lit(True).alias("live"))
+    body = in_series(read_texts(spark, root, "results.json"), series).filter(F.regexp_like("dir", F.lit(f"^{STAMP}$")))
+    live = in_series(list_files(spark, root, "live_*.csv"), series).groupBy("dir").agg(F.lit(True).alias("live"))
     listed = F.from_json(F.get_json_object("body", "$.hypotheses"), f"array<{hyp}>")
     start = F.struct(
         F.lit(None).cast("double").alias("acc"), F.lit(None).cast("double").alias("n"), F.lit(False).alias("stop")

@@ -52,9 +52,7 @@ def id_digest(df: DataFrame, *, key: str = "sample_id", exact_up_to: int = EXACT
             F.count(F.lit(1)).alias("n_rows"),
             F.lit("ids").alias("digest_kind"),
         )
-    width = 2
-    while n / 16**width > exact_up_to / 10 and width < 5:
-        width += 1
+    width = next((w for w in (2, 3, 4, 5) if n / 16**w <= EXACT_DIGEST_ROWS / 10), 6)
     per = df.groupBy(F.substring(F.md5(F.col(key).cast("string")), 1, width).alias("b")).agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n"), 256).alias("d"),
         F.count(F.lit(1)).alias("n"),
