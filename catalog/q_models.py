@@ -321,9 +321,9 @@ def bundle(spark, sf):
 
 
 @query("m19_agreement_bundle_mcnemar", with_(PREDS, GROUPED, """t AS (SELECT group_key, run_a, run_b, count(*) FILTER (pa = true_label AND pb = true_label) AS both_correct, count(*) FILTER (pa = true_label AND pb <> true_label) AS a_only,
-  count(*) FILTER (pa <> true_label AND pb = true_label) AS b_only, count(*) FILTER (pa <> true_label AND pb <> true_label) AS both_wrong FROM sel GROUP BY 1, 2, 3)""", body=f"SELECT *, a_only + b_only AS disagreements, ROUND({MCNEMAR_P}, 7)::DOUBLE AS p_value, 'exact' AS p_method FROM t"))
+  count(*) FILTER (pa <> true_label AND pb = true_label) AS b_only, count(*) FILTER (pa <> true_label AND pb <> true_label) AS both_wrong FROM sel GROUP BY 1, 2, 3)""", body=f"SELECT *, a_only + b_only AS disagreements, ROUND(ROUND({MCNEMAR_P}, 12), 7)::DOUBLE AS p_value, 'exact' AS p_method FROM t"))
 def _(spark, sf):
-    return rounded(bundle(spark, sf)["mcnemar"], 7)
+    return rounded(rounded(bundle(spark, sf)["mcnemar"], 12), 7)
 
 
 @query("m19_agreement_bundle_kappa", with_(PREDS, GROUPED, "m AS (SELECT group_key, run_a, run_b, count(*) AS n_common, avg((pa = pb)::INTEGER) AS observed FROM sel GROUP BY 1, 2, 3)",

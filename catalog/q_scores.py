@@ -154,9 +154,9 @@ MCNEMAR_P = """CASE WHEN a_only = b_only THEN 1.0 ELSE least(1.0, 2 * list_sum(l
 @query("a13_mcnemar", with_(PREDS, PAIRS, COMMON, """t AS (SELECT run_a, run_b, count(*) FILTER (pa = true_label AND pb = true_label) AS both_correct,
   count(*) FILTER (pa = true_label AND pb <> true_label) AS a_only, count(*) FILTER (pa <> true_label AND pb = true_label) AS b_only,
   count(*) FILTER (pa <> true_label AND pb <> true_label) AS both_wrong FROM pairs SEMI JOIN common USING (sample_id) WHERE run_a < run_b GROUP BY 1, 2)""",
-  body=f"SELECT *, a_only + b_only AS disagreements, ROUND({MCNEMAR_P}, 7)::DOUBLE AS p_value, 'exact' AS p_method FROM t"))
+  body=f"SELECT *, a_only + b_only AS disagreements, ROUND(ROUND({MCNEMAR_P}, 12), 7)::DOUBLE AS p_value, 'exact' AS p_method FROM t"))
 def _(spark, sf):
-    return rounded(A.mcnemar(preds(spark, sf)), 7)
+    return rounded(rounded(A.mcnemar(preds(spark, sf)), 12), 7)
 
 
 def vote_sql(order: str, usable: str = "label IS NOT NULL") -> str:

@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 20_000
+SLICE_ROWS = 256
 DIGITS = 12
 
 
@@ -38,33 +39,33 @@ def _kernel(k: int, mode: str, id_type: pa.DataType):
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
-        sims = np.round(_matrix(left, "q_vec") @ _matrix(right, "p_vec").T, DIGITS)
-        q_id = left.column("q_id").to_numpy()
         p_id = right.column("p_id").to_numpy()
-        if mode == "other_label":
-            bad = left.column("q_label").to_numpy()[:, None] == right.column("p_label").to_numpy()[None, :]
-        elif mode == "same_label":
-            bad = left.column("q_label").to_numpy()[:, None] != right.column("p_label").to_numpy()[None, :]
-        elif mode == "other_row":
-            bad = q_id[:, None] == p_id[None, :]
-        else:
-            bad = None
-        if bad is not None:
-            sims[bad] = -np.inf
-        by_id = np.argsort(p_id, kind="stable")
-        sims = sims[:, by_id]
-        kk = min(k, sims.shape[1])
-        # everything at least as good as the k-th value, then a stable cut at k: ties by id
-        kth = -np.partition(-sims, kk - 1, axis=1)[:, kk - 1 : kk]
-        rows, cols = np.nonzero((sims >= kth) & np.isfinite(sims))
-        order = np.lexsort((cols, -sims[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        first = np.searchsorted(rows, rows, side="left")
-        keep = np.arange(len(rows)) - first < kk
-        rows, cols = rows[keep], cols[keep]
-        return pa.table(
-            {"q_id": q_id[rows], "p_id": p_id[by_id][cols], "score": sims[rows, cols]}
-        ).cast(schema)
+        by_id = np.argsort(p_id, kind="stable")  # ties go to the smaller id
+        p_id = p_id[by_id]
+        p_label = right.column("p_label").to_numpy()[by_id]
+        pool = _matrix(right, "p_vec")[by_id].T
+        q_id, q_label = left.column("q_id").to_numpy(), left.column("q_label").to_numpy()
+        queries, kk = _matrix(left, "q_vec"), min(k, len(p_id))
+        found = []
+        for at in range(0, len(q_id), SLICE_ROWS):
+            part = slice(at, at + SLICE_ROWS)
+            sims = np.round(queries[part] @ pool, DIGITS)
+            if mode == "other_label":
+                sims[q_label[part, None] == p_label[None, :]] = -np.inf
+            elif mode == "same_label":
+                sims[q_label[part, None] != p_label[None, :]] = -np.inf
+            elif mode == "other_row":
+                sims[q_id[part, None] == p_id[None, :]] = -np.inf
+            # everything at least as good as the k-th value, then cut at k in (score, id) order
+            kth = -np.partition(-sims, kk - 1, axis=1)[:, kk - 1 : kk]
+            rows, cols = np.nonzero((sims >= kth) & np.isfinite(sims))
+            order = np.lexsort((cols, -sims[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < kk
+            rows, cols = rows[keep], cols[keep]
+            found.append((q_id[part][rows], p_id[cols], sims[rows, cols]))
+        q, p, s = (np.concatenate(x) for x in zip(*found))
+        return pa.table({"q_id": q, "p_id": p, "score": s}).cast(schema)
 
     return block
 

@@ -75,9 +75,11 @@ def find_label_issues(
     )
     margin = F.try_element_at("probs", F.col("other")) - F.try_element_at("probs", F.col(observed))
     # one row per candidate label of the cells that need pruning: at most K-1 per row
-    cand = join_on(df.select(*by, id_col, observed, "probs"), cells, [*by, observed]).withColumn("_margin", -margin)
+    cand = join_on(df.select(*by, id_col, observed, "probs"), cells, [*by, observed]).select(
+        *by, id_col, observed, "other", "quota", (-margin).alias("_margin")
+    )
     ranked = value_ranks(
-        cand.select(*by, id_col, observed, "other", "quota", "_margin"),
+        durable(cand),  # read for the bucket edges, the bucket sizes and the ranks
         by=[*by, observed, "other"], value="_margin", id_col=id_col,
     )
     hits = ranked.filter(F.col("row_rank") <= F.col("quota")).select(*by, id_col).distinct().withColumn(

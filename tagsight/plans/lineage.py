@@ -30,12 +30,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts the lineage and survives the loss of executors."""
+    """Write the rows to the shared folder and read them back.
+
+    Cuts the lineage and survives the loss of executors; unlike a row checkpoint the
+    parquet copy keeps column pruning and known sizes for the plans built on it.
+    """
     spark = df.sparkSession
-    where = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+    path = scratch_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def collect_small(df: DataFrame, cap: int = MAX_DRIVER_ROWS) -> list[Row]:

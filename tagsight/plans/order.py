@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 PREFIX = 2
 EDGES = 32
+TOP_ROWS = 10_000
 _BEFORE = (W.unboundedPreceding, -1)
 
 
@@ -102,11 +103,16 @@ def md5_take(
 
 
 def md5_head(
-    df: DataFrame, n: int, *, seed: int | str, id_col: str = "sample_id"
+    df: DataFrame, n: int, *, seed: int | str, id_col: str = "sample_id", top_rows: int = TOP_ROWS
 ) -> DataFrame:
-    """The first ``n`` rows of the whole table in md5 order (a distributed top-n)."""
-    key = seeded_key(seed, id_col)
-    return df.orderBy(key, id_col).limit(int(n))
+    """The first ``n`` rows of the whole table in md5 order.
+
+    Few rows are a top-n; more are cut by md5 bucket, so they never meet in one task.
+    """
+    if n <= top_rows:
+        return df.orderBy(seeded_key(seed, id_col), id_col).limit(int(n))
+    quota = df.sparkSession.createDataFrame([(int(n),)], "quota bigint")
+    return md5_take(df, quota, by=[], seed=seed, id_col=id_col)
 
 
 def _bucketed(df: DataFrame, by: list[str], value: str, edges: int) -> DataFrame:
