@@ -13,7 +13,7 @@ from tagsight.operators import responses as R
 from tagsight.plans import evaluate as E
 
 from .base import LANGS, PREDS, SAMPLES, SCORED, SEED, VECTORS, preds, query, rank_cte, responses, rounded, samples, table, vectors, with_
-from .q_scores import CLEAR, COMMON, KAPPA, MCNEMAR_P, PAIRS, PERF_COLS, RUNS_SQL, STATS, VMETRICS, doc_edges, f1_ctes, runs_table, scored
+from .q_scores import CLEAR, COMMON, EDGES, KAPPA, MCNEMAR_P, PAIRS, PERF_COLS, RUNS_SQL, STATS, VMETRICS, doc_edges, f1_ctes, runs_table, scored
 
 COS = "round(list_cosine_similarity(a.embedding, b.embedding), 12)"
 NEAR = """near AS (SELECT a.sample_id AS q, b.sample_id AS p, a.true_label AS ql, b.true_label AS pl, {cos} AS s FROM vectors a, vectors b WHERE {cond})"""
@@ -72,7 +72,9 @@ def _(spark, sf):
     return rounded(Q.outliers(vectors(spark, sf)))
 
 
-@query("n13_near_duplicates")
+@query("n13_near_duplicates", "WITH RECURSIVE " + ", ".join([VECTORS, NEAR.format(cos=COS, cond="a.sample_id <> b.sample_id"), "best AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, p) AS k FROM near)",
+  "l AS (SELECT q, p FROM best WHERE k <= 10 AND s >= 0.8 UNION SELECT p, q FROM best WHERE k <= 10 AND s >= 0.8)", "reach AS (SELECT sample_id AS a, sample_id AS b FROM vectors UNION SELECT reach.a, l.p FROM reach JOIN l ON l.q = reach.b)",
+  "comp AS (SELECT a AS sample_id, min(b) AS set_id FROM reach GROUP BY 1)"]) + " SELECT sample_id, set_id, count(*) OVER (PARTITION BY set_id) AS set_size, count(*) OVER (PARTITION BY set_id) > 1 AS is_near_duplicate FROM comp")
 def _(spark, sf):
     return Q.near_duplicates(vectors(spark, sf), threshold=0.8)
 
@@ -101,16 +103,31 @@ def _(spark, sf):
     return pool.select("sample_id", "true_label")
 
 
-PT = "pt AS (SELECT anchor_sample_id || '|' || contrast_sample_id AS pair_id, anchor_sample_id, contrast_sample_id, anchor_true_label FROM edges)"
-
-
 @query("f24_pair_table", "WITH " + ", ".join([SAMPLES, PREDS, SCORED]) + """, edges AS (SELECT p.sample_id AS anchor_sample_id, p.true_label AS anchor_true_label, s.sample_id AS contrast_sample_id FROM scored p JOIN samples s ON s.doc_id = p.doc_id + 1
   WHERE p.run_id = 'run_0' AND NOT p.correct AND p.true_label <> s.true_label) SELECT anchor_sample_id || '|' || contrast_sample_id AS pair_id, anchor_sample_id, contrast_sample_id, anchor_true_label FROM edges""")
 def _(spark, sf):
     return G.pair_table(doc_edges(spark, sf))
 
 
-@query("f25_sample_pairs")
+EDGE_CTES = [SAMPLES, PREDS, SCORED, EDGES]
+PAIR = "pt AS (SELECT anchor_sample_id || '|' || contrast_sample_id AS pair_id, anchor_sample_id, contrast_sample_id, anchor_true_label FROM edges)"
+
+
+def pair_draw(src: str, n: int, seed: int, name: str) -> list[str]:
+    """Even quota per anchor label in md5 order, then a random refill."""
+    base, rest = divmod(n, 4)
+    quota = ", ".join(f"('{x}', {base + (i < rest)})" for i, x in enumerate(LANGS))
+    return [
+        rank_cte(src, "anchor_true_label", seed, f"{name}r", "pair_id"),
+        f"{name}b AS (SELECT {name}r.* EXCLUDE (rk) FROM {name}r JOIN (VALUES {quota}) AS q(l, quota) ON l = anchor_true_label WHERE rk <= quota)",
+        f"{name}o AS (SELECT * FROM {src} WHERE pair_id NOT IN (SELECT pair_id FROM {name}b))", rank_cte(f"{name}o", "", f"{seed}-rest", f"{name}f", "pair_id"),
+        f"{name} AS (SELECT * FROM {name}b UNION ALL SELECT * EXCLUDE (rk) FROM {name}f WHERE rk <= {n} - (SELECT count(*) FROM {name}b))",
+    ]
+
+
+@query("f25_sample_pairs", with_(*EDGE_CTES, PAIR, *pair_draw("pt", 10, SEED, "one"), "used AS (SELECT anchor_sample_id AS s FROM one UNION SELECT contrast_sample_id FROM one)",
+  "free AS (SELECT * FROM pt WHERE pair_id NOT IN (SELECT pair_id FROM one) AND anchor_sample_id NOT IN (SELECT s FROM used) AND contrast_sample_id NOT IN (SELECT s FROM used))",
+  *pair_draw("free", 8, SEED + 1, "two"), body="SELECT * FROM two"))
 def _(spark, sf):
     pairs = G.pair_table(doc_edges(spark, sf))
     first = G.sample_pairs(pairs, 10, labels=LANGS, seed=SEED)
@@ -123,16 +140,24 @@ def first_run(spark, sf):
     )
 
 
-@query("f26_val_holdout")
+EVEN20 = "(VALUES ('de', 5), ('en', 5), ('es', 5), ('fr', 5)) AS q(l, quota)"
+HOLDOUT = [
+    "ends AS (SELECT anchor_sample_id AS s FROM edges UNION SELECT contrast_sample_id FROM edges)", "fr AS (SELECT * FROM scored WHERE run_id = 'run_0')", "hp AS (SELECT * FROM fr WHERE sample_id IN (SELECT s FROM ends))", rank_cte("hp", "true_label", SEED, "hr"),
+    f"hard AS (SELECT sample_id, true_label, pred_label, correct, 'contrastive' AS val_bucket FROM hr JOIN {EVEN20} ON l = true_label WHERE rk <= quota)", "ep AS (SELECT * FROM fr WHERE correct AND sample_id NOT IN (SELECT sample_id FROM hard))",
+    rank_cte("ep", "true_label", SEED + 1, "er"), f"val AS (SELECT * FROM hard UNION ALL SELECT sample_id, true_label, pred_label, correct, 'easy' FROM er JOIN {EVEN20} ON l = true_label WHERE rk <= quota)",
+]
+
+
+@query("f26_val_holdout", with_(*EDGE_CTES, *HOLDOUT, body="SELECT * FROM val"))
 def _(spark, sf):
-    return G.val_holdout(first_run(spark, sf), doc_edges(spark, sf), 40, frac=0.5, labels=LANGS, seed=SEED).drop("text")
+    return G.val_holdout(first_run(spark, sf), doc_edges(spark, sf), 40, frac=0.5, labels=LANGS, seed=SEED).drop("text", "dataset_name")
 
 
-@query("f27_train_from_contrastive")
+@query("f27_train_from_contrastive", with_(*EDGE_CTES, *HOLDOUT, body="SELECT sample_id, true_label, pred_label, correct, 'train_contrastive' AS selection_role FROM fr WHERE sample_id IN (SELECT s FROM ends) AND sample_id NOT IN (SELECT sample_id FROM val)"))
 def _(spark, sf):
     p, e = first_run(spark, sf), doc_edges(spark, sf)
     val = G.val_holdout(p, e, 40, frac=0.5, labels=LANGS, seed=SEED)
-    return G.train_from_contrastive(p, e, val).drop("text")
+    return G.train_from_contrastive(p, e, val).drop("text", "dataset_name")
 
 
 @query("f28_optimizer_train_val")

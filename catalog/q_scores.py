@@ -414,18 +414,15 @@ def _(spark, sf):
     ))
 
 
-@query("a43_two_stage_metrics", with_(PREDS, wide_preds_sql(), "two AS (SELECT true_label, 'all' AS run_id, COALESCE(run_4, '') AS pred_label FROM wide)", f1_ctes("two"),
-  body="""SELECT 'all' AS run_id, (SELECT ROUND(avg((run_0 IS DISTINCT FROM run_4)::INTEGER), 9) FROM wide) AS change_rate,
-  (SELECT ROUND(avg(confidence), 9) FROM preds WHERE run_id = 'run_4') AS mean_confidence, ROUND(accuracy, 9) AS accuracy, ROUND(f1_macro, 9) AS f1_macro FROM perf"""))
+@query("a43_two_stage_metrics", with_(PREDS, """two AS (SELECT source, sample_id, max(true_label) AS true_label, max(CASE WHEN r = 0 THEN pred_label END) AS p1, COALESCE(max(CASE WHEN r = 4 THEN pred_label END), '') AS pred_label,
+  max(CASE WHEN r = 4 THEN confidence END) AS confidence FROM preds GROUP BY 1, 2)""", f1_ctes("two", "source"), """chg AS (SELECT source, ROUND(avg((p1 IS DISTINCT FROM nullif(pred_label, ''))::INTEGER), 9) AS change_rate, ROUND(avg(confidence), 9) AS mean_confidence FROM two GROUP BY 1)""",
+  body="SELECT source, change_rate, mean_confidence, ROUND(accuracy, 9) AS accuracy, ROUND(f1_macro, 9) AS f1_macro FROM perf JOIN chg USING (source)"))
 def _(spark, sf):
-    p = preds(spark, sf)
-    two = p.groupBy("sample_id").agg(
-        F.max("true_label").alias("true_label"), F.lit("all").alias("run_id"),
-        F.max(F.when(F.col("r") == 0, F.col("pred_label"))).alias("pass1_label"),
-        F.max(F.when(F.col("r") == 4, F.col("pred_label"))).alias("pass2_label"),
-        F.max(F.when(F.col("r") == 4, F.col("confidence"))).alias("confidence"),
+    two = preds(spark, sf, "source").groupBy("source", "sample_id").agg(
+        F.max("true_label").alias("true_label"), F.max(F.when(F.col("r") == 0, F.col("pred_label"))).alias("pass1_label"),
+        F.max(F.when(F.col("r") == 4, F.col("pred_label"))).alias("pass2_label"), F.max(F.when(F.col("r") == 4, F.col("confidence"))).alias("confidence"),
     )
-    return rounded(M.two_stage_metrics(two, ["run_id"]))
+    return rounded(M.two_stage_metrics(two, ["source"]))
 
 
 @query("a44_repeat_run_summary", with_(PREDS, """n AS (SELECT sample_id, pred_label AS label, count(*) AS n, sum(confidence) AS c FROM preds WHERE pred_label IS NOT NULL GROUP BY 1, 2)""",

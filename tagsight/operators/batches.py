@@ -69,8 +69,10 @@ def label_balanced_batches(
     batch from its rank inside the label and the label's few spans.
     """
     sizes = dict(sorted(label_sizes(df, label).items()))
+    plan = batch_spans(sizes, size, drop_incomplete)
+    n_batches = max((b + (hi - lo) // w for spans in plan.values() for lo, hi, w, b in spans), default=0)
     table = small_table(
-        df.sparkSession, list(batch_spans(sizes, size, drop_incomplete).items()),
+        df.sparkSession, list(plan.items()),
         f"`{label}` string, spans array<struct<lo:bigint,hi:bigint,width:bigint,batch:bigint>>",
     )
     ranked = md5_rank(df, by=[label], seed=seed, id_col=id_col, out="_r").join(table, label)
@@ -85,10 +87,10 @@ def label_balanced_batches(
         (F.col("_s.batch") + F.floor(F.col("_slot") / F.col("_s.width"))).cast("bigint").alias("raw_batch"),
         (F.col("_slot") % F.col("_s.width")).alias("_turn"),
     )
-    # batch numbers are shuffled; distinct is combined map-side
-    renumber = md5_rank(
-        named.select("raw_batch").distinct(), by=[], seed=seed, id_col="raw_batch", out="_b"
-    ).select("raw_batch", (F.col("_b") - 1).alias("batch_id"))
+    numbers = df.sparkSession.range(n_batches).withColumnRenamed("id", "raw_batch")
+    renumber = md5_rank(numbers, by=[], seed=seed, id_col="raw_batch", out="_b").select(
+        "raw_batch", (F.col("_b") - 1).alias("batch_id")
+    )
     place = W.partitionBy("batch_id").orderBy("_turn", label)
     return (
         named.join(renumber, "raw_batch")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import scores as S
+from ..plans.lineage import durable
 from ..plans.order import join_on, value_counts_below, value_ranks
 
 
@@ -68,9 +69,10 @@ def spearman(df: DataFrame, by: list[str], *, x: str, y: str, id_col: str) -> Da
     src = df.select(*by, id_col, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter(
         "x IS NOT NULL AND y IS NOT NULL"
     )
-    rx = value_ranks(src, by=by, value="x", id_col=id_col).withColumnRenamed("avg_rank", "rx").drop(
-        "row_rank", "n_group"
+    rx = value_ranks(src, by=by, value="x", id_col=id_col).select(
+        *by, id_col, "y", F.col("avg_rank").alias("rx")
     )
+    rx = durable(rx)  # the second ranking reads it three times
     rxy = value_ranks(rx, by=by, value="y", id_col=id_col)
     return rxy.groupBy(*by).agg(F.corr("rx", "avg_rank").alias("spearman_r"))
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import debate_confusing
+from ..plans.lineage import durable
 from .votes import majority_vote
 
 PREDICTED = "sample_id string, batch_id bigint, position int, pred_label string, confidence double, raw string, error string, attempts int, elapsed_s double"
@@ -70,10 +72,11 @@ def batch_predict(
 
 def two_pass_predict(batches: DataFrame, first: Callable, second: Callable, **kw) -> DataFrame:
     """M7: the second pass sees the first pass's labels; unequal or missing labels are confusing."""
-    from ..functions.labels import debate_confusing
-
-    a = batch_predict(batches, first, **kw).select(
-        "sample_id", F.col("pred_label").alias("a_label"), F.col("confidence").alias("a_conf")
+    # stored, so that no batch is sent to the first predictor twice
+    a = durable(
+        batch_predict(batches, first, **kw).select(
+            "sample_id", F.col("pred_label").alias("a_label"), F.col("confidence").alias("a_conf")
+        )
     )
     b = batch_predict(batches.join(a, "sample_id"), second, context="a_label", **kw).select(
         "sample_id", "batch_id", F.col("pred_label").alias("b_label"), F.col("confidence").alias("b_conf")
@@ -89,12 +92,13 @@ def committee_predict(batches: DataFrame, members: dict[str, Callable], **kw) ->
     """M8: several predictors on the same batches; majority label, ties by name, members kept."""
     if len(members) < 2:
         raise ValueError("a committee needs at least 2 members")
-    votes = None
+    batches, votes = durable(batches), None
     for name, fn in members.items():
         part = batch_predict(batches, fn, **kw).select(
             "sample_id", F.col("pred_label").alias("label"), F.lit(name).alias("member")
         )
         votes = part if votes is None else votes.unionByName(part)
+    votes = durable(votes)  # every member is called once
     vote = majority_vote(votes, ["sample_id"]).select(
         "sample_id", F.col("vote").alias("pred_label"), F.col("vote_share").alias("confidence")
     )

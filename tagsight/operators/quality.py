@@ -119,14 +119,14 @@ def centroid_distance(df: DataFrame, *, vec: str = "embedding", label: str = "tr
 
 def centroid_distance_flag(df: DataFrame, *, q: float = 0.9, vec: str = "embedding", label: str = "true_label") -> DataFrame:
     """Rows at or beyond the q-quantile of the distance to their own centroid."""
-    return quantile_flag(centroid_distance(df, vec=vec, label=label), score="distance", q=q)
+    return quantile_flag(durable(centroid_distance(df, vec=vec, label=label)), score="distance", q=q)
 
 
 def outliers(df: DataFrame, *, k: int = 10, q: float = 0.9, vec: str = "embedding", id_col: str = "sample_id") -> DataFrame:
     """Mean cosine distance to the k nearest other rows, flagged from the q-quantile on."""
     near = topk_similar(df, df, k=k, vec=vec, id_col=id_col, exclude_self=True)
     score = near.groupBy(F.col("q_id").alias(id_col)).agg((1 - F.avg("score")).alias("outlier_score"))
-    return quantile_flag(score, score="outlier_score", q=q, out="is_outlier")
+    return quantile_flag(durable(score), score="outlier_score", q=q, out="is_outlier")
 
 
 def near_duplicates(

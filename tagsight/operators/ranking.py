@@ -144,6 +144,7 @@ def tail_flags(df: DataFrame, *, truth: str = "is_corrupted") -> DataFrame:
 def quantile_summary(df: DataFrame, by: list[str], *, score: str, truth: str = "is_corrupted", level: str = "quantile") -> DataFrame:
     """Size, rate, mean and median of a score per quintile or quintile group."""
     key = [*by, level]
+    df = durable(df.select(*key, score, truth))  # read for the means, the bucket edges and the medians
     base = df.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.col(truth).cast("double")).alias("mislabeled_rate"),

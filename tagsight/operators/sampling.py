@@ -194,8 +194,8 @@ def train_test_split(
     df: DataFrame, n_test: int, *, label: str = LABEL, seed: int, id_col: str = "sample_id"
 ) -> DataFrame:
     """stratified split (unstratified when it cannot be) as a ``split`` column."""
-    test = stratified_take(df, n_test, label=label, seed=seed, id_col=id_col).select(id_col)
-    mark = test.withColumn("_t", F.lit(True))
+    test = stratified_take(df.select(id_col, label), n_test, label=label, seed=seed, id_col=id_col)
+    mark = test.select(id_col, F.lit(True).alias("_t"))
     return df.join(mark, id_col, "left").withColumn(
         "split", F.when(F.col("_t"), "test").otherwise("train")
     ).drop("_t")
@@ -205,12 +205,13 @@ def train_valid_test_split(
     df: DataFrame, n_holdout: int, *, label: str = LABEL, seed: int, id_col: str = "sample_id"
 ) -> DataFrame:
     """F9 nested: a hold-out that is then halved into valid and test."""
-    first = train_test_split(df, n_holdout, label=label, seed=seed, id_col=id_col)
-    hold = first.filter("split = 'test'").drop("split")
+    hold = durable(
+        stratified_take(df.select(id_col, label), n_holdout, label=label, seed=seed, id_col=id_col)
+    )
     halves = train_test_split(hold, n_holdout // 2, label=label, seed=seed + 1, id_col=id_col).select(
-        id_col, F.when(F.col("split") == "test", "test").otherwise("valid").alias("_part")
+        id_col, F.when(F.col("split") == "test", "test").otherwise("valid").alias("split")
     )
-    return first.join(halves, id_col, "left").withColumn("split", F.coalesce("_part", "split")).drop("_part")
+    return df.join(halves, id_col, "left").withColumn("split", F.coalesce("split", F.lit("train")))
 
 
 def take_with_policy(

@@ -169,7 +169,8 @@ def value_ranks(
 ) -> DataFrame:
     """Add ``row_rank`` (unique), ``avg_rank`` (ties averaged) and ``n_group``.
 
-    Rows with a NULL value are kept and get NULL ranks.
+    Rows with a NULL value are kept and get NULL ranks.  ``df`` is read three times
+    (edges, bucket sizes, ranks): store it first when it is costly to compute.
     """
     present = df.filter(F.col(value).isNotNull())
     single = F.col("_b") % 2 == 1
