@@ -28,3 +28,10 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 5
     assert e.queries().keys() == QUERIES.keys()
+
+
+def test_every_operator_is_covered():
+    from catalog.coverage import functions, queries, survey_ids
+
+    where, asked = functions(), queries()
+    assert [i for i in survey_ids() if i not in where or i not in asked] == []
