@@ -4,21 +4,29 @@ Both sides are hashed into blocks of bounded size.  Every (query block, pool
 block) pair is one group whose vectors are multiplied with NumPy; a group emits
 only its own top k per query, and the per-block winners are merged by a limited
 window.  No pair of rows is ever materialised, no side is broadcast or collected,
-and hot labels do not matter because blocks are cut by id.
+and hot labels do not matter because blocks are cut by id.  Large inputs are first
+cut into cells around pivot rows, most of which the triangle inequality rules out.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.lineage import collect_small, durable, small_table
+from ..plans.order import md5_head
+
 BLOCK_ROWS = 20_000
 SLICE_ROWS = 256
+MAX_PIVOTS = 1024
+PRUNE_PAIRS = 10**11
+SLACK = 1e-6
 DIGITS = 12
 
 
@@ -70,6 +78,88 @@ def _kernel(k: int, mode: str, id_type: pa.DataType):
     return block
 
 
+def _blocked(visits: DataFrame, pool: DataFrame, k: int, mode: str, id_kind: str, block_rows: int) -> DataFrame:
+    """Top k of every block for the queries that visit a cell of the pool.
+
+    ``visits(q_id, q_vec, q_label, cell)``, ``pool(p_id, p_vec, p_label, cell)``.  Both sides
+    of a cell are hashed into blocks, so a cell may hold any share of the rows.
+    """
+    spark = visits.sparkSession
+    nq = {r["cell"]: r["n"] for r in collect_small(visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))}
+    np_ = {r["cell"]: r["n"] for r in collect_small(pool.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))}
+    # at small sizes one block would mean one task; keep the cluster busy
+    busy = max(1, spark.sparkContext.defaultParallelism // max(1, len(np_)))
+    cuts = small_table(
+        spark,
+        [
+            (c, math.ceil(nq[c] / block_rows), max(math.ceil(np_[c] / block_rows), min(busy, math.ceil(np_[c] / 500))))
+            for c in nq.keys() & np_.keys()
+        ],
+        "cell int, nbq bigint, nbp bigint",
+    )
+
+    def spread(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+
+    q = visits.join(cuts, "cell").select(
+        "q_id", "q_vec", "q_label", "cell", F.pmod(F.xxhash64("q_id"), F.col("nbq")).alias("bq"), spread("nbp").alias("bp")
+    )
+    p = pool.join(cuts, "cell").select(
+        "p_id", "p_vec", "p_label", "cell", spread("nbq").alias("bq"), F.pmod(F.xxhash64("p_id"), F.col("nbp")).alias("bp")
+    )
+    key = ["cell", "bq", "bp"]
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_kind]
+    return q.groupBy(*key).cogroup(p.groupBy(*key)).applyInArrow(
+        _kernel(k, mode, arrow), f"q_id {id_kind}, p_id {id_kind}, score double"
+    )
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "p_id"))
+    return found.withColumn("place", place).filter(F.col("place") <= k)
+
+
+def _with_cell(df: DataFrame, vec: str, pivots: np.ndarray) -> DataFrame:
+    """Nearest pivot of every row and the distance of the unit vectors."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            unit = _matrix(pa.Table.from_batches([b]), vec)
+            sims = unit @ pivots.T if len(unit) else np.zeros((0, len(pivots)))
+            cell = sims.argmax(axis=1).astype(np.int32) if len(unit) else np.zeros(0, np.int32)
+            dist = np.sqrt(np.maximum(0.0, 2 - 2 * sims[np.arange(len(unit)), cell]))
+            dist[~unit.any(axis=1)] = 2.0  # a zero vector is never ruled out by distance
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(dist)], names=[*b.schema.names, "cell", "dist"])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in df.dtypes)
+    return df.mapInArrow(assign, f"{kinds}, cell int, dist double")
+
+
+def _open_cells(df: DataFrame, pivots: np.ndarray, radius: dict[int, float]) -> DataFrame:
+    """Other cells that can hold a row at least as near as the query's k-th hit so far.
+
+    By the triangle inequality no row of a cell is nearer than the distance to its
+    pivot minus the cell's radius.
+    """
+    cells = np.array(sorted(radius), dtype=np.int32)
+    reach = np.array([radius[c] for c in cells])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if not t.num_rows:
+                continue
+            away = np.sqrt(np.maximum(0.0, 2 - 2 * (_matrix(t, "q_vec") @ pivots[cells].T)))
+            open_ = away - reach[None, :] <= t.column("limit").to_numpy()[:, None] + SLACK
+            open_ &= t.column("cell").to_numpy()[:, None] != cells[None, :]
+            rows, cols = np.nonzero(open_)
+            out = t.select(["q_id", "q_vec", "q_label"]).take(pa.array(rows))
+            yield from out.append_column("cell", pa.array(cells[cols])).combine_chunks().to_batches()
+
+    kinds = ", ".join(f"{c} {t}" for c, t in df.dtypes if c in ("q_id", "q_vec", "q_label"))
+    return df.select("q_id", "q_vec", "q_label", "cell", "limit").mapInArrow(keep, f"{kinds}, cell int")
+
+
 def topk_cosine(
     queries: DataFrame,
     pool: DataFrame,
@@ -83,36 +173,36 @@ def topk_cosine(
     pool_label: str | None = None,
     mode: str = "any",
     block_rows: int = BLOCK_ROWS,
+    prune: bool | None = None,
 ) -> DataFrame:
     """``(q_id, p_id, score, place)``: the k most similar pool rows of every query.
 
-    ``mode``: any, other_row (not itself), other_label, same_label.
+    ``mode``: any, other_row (not itself), other_label, same_label.  Small inputs are
+    compared block by block.  Large ones (``prune``) are cut into cells around pivot
+    rows: a query first searches its own cell, and its k-th hit then rules out every
+    cell that lies too far away.  Both ways give the same rows.
     """
-    nq, np_ = queries.count(), pool.count()
-    bq, bp = max(1, math.ceil(nq / block_rows)), max(1, math.ceil(np_ / block_rows))
-    # at small sizes one block would mean one task; keep the cluster busy
-    bp = max(bp, min(queries.sparkSession.sparkContext.defaultParallelism, math.ceil(np_ / 500)))
-    q = queries.select(
-        F.col(query_id).alias("q_id"),
-        F.col(query_vec).alias("q_vec"),
-        (F.col(query_label) if query_label else F.lit("")).cast("string").alias("q_label"),
-        F.pmod(F.xxhash64(query_id), F.lit(bq)).alias("bq"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bp - 1).cast("bigint"))).alias("bp"),
-    )
-    p = pool.select(
-        F.col(pool_id).alias("p_id"),
-        F.col(pool_vec).alias("p_vec"),
-        (F.col(pool_label) if pool_label else F.lit("")).cast("string").alias("p_label"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bq - 1).cast("bigint"))).alias("bq"),
-        F.pmod(F.xxhash64(pool_id), F.lit(bp)).alias("bp"),
-    )
-    kind = dict(pool.dtypes)[pool_id]
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    found = q.groupBy("bq", "bp").cogroup(p.groupBy("bq", "bp")).applyInArrow(
-        _kernel(k, mode, arrow), f"q_id {kind}, p_id {kind}, score double"
-    )
-    place = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "p_id"))
-    return found.withColumn("place", place).filter(F.col("place") <= k)
+    label = lambda name: (F.col(name) if name else F.lit("")).cast("string")
+    q = queries.select(F.col(query_id).alias("q_id"), F.col(query_vec).alias("q_vec"), label(query_label).alias("q_label"))
+    p = pool.select(F.col(pool_id).alias("p_id"), F.col(pool_vec).alias("p_vec"), label(pool_label).alias("p_label"))
+    kind = dict(p.dtypes)["p_id"]
+    n_pool = p.count() if prune is None or prune else 0
+    if prune is None:
+        prune = n_pool * q.count() > PRUNE_PAIRS
+    if not prune or not n_pool:
+        one = F.lit(0).alias("cell")
+        return _best(_blocked(q.select("*", one), p.select("*", one), k, mode, kind, block_rows), k)
+    some = md5_head(p.select("p_id", "p_vec"), min(MAX_PIVOTS, max(2, math.isqrt(n_pool))), seed="pivots", id_col="p_id")
+    pivots = _matrix(some.select("p_vec").toArrow(), "p_vec")  # at most MAX_PIVOTS vectors
+    q, p = durable(_with_cell(q, "q_vec", pivots)), durable(_with_cell(p, "p_vec", pivots))
+    radius = {r["cell"]: r["r"] for r in p.groupBy("cell").agg(F.max("dist").alias("r")).collect()}
+    near = durable(_best(_blocked(q.drop("dist"), p, k, mode, kind, block_rows), k))
+    kth = near.groupBy("q_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s"))
+    limit = F.when(F.col("n") == k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s")))).otherwise(2.0)
+    bounded = q.join(kth, "q_id", "left").withColumn("limit", limit)
+    visits = durable(_open_cells(bounded, pivots, radius))
+    far = _blocked(visits, p, k, mode, kind, block_rows)
+    return _best(near.drop("place").unionByName(far), k)
 
 
 def nearest_other_class(

@@ -36,15 +36,45 @@ def brute(vecs, labels, keep, k):
     return out
 
 
+def by_query(got):
+    found = {}
+    for r in got.orderBy("q_id", "place").collect():
+        found.setdefault(r["q_id"], []).append(r["p_id"])
+    return found
+
+
 @pytest.mark.parametrize("block", [10_000, 40, 13])
 def test_topk_blocks_are_exact(cloud, block):
     labels, vecs, df = cloud
     got = K.topk_similar(df, df, k=4, exclude_self=True, block_rows=block)
-    want = brute(vecs, labels, lambda i, j: i != j, 4)
-    found = {}
-    for r in got.orderBy("q_id", "place").collect():
-        found.setdefault(r["q_id"], []).append(r["p_id"])
-    assert found == want
+    assert by_query(got) == brute(vecs, labels, lambda i, j: i != j, 4)
+
+
+@pytest.mark.parametrize("mode, keep", [
+    ("any", lambda labels: lambda i, j: True), ("other_row", lambda labels: lambda i, j: i != j),
+    ("other_label", lambda labels: lambda i, j: labels[i] != labels[j]), ("same_label", lambda labels: lambda i, j: labels[i] == labels[j]),
+])
+def test_pruned_search_is_exact(cloud, mode, keep):
+    labels, vecs, df = cloud
+    got = K.topk_cosine(
+        df, df, k=3, query_id="sample_id", pool_id="sample_id", query_vec="embedding", pool_vec="embedding", query_label="true_label",
+        pool_label="true_label", mode=mode, block_rows=20, prune=True,
+    )
+    assert by_query(got) == brute(vecs, labels, keep(labels), 3)
+
+
+def test_pruned_search_skips_far_cells(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(6, 16)) * 10
+    data = [(i, [float(x) for x in centres[i % 6] + rng.normal(size=16) * 0.01]) for i in range(300)]
+    data[7] = (7, [0.0] * 16)
+    df = spark.createDataFrame(data, "sample_id bigint, embedding array<float>")
+    kw = dict(k=2, query_id="sample_id", pool_id="sample_id", query_vec="embedding", pool_vec="embedding", mode="other_row")
+    assert by_query(K.topk_cosine(df, df, prune=True, **kw)) == by_query(K.topk_cosine(df, df, prune=False, **kw))
+    unit = K._matrix(df.toArrow(), "embedding")
+    q = K._with_cell(df.select("sample_id", "embedding"), "embedding", unit[:6]).withColumnsRenamed({"sample_id": "q_id", "embedding": "q_vec"})
+    visits = K._open_cells(q.withColumns({"q_label": F.lit(""), "limit": F.lit(0.05)}), unit[:6], {c: 0.05 for c in range(6)})
+    assert visits.filter("q_id <> 7").count() < 300
 
 
 def test_contrast_is_of_another_label(cloud):
