@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tagsight.functions import labels as L
 from tagsight.operators import batches as B
 from tagsight.operators import jobs as JB
 from tagsight.operators import mining as G
@@ -13,7 +12,7 @@ from tagsight.operators import responses as R
 from tagsight.plans import evaluate as E
 
 from .base import LANGS, PREDS, SAMPLES, SCORED, SEED, VECTORS, preds, query, rank_cte, responses, rounded, samples, table, vectors, with_
-from .q_scores import CLEAR, COMMON, EDGES, KAPPA, MCNEMAR_P, PAIRS, PERF_COLS, RUNS_SQL, STATS, VMETRICS, doc_edges, f1_ctes, runs_table, scored
+from .q_scores import CLEAR, EDGES, MCNEMAR_P, PERF_COLS, STATS, VMETRICS, doc_edges, f1_ctes, runs_table, scored
 
 COS = "round(list_cosine_similarity(a.embedding, b.embedding), 12)"
 NEAR = """near AS (SELECT a.sample_id AS q, b.sample_id AS p, a.true_label AS ql, b.true_label AS pl, {cos} AS s FROM vectors a, vectors b WHERE {cond})"""

@@ -3,21 +3,17 @@
 from pyspark.sql import functions as F
 
 from tagsight import schema as SC
-from tagsight.functions import labels as L
 from tagsight.functions import scores as S
 from tagsight.operators import batches as B
 from tagsight.operators import calibration as C
-from tagsight.operators import joins as J
-from tagsight.operators import metrics as M
 from tagsight.operators import noise as N
 from tagsight.operators import quality as Q
 from tagsight.operators import ranking as R
 from tagsight.operators import sampling as P
 from tagsight.operators import votes as V
-from tagsight.plans import evaluate as E
 
 from .base import (
-    FLAGS, LANGS, NEXT, NOISY, PREDS, RUNS, SAMPLES, SCORED, SEED, flags, next_lang, noisy, preds, query, rank_cte, rounded,
+    FLAGS, LANGS, NEXT, NOISY, PREDS, SAMPLES, SCORED, SEED, flags, next_lang, noisy, preds, query, rank_cte, rounded,
     samples, table, with_,
 )
 from .q_scores import RUNS_SQL, VMETRICS, detection_sql, runs_table, scored

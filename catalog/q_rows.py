@@ -13,8 +13,7 @@ from tagsight.operators import votes as V
 from tagsight.plans import evaluate as E
 
 from .base import (
-    FLAGS, LANGS, NEXT, NOISY, PREDS, SAMPLES, SCORED, VOTES, flags, noisy, preds, query, responses, rounded,
-    samples, table, votes, with_,
+    LANGS, PREDS, SAMPLES, SCORED, VOTES, preds, query, rounded, samples, table, votes, with_,
 )
 
 MIXED = """mixed AS (SELECT sample_id, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN ' nan '

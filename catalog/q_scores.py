@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tagsight.functions import labels as L
 from tagsight.functions import scores as S
 from tagsight.operators import agreement as A
 from tagsight.operators import batches as B
@@ -15,7 +14,7 @@ from tagsight.plans import evaluate as E
 from tagsight.sources.runs import aggregate_reports
 
 from .base import (
-    FLAGS, LANGS, NEXT, NOISY, PREDS, RUNS, SAMPLES, SCORED, VOTES, flags, noisy, preds, query, rank_cte, rounded,
+    FLAGS, LANGS, NOISY, PREDS, RUNS, SAMPLES, SCORED, VOTES, flags, noisy, preds, query, rank_cte, rounded,
     samples, table, votes, wide_preds_sql, with_,
 )
 

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from tagsight.functions import scores as S
 from tagsight.operators import agreement as A
 from tagsight.operators import joins as J
 from tagsight.operators import votes as V
@@ -12,9 +11,9 @@ from tagsight.sources import predictions as PR
 from tagsight.sources import runs as RN
 from tagsight.sources import tiers as TR
 
-from .base import LANGS, PREDS, RUNS, SAMPLES, SCORED, SEED, preds, query, rank_cte, rounded, samples, table, with_
+from .base import PREDS, RUNS, SAMPLES, SEED, preds, query, rank_cte, rounded, samples, table, with_
 from .q_ranks import take_quota_ctes
-from .q_scores import PAIRS, RUNS_SQL, report_docs, runs_table, scored
+from .q_scores import RUNS_SQL, report_docs, runs_table
 
 DIGEST = "sha256(string_agg(sample_id, chr(10) ORDER BY sample_id))"
 
@@ -189,7 +188,7 @@ def legacy_tree(spark, sf):
         F.lit("mvp4_results").alias("series"), F.lit("mvp4_final_results.json").alias("file"), "value"), "series")
     one(runs.filter("r = 0").select(
         F.lit("mvp4_results").alias("series"), F.concat(F.lit("preds_"), "dataset_name", F.lit("_"), "model_id", F.lit("_n100.csv")).alias("file"), F.lit("text,true,pred").alias("value")), "series")
-    stamp = F.concat(F.lit("20260601_1200"), F.lpad((F.row_number().over(_by_key())).cast("string"), 2, "0"))
+    stamp = F.concat(F.lit("20260601_"), F.lpad((F.row_number().over(_by_key())).cast("string"), 6, "0"))
     v1 = runs.filter("r = 1").select("*", stamp.alias("stamp"))
     body = F.to_json(F.struct(
         F.col("dataset_name").alias("workflow"), F.struct("accuracy", F.col("f1_macro").alias("macro_f1")).alias("metrics"), F.struct(F.col("n_samples").alias("test")).alias("sample_sizes"),
@@ -218,7 +217,7 @@ def _by_key():
     return W.orderBy("run_key")
 
 
-FLAT = """st AS (SELECT *, '20260601_1200' || lpad((row_number() OVER (PARTITION BY r ORDER BY run_key))::VARCHAR, 2, '0') AS stamp FROM runs),
+FLAT = """st AS (SELECT *, '20260601_' || lpad((row_number() OVER (PARTITION BY r ORDER BY run_key))::VARCHAR, 6, '0') AS stamp FROM runs),
   flat AS (SELECT 'mvp4_results/' || dataset_name || '/' || model_id || '_svm/train100' AS run_key, 'mvp4_final_results' AS format, accuracy, f1_macro, TRUE AS has_predictions, n_samples AS tier_size, 2.0::DOUBLE AS duration_seconds, 'f1_macro' AS f1_source FROM st WHERE r = 0
   UNION ALL SELECT 'mvp_v1/' || dataset_name || '/' || stamp, 'mvp_v1_summary', accuracy, f1_macro, TRUE, n_samples, 5.5, 'f1_macro' FROM st WHERE r = 1
   UNION ALL SELECT 'prosocial_v3/exp_' || dataset_name || '/' || stamp, 'prosocial_v3_summary', accuracy, f1_macro, FALSE, 25, NULL, 'f1_macro' FROM st WHERE r = 2

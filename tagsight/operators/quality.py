@@ -13,7 +13,7 @@ from ..plans.order import exact_quantiles, join_on, value_ranks
 from .graph import connected_components
 from .metrics import detection_metrics, label_distribution
 from .neighbours import topk_similar
-from .ranking import quantile_flag, self_confidence
+from .ranking import quantile_flag
 
 
 def confident_thresholds(df: DataFrame, by: list[str], *, observed: str = "observed_label") -> DataFrame:
@@ -216,10 +216,3 @@ def quality_vs_mismatch(df: DataFrame, *, quality: str = "self_confidence", mism
     med = exact_quantiles(df, by=[mismatch], value=quality, probs={"median_quality": 0.5})
     return join_on(base, med, [mismatch]).withColumn("point_biserial", r)
 
-
-__all__ = [
-    "centroid_distance", "centroid_distance_flag", "class_centroids", "class_imbalance", "confident_joint",
-    "confident_thresholds", "find_label_issues", "issue_comparison", "issue_counts", "near_duplicates",
-    "non_iid", "outliers", "quality_vs_mismatch", "self_confidence", "squared_distance",
-    "underperforming_groups",
-]

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import words
 from ..plans.lineage import durable
 from ..plans.order import exact_quantiles, join_on, value_ranks
 from .calibration import roc_auc, spearman
@@ -78,7 +77,7 @@ def robust_z(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def token_prior(corpus: DataFrame, *, text: str = "text") -> DataFrame:
     """Relative frequency of every token of the corpus."""
-    toks = corpus.select(F.explode(words(F.col(text))).alias("token"))
+    toks = corpus.select(F.explode(F.split(text, r"\s+")).alias("token")).filter("token <> ''")
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("prior", F.col("n") / counts.agg(F.sum("n")).scalar())
 
@@ -90,7 +89,8 @@ def prior_stats(docs: DataFrame, priors: DataFrame, *, id_col: str = "sample_id"
     words from multiplying the shuffled rows.
     """
     toks = (
-        docs.select(id_col, F.explode(words(F.col(text))).alias("token"))
+        docs.select(id_col, F.explode(F.split(text, r"\s+")).alias("token"))
+        .filter("token <> ''")
         .groupBy(id_col, "token")
         .agg(F.count(F.lit(1)).alias("k"))
     )

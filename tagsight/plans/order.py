@@ -127,10 +127,18 @@ def _bucketed(df: DataFrame, by: list[str], value: str, edges: int) -> DataFrame
     )
     joined = join_on(df, quant, by) if by else df.withColumn("_edges", quant.scalar())
     val = F.col(value).cast("double")
-    below = F.size(F.filter("_edges", lambda e: e < val))
-    return joined.withColumn(
-        "_b", 2 * below + F.array_contains(F.col("_edges"), val).cast("int")
-    ).drop("_edges")
+    # number of edges below the value, by halving steps instead of a lambda over all edges
+    below, step = F.lit(0), 1 << (len(cuts).bit_length() - 1)
+    while step:
+        below = below + F.when(F.try_element_at("_edges", below + step) < val, step).otherwise(0)
+        step //= 2
+    return (
+        joined.withColumn("_lo", below)
+        .withColumn(
+            "_b", 2 * F.col("_lo") + F.coalesce(F.try_element_at("_edges", F.col("_lo") + 1) == val, F.lit(False)).cast("int")
+        )
+        .drop("_edges", "_lo")
+    )
 
 
 def value_counts_below(

@@ -10,7 +10,6 @@ import fnmatch
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.ranking import union_runs
@@ -507,6 +506,7 @@ def read_hypotheses(spark: SparkSession, root: str, series: str = "debug_accurac
     )
 
 
+# Folder names of the flat layouts.
 LEGACY = {
     "mvp4_results": read_result_list,
     "mvp_v1": lambda spark, root: read_summaries(spark, root, "mvp_v1"),
