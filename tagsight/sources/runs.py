@@ -16,11 +16,12 @@ from ..operators.ranking import union_runs
 from ..plans.evaluate import leaderboard as ordered_board
 from ..schema import RUN_COLUMNS, run_row
 
-# File names that mark a run, and name formats.
+# File names that mark a run, name formats and a row format.
 SCORING = ("report.json", "full_metadata.json", "metrics.json", "val_eval_macro_f1.json")
 EXTRA = ("run_manifest.json", "full_classification_report.json", "preliminary_metadata.json")
 FILES = ("predictions.csv", "full_predictions.json", "summary.json")
 STAMP = r"\d{8}_\d{6}"
+VAL_FORMAT = "gepa_val_eval"
 SKIPPED = "full_predictions_skipped.txt"
 CONFIGS = ("config.resolved.json", "config.json")
 CSV_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -171,7 +172,7 @@ def read_run_records(spark: SparkSession, root: str) -> DataFrame:
     fmt = (
         F.when(has("report"), "harness_report")
         .when(has("metrics"), "metrics_json")
-        .when(has("val_eval_macro_f1"), "gepa_val_eval")
+        .when(has("val_eval_macro_f1"), VAL_FORMAT)
         .when(has("meta"), "metadata_only")
         .otherwise("manifest_only")
     )
@@ -184,7 +185,7 @@ def read_run_records(spark: SparkSession, root: str) -> DataFrame:
         picked = (
             F.when(is_("harness_report"), first("report", "metrics."))
             .when(is_("metrics_json"), first("metrics", ""))
-            .when(is_("gepa_val_eval"), first("val_eval_macro_f1", ""))
+            .when(is_(VAL_FORMAT), first("val_eval_macro_f1", ""))
             .when(is_("metadata_only"), first("meta", "metrics."))
         )
         fallback = (
@@ -197,7 +198,7 @@ def read_run_records(spark: SparkSession, root: str) -> DataFrame:
     tier = F.coalesce(
         F.when(is_("harness_report"), _j("report", "tier_size", "double")),
         F.when(is_("metrics_json"), _j("metrics", "n_samples", "double")),
-        F.when(is_("gepa_val_eval"), _j("val_eval_macro_f1", "n_samples", "double")),
+        F.when(is_(VAL_FORMAT), _j("val_eval_macro_f1", "n_samples", "double")),
         F.nullif(F.regexp_extract(_j("cfg", "test_data"), r"tier_(\d+)", 1), F.lit("")).try_cast("double"),
     ).cast("bigint")
     dataset = F.when(is_("harness_report"), _j("report", "dataset_name")).when(
