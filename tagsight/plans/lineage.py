@@ -13,13 +13,19 @@ MAX_DRIVER_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The folder that all executors share, as the session names it.
+
+    In local mode a temporary folder stands in for a missing one. Anywhere else that is an error: executors would
+    write to their own disks and later reads would miss rows.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(made)
     return made
