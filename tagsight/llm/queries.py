@@ -82,3 +82,47 @@ def op10_secret_scan(spark, sf):
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.concat("base", "extra")).alias("spans"),
     )
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op1_token_planes")
+def op1_token_planes(spark, sf):
+    from tagsight.plans.lineage import scratch_path
+
+    from .planes import read_documents, write_token_files
+
+    out = scratch_path(spark, "token-ids")
+    write_token_files(table(spark, sf, "documents"), out, tokenizer_path("byte_bpe_50k.json"))
+    return read_documents(spark, out)
+
+
+@query("op5_packing")
+def op5_packing(spark, sf):
+    from .packing import pack
+
+    return pack(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def fold(col: str = "doc_id"):
+    """Remainder that tells held-out rows (0) from the others."""
+    return F.crc32(F.col(col).cast("string")) % 5
+
+
+def toxic_model(spark, docs, sf):
+    from .toxic import train
+
+    return train(docs, table(spark, sf, "labels").where(fold() != 0))
+
+
+@query("op3_toxicity")
+def op3_toxicity(spark, sf):
+    from .toxic import score
+
+    docs = table(spark, sf, "documents")
+    found = score(docs, toxic_model(spark, docs, sf))
+    return found.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "rejected")
