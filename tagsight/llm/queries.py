@@ -126,3 +126,10 @@ def op3_toxicity(spark, sf):
     docs = table(spark, sf, "documents")
     found = score(docs, toxic_model(spark, docs, sf))
     return found.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "rejected")
+
+
+@query("op9_benchmark_tiling")
+def op9_benchmark_tiling(spark, sf):
+    from .tiling import contamination
+
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
