@@ -133,3 +133,11 @@ def op9_benchmark_tiling(spark, sf):
     from .tiling import contamination
 
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op8_substring_dedup")
+def op8_substring_dedup(spark, sf):
+    from .debruijn import drop_repeats
+
+    kept = drop_repeats(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
