@@ -141,3 +141,11 @@ def op8_substring_dedup(spark, sf):
 
     kept = drop_repeats(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark, sf):
+    from .suffixes import drop_repeats
+
+    kept = drop_repeats(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -82,6 +82,17 @@ def _repeated(seeds: np.ndarray, ids: np.ndarray, across: bool) -> np.ndarray:
     return out
 
 
+def edges_of(keys: np.ndarray) -> np.ndarray:
+    """Begin of every run of equal keys, and the end of the last."""
+    if not len(keys):
+        return np.zeros(1, np.int64)
+    return np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
+
+
+def _planes(columns: list[np.ndarray]) -> bytes:
+    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+
+
 def _spread(batches: Iterator[pa.RecordBatch], cut: Cut, buckets: int, across: bool) -> Iterator[pa.RecordBatch]:
     import zstandard
 
@@ -95,19 +106,22 @@ def _spread(batches: Iterator[pa.RecordBatch], cut: Cut, buckets: int, across: b
         s, k = seeds[order], known[order]
         edge = np.concatenate([[True], s[1:] != s[:-1]])
         last = np.concatenate([s[1:] != s[:-1], [True]])
-        sent = np.zeros(len(seeds), bool)
+        sent, weight = np.zeros(len(seeds), bool), np.ones(len(seeds), np.int64)
         sent[order] = ~k | edge | last
+        # the first stands for all that are not sent
+        size = np.diff(np.append(np.flatnonzero(edge), len(s)))
+        weight[order[edge]] = np.where(k[edge], np.maximum(size - 1, 1), 1)
         bucket = (seeds >> np.uint64(26)) % np.uint64(buckets)
         out = []
         for only, state in ((sent, 0), (known, 1)):
             at = np.flatnonzero(only)
             at = at[np.argsort(bucket[at] if state == 0 else ids[at], kind="stable")]
             own = bucket[at].astype(np.int64) if state == 0 else np.arange(len(at)) // 50_000
-            edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(at) else np.zeros(0, np.int64)
-            for a, b in zip(edges, np.append(edges[1:], len(at)), strict=True):
+            edges = edges_of(own)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
                 rows = at[a:b]
-                columns = [seeds[rows] if state == 0 else seeds[:0], np.diff(ids[rows], prepend=0), places[rows]]
-                body = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+                columns = [np.diff(ids[rows], prepend=0), places[rows]]
+                body = _planes([seeds[rows], *columns, weight[rows]] if state == 0 else columns)
                 name = int(bucket[rows[0]]) if state == 0 else int(ids[rows[0]] % buckets)
                 out.append((name, state, len(rows), squeeze(body)))
         cols = list(zip(*out, strict=True)) or [[]] * 4
@@ -129,7 +143,7 @@ def _spread(batches: Iterator[pa.RecordBatch], cut: Cut, buckets: int, across: b
         yield from send(held)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.RecordBatch]:
+def _meet(batches: Iterator[pa.RecordBatch], across: bool, hot: int) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     open_ = zstandard.ZstdDecompressor().decompress
@@ -142,10 +156,9 @@ def _meet(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.Record
     def by_id(ids: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((places, ids))
         ids, places = ids[order], places[order]
-        edges = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids[edges]), pa.array([places[a:b].tobytes() for a, b in zip(edges, np.append(edges[1:], len(ids)), strict=True)], pa.binary())], names=names
-        )
+        edges = edges_of(ids)
+        lists = [places[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[edges[:-1]]), pa.array(lists, pa.binary())], names=names)
 
     held = []
     for batch in batches:
@@ -154,25 +167,31 @@ def _meet(batches: Iterator[pa.RecordBatch], across: bool) -> Iterator[pa.Record
                 ids, places = read(row["body"], row["n"], 2)
                 yield by_id(np.cumsum(ids), places)
             else:
-                seeds, ids, places = read(row["body"], row["n"], 3)
-                held.append((seeds.view(np.uint64), np.cumsum(ids), places))
+                seeds, ids, places, weight = read(row["body"], row["n"], 4)
+                held.append((seeds.view(np.uint64), np.cumsum(ids), places, weight))
     if held:
-        seeds, ids, places = (np.concatenate(x) for x in zip(*held, strict=True))
+        seeds, ids, places, weight = (np.concatenate(x) for x in zip(*held, strict=True))
+        kinds, which = np.unique(seeds, return_inverse=True)
+        total = np.bincount(which, weight)
+        if hot and (total > hot).any():
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([kinds[total > hot].tobytes()], pa.binary())], names=names)
         again = _repeated(seeds, ids, across)
         if again.any():
             yield by_id(ids[again], places[again])
 
 
-def repeated_seeds(rows: DataFrame, cut: Cut, across: bool) -> DataFrame:
+def repeated_seeds(rows: DataFrame, cut: Cut, across: bool, hot: int = 0) -> DataFrame:
     """(id, places): the seeds of each id that occur again, as arrays of 64-bit places within the text.
 
     rows: (id, text), ids not NULL. Tasks keep what repeats among their own fragments and send one or two of each such
     seed, so a passage that every document shares is met as a few rows per task; the rest is met by seed, as
     compressed blocks of one bucket. Buckets follow the session's shuffle partitions.
+
+    With `hot`, a row of id NULL lists the seeds that occur more often than that (64-bit hashes).
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = rows.mapInArrow(lambda b: _spread(b, cut, 16 * parts, across), "bucket int, state int, n int, body binary")
-    met = blocks.repartition(parts, "bucket").mapInArrow(lambda b: _meet(b, across), "id long, places binary")
+    met = blocks.repartition(parts, "bucket").mapInArrow(lambda b: _meet(b, across, hot), "id long, places binary")
     return met.groupBy("id").agg(F.collect_list("places").alias("places"))
 
 
