@@ -149,3 +149,10 @@ def op4_suffix_dedup(spark, sf):
 
     kept = drop_repeats(table(spark, sf, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_near_dedup")
+def op6_near_dedup(spark, sf):
+    from .minmax import near_groups
+
+    return near_groups(table(spark, sf, "documents"), width=2)
