@@ -70,6 +70,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    dropped = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("dropped id"))
-    return docs.join(dropped, docs[id_col] == dropped["dropped id"], "left_anti")
+    """The rows of docs that stay, with all their columns.
+
+    Of rows that repeat an id one stays. Rows without an id cannot be named and always stay.
+    """
+    groups = durable(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("dropped id"), "kept"))
+    dropped = groups.where(~F.col("kept")).select("dropped id").distinct()
+    left = docs.join(dropped, docs[id_col] == dropped["dropped id"], "left_anti")
+    twice = groups.where(F.col("dropped id").isNotNull()).groupBy("dropped id").count().where("count > 1")
+    if twice.isEmpty():
+        return left
+    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
