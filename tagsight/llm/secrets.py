@@ -69,23 +69,23 @@ def _pairs(text: Column) -> Column:
 def train_markov(samples: DataFrame, text_col: str = "text", label_col: str = "label") -> list[int]:
     """Log-likelihood ratio of each character pair, random strings (label 1) against identifiers (label 0).
 
-    First-order models with one added count per pair. The result has one entry per pair of the alphabet, whatever
+    First-order models; a pair's share leans on that of its second character with the weight of one row of the
+    alphabet, and every character counts once more than seen. The result has one entry per pair of the alphabet, whatever
     the number of samples: it is the only thing that the driver gets. Samples of under two characters, NULL texts and
     NULL labels teach nothing; without samples all ratios are 0.
     """
     used = samples.where(F.col(label_col).isNotNull() & (F.length(text_col) >= 2))
-    counts = (
+    pairs = (
         used.select((F.col(label_col) == 1).alias("random"), F.explode(_pairs(F.col(text_col))).alias("pair"))
         .groupBy("random", "pair").count().collect()
     )
-    seen = {(r["random"], r["pair"]): r["count"] for r in counts}
+    seen = {(r["random"], r["pair"]): r["count"] for r in pairs}
 
     def logs(random: bool) -> list[float]:
-        out = []
-        for a in range(SIZE):
-            row = [seen.get((random, a * SIZE + b), 0) + 1 for b in range(SIZE)]
-            out += [math.log(n / sum(row)) for n in row]
-        return out
+        counts = [[seen.get((random, a * SIZE + b), 0) for b in range(SIZE)] for a in range(SIZE)]
+        alone = [1 + sum(row[b] for row in counts) for b in range(SIZE)]
+        share = [n / sum(alone) for n in alone]
+        return [math.log((row[b] + SIZE * share[b]) / (sum(row) + SIZE)) for row in counts for b in range(SIZE)]
 
     return [round(UNIT * (p - q)) for p, q in zip(logs(True), logs(False), strict=True)]
 
