@@ -15,7 +15,9 @@ from .base import PREDS, RUNS, SAMPLES, SEED, preds, query, rank_cte, rounded, s
 from .q_ranks import take_quota_ctes
 from .q_scores import RUNS_SQL, report_docs, runs_table
 
-DIGEST = "sha256(string_agg(sample_id, chr(10) ORDER BY sample_id))"
+# digest of a table `chosen`: of the digests of its md5 buckets, as the operator states it
+BUCKETS = "buckets AS (SELECT substr(md5(sample_id), 1, 4) AS b, sha256(string_agg(sample_id, chr(10) ORDER BY sample_id)) AS d, count(*) AS n FROM chosen GROUP BY 1)"
+DIGEST = "sha256(string_agg(d, chr(10) ORDER BY b))"
 
 
 def stored_tier(spark, sf, n=150):
@@ -39,22 +41,18 @@ def _(spark, sf):
     return TR.read_artifact(spark, root, "documents", "pool", "full")
 
 
-@query("s3_write_tier", with_(SAMPLES, take_quota_ctes(150), rank_cte("samples"), body=f"""SELECT 'documents' AS dataset_name, 'test' AS split_name, 'tier_150' AS artifact, 150::BIGINT AS tier_size_requested, count(*) AS tier_size_actual,
-  42::BIGINT AS seed, 'catalog' AS builder, {DIGEST} AS sample_id_sha256, 'ids' AS digest_kind FROM ranked JOIN quo USING (true_label) WHERE rk <= quota"""))
+@query("s3_write_tier", with_(SAMPLES, take_quota_ctes(150), rank_cte("samples"), "chosen AS (SELECT sample_id FROM ranked JOIN quo USING (true_label) WHERE rk <= quota)", BUCKETS,
+  body=f"""SELECT 'documents' AS dataset_name, 'test' AS split_name, 'tier_150' AS artifact, 150::BIGINT AS tier_size_requested, sum(n)::BIGINT AS tier_size_actual,
+  42::BIGINT AS seed, 'catalog' AS builder, {DIGEST} AS sample_id_sha256 FROM buckets"""))
 def _(spark, sf):
     return TR.read_manifest(spark, stored_tier(spark, sf), "documents", "test", "tier_150").drop("created_at", "origin")
 
 
-@query("s4_id_digest", with_(SAMPLES, body=f"SELECT {DIGEST} AS digest, count(*) AS n_rows, 'ids' AS digest_kind FROM samples"))
+@query("s4_id_digest", with_(SAMPLES, "chosen AS (SELECT sample_id FROM samples)", BUCKETS, body=f"SELECT {DIGEST} AS digest, sum(n)::BIGINT AS n_rows FROM buckets"))
 def _(spark, sf):
     return TR.id_digest(samples(spark, sf))
 
 
-@query("s4_id_digest_buckets", with_(SAMPLES, f"b AS (SELECT substr(md5(sample_id), 1, 2) AS b, {DIGEST} AS d, count(*) AS n FROM samples GROUP BY 1)", body="SELECT sha256(string_agg(d, chr(10) ORDER BY b)) AS digest, sum(n)::BIGINT AS n_rows, 'buckets' AS digest_kind FROM b"))
-def _(spark, sf):
-    return TR.id_digest(samples(spark, sf), exact_up_to=0)
-
-
 @query("s5_card", with_(SAMPLES, body="SELECT 'documents' AS dataset_name, 'all documents' AS description, string_agg(DISTINCT true_label, ',' ORDER BY true_label) AS labels, count(*) AS sample_count FROM samples"))
 def _(spark, sf):
     root = scratch_path(spark, "card")
@@ -271,11 +269,12 @@ def _(spark, sf):
     return RN.read_latest(spark, root)
 
 
-@query("s17_write_predictions", with_(PREDS, body="SELECT sample_id, run_id, true_label, pred_label, confidence::VARCHAR AS confidence, 'skipped' AS json FROM preds"))
+@query("s17_write_predictions", with_(PREDS, body="SELECT sample_id, run_id, true_label, pred_label, confidence::VARCHAR AS confidence, sample_id || '/' || run_id AS json_row FROM preds"))
 def _(spark, sf):
     path = scratch_path(spark, "sink")
-    state = PR.write_predictions(preds(spark, sf).select("sample_id", "run_id", "true_label", "pred_label", "confidence"), path)
-    return spark.read.csv(f"{path}/predictions.csv", header=True).withColumn("json", F.lit(state["json"]))
+    PR.write_predictions(preds(spark, sf).select("sample_id", "run_id", "true_label", "pred_label", "confidence"), path)
+    lines = spark.read.json(f"{path}/full_predictions.json").select("sample_id", "run_id", F.concat_ws("/", "sample_id", "run_id").alias("json_row"))
+    return spark.read.csv(f"{path}/predictions.csv", header=True).join(lines, ["sample_id", "run_id"])
 
 
 @query("s18_write_report", with_(PREDS, "s AS (SELECT run_id, count(*) AS n_total, sum(in_tokens)::BIGINT AS t FROM preds GROUP BY 1)", body="SELECT run_id, n_total, t AS in_tokens_total FROM s"))

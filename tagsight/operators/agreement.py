@@ -159,7 +159,7 @@ def mcnemar_from_pairs(pairs: DataFrame, by: list[str]) -> DataFrame:
         {
             "disagreements": a + b,
             "p_value": S.binomial_two_sided(a, b),
-            "p_method": S.binomial_method(a, b),
+            "p_method": F.lit("exact"),
         }
     ).withColumnRenamed("both_ok", "both_correct")
 

@@ -9,17 +9,18 @@ from ..plans.lineage import durable
 
 
 def connected_components(
-    nodes: DataFrame, edges: DataFrame, *, group: list[str], node: str = "id", max_rounds: int = 50
+    nodes: DataFrame, edges: DataFrame, *, group: list[str], node: str = "id"
 ) -> DataFrame:
     """Add ``component``: the smallest node of each component inside ``group``.
 
     ``edges`` has ``src`` and ``dst`` in both directions.  Every round takes the
     smallest component among the neighbours and then follows that component's own
-    pointer, so chains shrink by halves; rounds are cut by a reliable checkpoint.
+    pointer, so chains shrink by halves; rounds go on until nothing changes, and each
+    one is stored.
     """
     state = nodes.select(*group, F.col(node).alias("src"), F.col(node).alias("component"))
     links = durable(edges.select(*group, "src", "dst"))
-    for _ in range(max_rounds):
+    while True:
         best = (
             links.join(
                 state.select(*group, F.col("src").alias("dst"), F.col("component").alias("c")), [*group, "dst"]
@@ -39,4 +40,3 @@ def connected_components(
         if not state.filter("component < before").limit(1).count():
             return state.select(*group, F.col("src").alias(node), "component")
         state = state.select(*group, "src", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

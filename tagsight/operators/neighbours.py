@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ MAX_PIVOTS = 1024
 PRUNE_PAIRS = 10**11
 SLACK = 1e-6
 DIGITS = 12
+ID_KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def _matrix(table: pa.Table, name: str) -> np.ndarray:
@@ -35,6 +37,9 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks)
     flat = col.flatten().to_numpy(zero_copy_only=False)
+    # rows without a vector are left out before; a wrong width would move every later row
+    if len(col) and (col.null_count or len(set(pc.list_value_length(col).to_pylist())) != 1):
+        raise ValueError("vectors are missing or differ in length")
     vecs = flat.reshape(len(col), -1).astype(np.float64) if len(col) else np.zeros((0, 1))
     norm = np.sqrt((vecs * vecs).sum(axis=1, keepdims=True))
     norm[norm == 0] = 1.0
@@ -108,7 +113,7 @@ def _blocked(visits: DataFrame, pool: DataFrame, k: int, mode: str, id_kind: str
         "p_id", "p_vec", "p_label", "cell", spread("nbq").alias("bq"), F.pmod(F.xxhash64("p_id"), F.col("nbp")).alias("bp")
     )
     key = ["cell", "bq", "bp"]
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_kind]
+    arrow = ID_KINDS[id_kind]
     return q.groupBy(*key).cogroup(p.groupBy(*key)).applyInArrow(
         _kernel(k, mode, arrow), f"q_id {id_kind}, p_id {id_kind}, score double"
     )
@@ -180,15 +185,22 @@ def topk_cosine(
     ``mode``: any, other_row (not itself), other_label, same_label.  Small inputs are
     compared block by block.  Large ones (``prune``) are cut into cells around pivot
     rows: a query first searches its own cell, and its k-th hit then rules out every
-    cell that lies too far away.  Both ways give the same rows.
+    cell that lies too far away.  Both ways give the same rows.  Rows without a vector, or with a
+    NULL in it, take no part; vectors of different lengths are an error.
     """
     label = lambda name: (F.col(name) if name else F.lit("")).cast("string")
     q = queries.select(F.col(query_id).alias("q_id"), F.col(query_vec).alias("q_vec"), label(query_label).alias("q_label"))
     p = pool.select(F.col(pool_id).alias("p_id"), F.col(pool_vec).alias("p_vec"), label(pool_label).alias("p_label"))
+    q, p = (d.filter(F.col(v).isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull())) for d, v in ((q, "q_vec"), (p, "p_vec")))
     kind = dict(p.dtypes)["p_id"]
+    if kind not in ID_KINDS:
+        raise TypeError(f"ids of type {kind}; use one of {', '.join(ID_KINDS)}")
     n_pool = p.count() if prune is None or prune else 0
     if prune is None:
         prune = n_pool * q.count() > PRUNE_PAIRS
+    if mode == "same_label":  # a label is a cell; the kernel tells apart labels whose hashes meet
+        cell = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 30)).cast("int").alias("cell")
+        return _best(_blocked(q.select("*", cell("q_label")), p.select("*", cell("p_label")), k, mode, kind, block_rows), k)
     if not prune or not n_pool:
         one = F.lit(0).alias("cell")
         return _best(_blocked(q.select("*", one), p.select("*", one), k, mode, kind, block_rows), k)

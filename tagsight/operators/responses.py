@@ -87,31 +87,40 @@ def parse_label_responses(df: DataFrame, allowed: list[str], *, raw: str = "raw_
     return _explode(df, rows, keep, {"pred_label": L.match_allowed(label, names)})
 
 
+def _preference(rows: list) -> tuple[bool, bool, int]:
+    """Arrays of labelled items come first, then arrays of objects, then the one with more elements."""
+    objects = bool(rows) and all(isinstance(r, dict) for r in rows)
+    labelled = objects and any({"id", "labels"} <= r.keys() or {"id", "label"} <= r.keys() for r in rows)
+    return labelled, objects, len(rows) if objects else 0
+
+
+def _json_arrays(text: str) -> Iterator[tuple[int, int, list]]:
+    """(begin, end, rows) of the valid JSON arrays of a text.
+
+    The inside of an array of objects is passed over, as it holds nothing that is preferred; so every character is
+    decoded a bounded number of times unless arrays nest in arrays.
+    """
+    decoder, at = json.JSONDecoder(), text.find("[")
+    while at >= 0:
+        end = at + 1
+        try:
+            rows, stop = decoder.raw_decode(text, at)
+        except (ValueError, RecursionError):
+            pass
+        else:
+            yield at, stop, rows
+            if _preference(rows)[1]:
+                end = stop
+        at = text.find("[", end)
+
+
 @F.pandas_udf(T.StringType())
 def best_json_array(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The best valid JSON array inside each text: batch-shaped arrays before longer ones."""
-    decoder = json.JSONDecoder()
-
-    def value(rows: list, raw: str) -> int:
-        worth = len(raw)
-        if rows and all(isinstance(r, dict) for r in rows):
-            worth += 5000 + 200 * len(rows)
-            if any("id" in r and ("labels" in r or "label" in r) for r in rows):
-                worth += 5000
-        return worth
+    """The preferred valid JSON array inside each text; of equals the longest, then the first."""
 
     def best(text: str | None) -> str | None:
-        top, found = -1, None
-        at = text.find("[") if text else -1
-        while at >= 0:
-            try:
-                rows, end = decoder.raw_decode(text, at)
-            except (ValueError, RecursionError):
-                rows, end = None, at
-            if rows is not None and value(rows, text[at:end]) > top:
-                top, found = value(rows, text[at:end]), text[at:end]
-            at = text.find("[", at + 1)
-        return found
+        found = max(_json_arrays(text or ""), key=lambda a: (_preference(a[2]), a[1] - a[0], -a[0]), default=None)
+        return text[found[0] : found[1]] if found else None
 
     for chunk in texts:
         yield chunk.map(best)

@@ -8,8 +8,7 @@ class into one task.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,29 +35,38 @@ def take_quotas(
     return md5_take(df, table, by=[label], seed=seed, id_col=id_col, prefix=prefix)
 
 
+def _label_arrays(sizes: dict[str, int], order) -> tuple[list[str], np.ndarray]:
+    names = sorted(sizes, key=order)
+    return names, np.array([sizes[k] for k in names], np.int64)
+
+
+def _top(keys: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest keys; of equal keys the earlier place."""
+    return np.argsort(-keys, kind="stable")[: max(0, k)]
+
+
 def proportional_quotas(sizes: dict[str, int], n: int) -> dict[str, int] | None:
     """Largest-remainder shares with one row per class where the budget allows.
 
+    Each step is one ranking: the largest remainders take the spare rows; classes without a row take the highest
+    units that other classes hold above their first; what passes a class's size fills the classes with most room.
     None means that no allocation adds up to ``n``.
     """
-    total = sum(sizes.values())
-    names = sorted(sizes)
-    exact = {k: n * (sizes[k] / total) for k in names}
-    share = {k: math.floor(exact[k]) for k in names}
-    spare = n - sum(share.values())
-    for k in sorted(names, key=lambda k: (share[k] - exact[k], k))[: max(spare, 0)]:
-        share[k] += 1
-    if n >= len(names):
-        for k in [k for k in names if share[k] == 0]:
-            giver = max(names, key=lambda g: (share[g], g))
-            if share[giver] <= 1:
-                break
-            share[giver] -= 1
-            share[k] = 1
-    share = {k: min(v, sizes[k]) for k, v in share.items()}
-    for k in sorted(names, key=lambda k: (share[k] - sizes[k], k)):
-        share[k] += min(sizes[k] - share[k], n - sum(share.values()))
-    return share if sum(share.values()) == n else None
+    names, size = _label_arrays(sizes, lambda k: k)
+    exact = n * (size / size.sum())
+    share = np.floor(exact).astype(np.int64)
+    share[_top(exact - share, n - int(share.sum()))] += 1
+    bare = np.flatnonzero(share == 0)
+    if n >= len(names) and len(bare):
+        units = [(height, j) for j, top in enumerate(share) for height in range(max(2, top - len(bare) + 1), top + 1)]
+        givers = [j for _, j in sorted(units, reverse=True)[: len(bare)]]
+        share -= np.bincount(givers, minlength=len(names)) if givers else 0
+        share[bare[: len(givers)]] = 1
+    share = np.minimum(share, size)
+    order = _top(size - share, len(names))
+    room = (size - share)[order]
+    share[order] += np.clip(n - share.sum() - (np.cumsum(room) - room), 0, room)
+    return dict(zip(names, share.tolist(), strict=True)) if share.sum() == n else None
 
 
 def stratified_take(
@@ -160,17 +168,15 @@ def balanced_with_replacement(
 
 def loose_quotas(sizes: dict[str, int], n: int) -> dict[str, int]:
     """truncated shares, one per class while the budget lasts, the rest by fraction."""
-    total = sum(sizes.values())
-    names = sorted(sizes, key=lambda k: (-sizes[k], k))
-    share = {k: int(n * sizes[k] / total) for k in names}
-    for k in names:
-        if share[k] == 0 and sum(share.values()) < n:
-            share[k] = 1
-    by_fraction = sorted(names, key=lambda k: (-((n * sizes[k] / total) % 1), k))
-    for k in by_fraction:
-        if sum(share.values()) < n and share[k] < sizes[k]:
-            share[k] += 1
-    return {k: min(v, sizes[k]) for k, v in share.items()}
+    names, size = _label_arrays(sizes, lambda k: (-sizes[k], k))
+    exact = n * size / size.sum()
+    share = exact.astype(np.int64)
+    share[np.flatnonzero(share == 0)[: max(0, n - int(share.sum()))]] = 1
+    by_name = np.argsort(names, kind="stable")
+    by_fraction = by_name[_top((exact % 1)[by_name], len(names))]
+    open_ = by_fraction[share[by_fraction] < size[by_fraction]]
+    share[open_[: max(0, n - int(share.sum()))]] += 1
+    return dict(zip(names, np.minimum(share, size).tolist(), strict=True))
 
 
 def sample_proportional(df: DataFrame, n: int, *, label: str = LABEL, seed: int, id_col: str = "sample_id") -> DataFrame:

@@ -345,7 +345,7 @@ def unanimous(df: DataFrame, col: str) -> DataFrame:
 
 
 def semantic_entropy(
-    answers: DataFrame, edges: DataFrame, *, threshold: float = 0.5, max_rounds: int = 50
+    answers: DataFrame, edges: DataFrame, *, threshold: float = 0.5
 ) -> DataFrame:
     """Cluster the answers of a question by entailment both ways; entropy of the cluster sizes.
 
@@ -358,7 +358,6 @@ def semantic_entropy(
     both = strong.select("question_id", "src", "dst").join(back, ["question_id", "src", "dst"], "left_semi")
     comp = connected_components(
         answers.select("question_id", "answer_id"), both, group=["question_id"], node="answer_id",
-        max_rounds=max_rounds,
     )
     sizes = comp.groupBy("question_id", "component").agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n")

@@ -10,8 +10,6 @@ from ..functions import labels as L
 from ..plans.lineage import collect_small
 from ..schema import coalesce_columns
 
-MAX_BYTES = 40 * 1024 * 1024
-MAX_JSON_ROWS = 500
 ALIASES = {
     "sample_id": ["sample_id", "id", "source_index"],
     "true_label": ["true_label", "gold", "true"],
@@ -89,12 +87,12 @@ def run_dir_of(path: Column) -> Column:
 
 
 def read_predictions(
-    spark: SparkSession, csv_paths: list[str] = (), json_paths: list[str] = (), *, max_bytes: int = MAX_BYTES
+    spark: SparkSession, csv_paths: list[str] = (), json_paths: list[str] = ()
 ) -> DataFrame:
     """Prediction files of many runs as one long table with ``run_dir``.
 
     CSV files are scanned once per distinct header; JSON files hold an array or
-    ``{"predictions": [...]}`` and are left out above ``max_bytes``.
+    ``{"predictions": [...]}`` and are read whole, whatever their size.
     """
     parts: list[DataFrame] = []
     if csv_paths:
@@ -107,13 +105,13 @@ def read_predictions(
     if json_paths:
         row = "struct<" + ",".join(f"{c}:string" for c in PRED_FIELDS) + ">"
         body = spark.read.text(list(json_paths), wholetext=True).select(
-            "value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("size")
+            "value", F.col("_metadata.file_path").alias("f")
         )
         # from_json turns a lone object into a one-element array, so the shape is told apart first
         rows = F.when(
             F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", f"array<{row}>")
         ).otherwise(F.from_json("value", f"struct<predictions:array<{row}>>")["predictions"])
-        flat = body.filter(F.col("size") <= max_bytes).select(run_dir_of(F.col("f")).alias("run_dir"), F.inline(rows))
+        flat = body.select(run_dir_of(F.col("f")).alias("run_dir"), F.inline(rows))
         parts.append(harmonise(flat))
     if not parts:
         raise ValueError("no prediction files")
@@ -138,8 +136,8 @@ def read_predictions_legacy(
     return out
 
 
-def write_predictions(df: DataFrame, path: str, *, max_json_rows: int = MAX_JSON_ROWS) -> dict[str, str]:
-    """Predictions as parquet and CSV; a JSON copy only for small tables, otherwise a note."""
+def write_predictions(df: DataFrame, path: str) -> None:
+    """Predictions as parquet, CSV and JSON lines."""
     flat = [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
     nested = [F.to_json(c).alias(c) for c, t in df.dtypes if c not in flat]
     df.write.mode("overwrite").parquet(f"{path}/predictions.parquet")
@@ -147,10 +145,7 @@ def write_predictions(df: DataFrame, path: str, *, max_json_rows: int = MAX_JSON
     stored.select(*flat, *nested).write.mode("overwrite").csv(
         f"{path}/predictions.csv", header=True, quote='"', escape='"'
     )
-    if stored.limit(max_json_rows + 1).count() > max_json_rows:
-        return {"json": "skipped", "note": f"more than {max_json_rows} rows"}
-    stored.coalesce(1).write.mode("overwrite").json(f"{path}/full_predictions.json")
-    return {"json": "written", "note": ""}
+    stored.write.mode("overwrite").json(f"{path}/full_predictions.json")
 
 
 def write_report(reports: DataFrame, path: str) -> None:

@@ -517,16 +517,16 @@ LEGACY = {
 }
 
 
-def series_in(spark: SparkSession, root: str) -> list[str]:
-    """First-level folder names below the results root that hold any result file."""
+def series_in(spark: SparkSession, root: str, names: list[str]) -> list[str]:
+    """Those of the first-level folder names below the results root that hold any result file."""
     files = list_files(spark, root, "*.json", "*.csv")
-    top = files.select(F.substring_index("rel", "/", 1).alias("s")).distinct()
-    return sorted(r["s"] for r in top.limit(10_000).collect())
+    top = files.select(F.substring_index("rel", "/", 1).alias("s")).filter(F.col("s").isin(names)).distinct()
+    return sorted(r["s"] for r in top.collect())
 
 
 def read_legacy_records(spark: SparkSession, root: str) -> DataFrame:
     """The rows of all flat layouts that exist below the root."""
-    present = series_in(spark, root)
+    present = series_in(spark, root, list(LEGACY))
     parts = [reader(spark, root) for name, reader in LEGACY.items() if name in present]
     if not parts:
         return run_row(spark.range(0), f1_source=F.lit("f1_macro"))
@@ -536,7 +536,7 @@ def read_legacy_records(spark: SparkSession, root: str) -> DataFrame:
 def leaderboard(spark: SparkSession, root: str) -> DataFrame:
     """Run folders, flat layouts and tier summaries merged and ordered."""
     parts = [read_run_records(spark, root), read_legacy_records(spark, root)]
-    if "reasoning_spectrum" in series_in(spark, root):
+    if series_in(spark, root, ["reasoning_spectrum"]):
         parts.append(read_tier_rows_summary(spark, root))
     rows = union_runs(*[p.withColumn("source_order", F.lit(i)) for i, p in enumerate(parts)])
     return ordered_board(rows).select(*[c for c, _ in RUN_COLUMNS], "f1_source")

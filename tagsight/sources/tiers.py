@@ -17,8 +17,6 @@ from ..operators.metrics import top_labels
 from ..operators.sampling import build_seed_vault, test_pool
 from ..schema import CARD, assert_unique, to_processed, validate_samples
 
-EXACT_DIGEST_ROWS = 1_000_000
-
 
 def artifact_dir(root: str, dataset: str, split: str, artifact: str) -> str:
     return f"{root.rstrip('/')}/{dataset}/{split}/{artifact}"
@@ -39,31 +37,19 @@ def read_tier(spark: SparkSession, root: str, dataset: str, split: str, tier: in
     return read_artifact(spark, root, dataset, split, f"tier_{int(tier)}")
 
 
-def id_digest(df: DataFrame, *, key: str = "sample_id", exact_up_to: int = EXACT_DIGEST_ROWS) -> DataFrame:
-    """sha256 of the newline-joined ids in id order, as one row (digest, n_rows, digest_kind).
+def id_digest(df: DataFrame, *, key: str = "sample_id") -> DataFrame:
+    """sha256 over the table's ids, as one row (digest, n_rows), independent of the order of rows.
 
-    Larger tables are digested per md5 bucket of the id first, then the bucket
-    digests are digested, so no task holds all ids.
+    Ids fall into buckets by the first four digits of their md5; a bucket's digest covers its ids, one per line in
+    order, and the digest covers those of the buckets in order.  It means the same at every size, and no task lists
+    more than one of 65,536 parts of the ids.
     """
-    n = df.count()
-    if n <= exact_up_to:
-        return df.agg(
-            F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n"), 256).alias("digest"),
-            F.count(F.lit(1)).alias("n_rows"),
-            F.lit("ids").alias("digest_kind"),
-        )
-    width = next((w for w in (2, 3, 4, 5) if n / 16**w <= EXACT_DIGEST_ROWS / 10), 6)
-    per = df.groupBy(F.substring(F.md5(F.col(key).cast("string")), 1, width).alias("b")).agg(
+    per = df.groupBy(F.substring(F.md5(F.col(key).cast("string")), 1, 4).alias("b")).agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), "\n"), 256).alias("d"),
         F.count(F.lit(1)).alias("n"),
     )
-    return per.agg(
-        F.sha2(
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"]), "\n"), 256
-        ).alias("digest"),
-        F.sum("n").alias("n_rows"),
-        F.lit("buckets").alias("digest_kind"),
-    )
+    buckets = F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda s: s["d"])
+    return per.agg(F.sha2(F.array_join(buckets, "\n"), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"))
 
 
 def manifest(
@@ -81,7 +67,6 @@ def manifest(
         F.lit(builder).alias("builder"),
         L.literal_map({k: str(v) for k, v in (origin or {"kind": "table"}).items()}).alias("origin"),
         F.col("digest").alias("sample_id_sha256"),
-        "digest_kind",
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("created_at"),
         *[F.lit(str(v)).alias(k) for k, v in (extra or {}).items()],
     )

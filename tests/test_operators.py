@@ -1,6 +1,7 @@
 """Behaviour of the operators on small frames with known answers."""
 
 import math
+from fractions import Fraction
 
 import pytest
 from conftest import rows
@@ -105,12 +106,18 @@ def test_sign_test_p_values(spark, b, c, want):
     assert got == pytest.approx(want, rel=1e-9, abs=1e-300)
 
 
-def test_sign_test_normal_tail_is_close(spark):
-    b, c = F.lit(50_200).cast("bigint"), F.lit(49_000).cast("bigint")
-    exact = one(spark, S.binomial_two_sided(b, c))
-    near = one(spark, S.binomial_two_sided(b, c, exact_up_to=10))
-    assert near == pytest.approx(exact, rel=1e-3)
-    assert one(spark, S.binomial_method(b, c, exact_up_to=10)) == "normal"
+@pytest.mark.parametrize("b, c", [(50_200, 49_000), (300_000, 300_900), (7, 150_000), (1, 40), (16, 17), (15, 31)])
+def test_sign_test_against_exact_sums(spark, b, c):
+    n, k, terms, term = b + c, min(b, c), 0, 1
+    for i in range(k + 1):
+        terms += term
+        term = term * (n - i) // (i + 1)
+    want = float(Fraction(2 * terms, 1 << n)) if n < 1000 else None
+    if want is None:
+        scale = (terms.bit_length() - 200) if terms.bit_length() > 200 else 0
+        want = math.exp(math.log(terms >> scale) + (scale + 1 - n) * math.log(2))
+    got = one(spark, S.binomial_two_sided(F.lit(b).cast("bigint"), F.lit(c).cast("bigint")))
+    assert got == pytest.approx(want, rel=1e-9, abs=1e-300)
 
 
 # agreement ------------------------------------------------------------------------------------------

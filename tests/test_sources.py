@@ -101,9 +101,9 @@ def test_prediction_files(spark, tmp_path):
     put(tmp_path / "r4" / "full_predictions.json", [{"sample_id": "big", "pred_label": "x" * 500}])
     csvs = [str(tmp_path / r / "predictions.csv") for r in ("r1", "r2")]
     jsons = [str(tmp_path / r / "full_predictions.json") for r in ("r3", "r4")]
-    got = PR.read_predictions(spark, csvs, jsons, max_bytes=300)
+    got = PR.read_predictions(spark, csvs, jsons)
     short = got.select(F.substring_index("run_dir", "/", -1).alias("r"), "sample_id", "true_label", "pred_label")
-    assert rows(short) == [("r1", "s1", "a", "a"), ("r2", "9", "y", "x"), ("r3", "4", "u", None)]
+    assert rows(short) == [("r1", "s1", "a", "a"), ("r2", "9", "y", "x"), ("r3", "4", "u", None), ("r4", "big", None, "x" * 500)]
     assert got.filter("sample_id = 's1'").first()["text"] == 'hi, "you"\nthere'
 
 
@@ -115,10 +115,12 @@ def test_source_index_counts_rows(spark, tmp_path):
     assert got[4]["context"] == "c5" and got[0]["safety_label"] == "needs_caution" and got[0]["safety_annotations"] == ["a_b"]
 
 
-def test_small_predictions_get_a_json_copy(spark, tmp_path):
-    df = spark.createDataFrame([("s", "a", {"a": 0.5})], "sample_id string, pred_label string, probs map<string,double>")
-    assert PR.write_predictions(df, str(tmp_path / "p"))["json"] == "written"
-    assert PR.write_predictions(df, str(tmp_path / "q"), max_json_rows=0)["json"] == "skipped"
+@pytest.mark.parametrize("n", [1, 1200])
+def test_predictions_get_json_lines_at_any_size(spark, tmp_path, n):
+    df = spark.range(n).selectExpr("cast(id as string) AS sample_id", "'a' AS pred_label", "map('a', 0.5D) AS probs")
+    PR.write_predictions(df, str(tmp_path / "p"))
+    back = spark.read.json(str(tmp_path / "p" / "full_predictions.json"))
+    assert back.count() == n and rows(back.limit(1).select("probs.a")) == [(0.5,)]
 
 
 def test_tiers_round_trip(spark, tmp_path):
@@ -129,7 +131,11 @@ def test_tiers_round_trip(spark, tmp_path):
     TR.write_tier(df, str(tmp_path), tier=20, **kw)
     assert rows(TR.read_tier(spark, str(tmp_path), "d", "test", 20)) == rows(df)
     m = TR.read_manifest(spark, str(tmp_path), "d", "test", "tier_20").first()
-    assert m["sample_id_sha256"] == hashlib.sha256("\n".join(sorted(f"s{i}" for i in range(20))).encode()).hexdigest()
+    buckets: dict[str, list[str]] = {}
+    for i in sorted(f"s{i}" for i in range(20)):
+        buckets.setdefault(hashlib.md5(i.encode()).hexdigest()[:4], []).append(i)
+    parts = [hashlib.sha256("\n".join(v).encode()).hexdigest() for _, v in sorted(buckets.items())]
+    assert m["sample_id_sha256"] == hashlib.sha256("\n".join(parts).encode()).hexdigest()
     with pytest.raises(FileNotFoundError):
         TR.read_tier(spark, str(tmp_path), "d", "test", 99)
     with pytest.raises(ValueError):
