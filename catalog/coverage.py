@@ -1,4 +1,4 @@
-"""Write COVERAGE.md: operator ID, functions whose docstring names it, queries and kind of check.
+"""Write COVERAGE.md: operator ID, functions whose docstring begins with it, queries and kind of check.
 
     python -m catalog.coverage
 """
@@ -24,8 +24,9 @@ def functions() -> dict[str, list[str]]:
     for path in sorted((ROOT / "tagsight").rglob("*.py")):
         for node in ast.walk(ast.parse(path.read_text())):
             if isinstance(node, ast.FunctionDef):
-                first = (ast.get_docstring(node) or "").split("\n")[0]
-                for i in re.findall(r"\b([SPJAWTUFNM]\d{1,2})\b", first):
+                # IDs stand before the first word of the docstring; "macro F1" further on is no ID
+                lead = re.match(r"[SPJAWTUFNM]\d{1,2}\b(?:, [SPJAWTUFNM]\d{1,2}\b)*", ast.get_docstring(node) or "")
+                for i in lead[0].split(", ") if lead else []:
                     out[i].append(f"{path.relative_to(ROOT / 'tagsight').with_suffix('')}.{node.name}".replace("/", "."))
     return out
 

@@ -264,21 +264,12 @@ def attach_predictions_to_batches(batches: DataFrame, preds: DataFrame) -> DataF
     )
 
 
-def group_context(
-    df: DataFrame, key: str, order: str, *, text: str = "text", sep: str = " ", max_chars: int = 64 << 20
-) -> DataFrame:
+def group_context(df: DataFrame, key: str, order: str, *, text: str = "text", sep: str = " ") -> DataFrame:
     """The sentences of a group joined in order and mapped back to each row.
 
-    The context is one string, so its length must be bounded: sizes are counted
-    first and a group beyond ``max_chars`` stops the job instead of being cut.
+    The context of a group is one string by definition, so a group's text must fit into one; it is never cut.
     """
-    size = df.groupBy(key).agg(F.sum(F.length(text) + len(sep)).alias("_chars"))
-    limit = F.when(
-        F.col("_chars") > max_chars,
-        F.raise_error(F.concat(F.lit("context too long for "), F.col(key).cast("string"))),
-    ).otherwise(F.col("_chars"))
-    checked = df.join(size.withColumn("_chars", limit), key).filter("_chars >= 0")
-    ctx = checked.groupBy(key).agg(
+    ctx = df.groupBy(key).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda s: s[text]), sep
         ).alias("context")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -135,8 +137,9 @@ def near_duplicates(
     """Sets of rows linked by neighbours of cosine >= ``threshold``.
 
     Equal vectors are first folded into their smallest id, so a large group of
-    copies is one row in the search and costs no pairs; every distinct vector then
-    links to at most k neighbours, and components of those links are the sets.
+    copies is one row in the search and costs no pairs.  Vectors whose k neighbours all
+    reach the threshold may have more: they are searched again with twice as many, until
+    the last neighbour lies below it.  Components of all links are the sets.
     """
     key = F.sha2(F.concat_ws(",", F.col(vec).cast("array<string>")), 256)
     keyed = df.select(id_col, vec, key.alias("_key"))
@@ -144,7 +147,17 @@ def near_duplicates(
         keyed.groupBy("_key").agg(F.min(F.struct(id_col, vec)).alias("s"), F.count(F.lit(1)).alias("n_copies"))
         .select("_key", "n_copies", "s.*")
     )
-    near = topk_similar(reps, reps, k=k, vec=vec, id_col=id_col, exclude_self=True).filter(F.col("score") >= threshold)
+    asked, found = reps, []
+    while True:
+        hits = durable(
+            topk_similar(asked, reps, k=k, vec=vec, id_col=id_col, exclude_self=True).filter(F.col("score") >= threshold)
+        )
+        found.append(hits.select("q_id", "p_id"))
+        full = hits.groupBy(F.col("q_id").alias(id_col)).count().filter(F.col("count") >= k).select(id_col)
+        asked, k = durable(asked.join(full, id_col, "left_semi")), 2 * k
+        if asked.isEmpty():
+            break
+    near = reduce(DataFrame.union, found)
     links = near.select(F.explode(F.array(
         F.struct(F.col("q_id").alias("src"), F.col("p_id").alias("dst")),
         F.struct(F.col("p_id").alias("src"), F.col("q_id").alias("dst")),

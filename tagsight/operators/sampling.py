@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..plans.lineage import collect_small, durable, small_table
-from ..plans.order import PREFIX, md5_head, md5_rank, md5_take, seeded_key
+from ..plans.order import md5_head, md5_rank, md5_take, seeded_key
 from .joins import exclude_ids, select_ids
 
 LABEL = "true_label"
@@ -28,7 +28,7 @@ def label_sizes(df: DataFrame, label: str = LABEL) -> dict[str, int]:
 
 def take_quotas(
     df: DataFrame, quotas: dict[str, int], *, label: str = LABEL, seed: int | str, id_col: str = "sample_id",
-    prefix: int = PREFIX,
+    prefix: int | None = None,
 ) -> DataFrame:
     """The given number of rows of each label in md5 order."""
     table = small_table(df.sparkSession, list(quotas.items()), f"`{label}` string, quota bigint")
@@ -70,7 +70,7 @@ def proportional_quotas(sizes: dict[str, int], n: int) -> dict[str, int] | None:
 
 
 def stratified_take(
-    df: DataFrame, n: int, *, label: str = LABEL, seed: int, id_col: str = "sample_id", prefix: int = PREFIX,
+    df: DataFrame, n: int, *, label: str = LABEL, seed: int, id_col: str = "sample_id", prefix: int | None = None,
     sizes: dict[str, int] | None = None,
 ) -> DataFrame:
     """exactly ``n`` rows with the label shares of the table."""

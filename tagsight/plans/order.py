@@ -20,12 +20,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: least md5 digits and value edges of a ranking; both grow with the table
 PREFIX = 2
 EDGES = 32
+#: bytes, by Spark's estimate, that one bucket is meant to hold
+BUCKET_BYTES = 32 << 20
 TOP_ROWS = 10_000
 _BEFORE = (W.unboundedPreceding, -1)
 
 
+def buckets_for(df: DataFrame) -> int:
+    """How many buckets a ranking of the table needs, from Spark's own estimate of its size; no job is run."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(1 << 20, size // BUCKET_BYTES)
+
+
+def md5_digits(df: DataFrame) -> int:
+    """Digits of the md5 that cut a group into buckets: 256 buckets at least, about a million at most."""
+    digits = PREFIX
+    while 16**digits < buckets_for(df):
+        digits += 1
+    return digits
+
+
+def value_edges(df: DataFrame) -> int:
+    """Quantile edges per group: 32 at least, 4096 at most, which keeps the sketch of a group small."""
+    return max(EDGES, min(4096, buckets_for(df)))
+
+
 def seeded_key(seed: int | str, id_col: str) -> Column:
     """The order key of every seeded draw: md5 of ``seed|id``."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
@@ -52,9 +74,10 @@ def md5_rank(
     seed: int | str,
     id_col: str = "sample_id",
     out: str = "rank_in_group",
-    prefix: int = PREFIX,
+    prefix: int | None = None,
 ) -> DataFrame:
     """Rank 1..n of every row inside ``by`` in md5 order."""
+    prefix = prefix or md5_digits(df)
     keyed = df.withColumn("_key", seeded_key(seed, id_col)).withColumn(
         "_pfx", F.substring("_key", 1, prefix)
     )
@@ -76,13 +99,14 @@ def md5_take(
     seed: int | str,
     id_col: str = "sample_id",
     quota_col: str = "quota",
-    prefix: int = PREFIX,
+    prefix: int | None = None,
 ) -> DataFrame:
     """The first ``quota`` rows of each group in md5 order.
 
     Only the md5 buckets that can hold chosen rows are shuffled; the rest is
     dropped by a join against the (groups x buckets) histogram.
     """
+    prefix = prefix or md5_digits(df)
     keyed = df.withColumn("_key", seeded_key(seed, id_col)).withColumn(
         "_pfx", F.substring("_key", 1, prefix)
     )
@@ -115,8 +139,9 @@ def md5_head(
     return md5_take(df, quota, by=[], seed=seed, id_col=id_col)
 
 
-def _bucketed(df: DataFrame, by: list[str], value: str, edges: int) -> DataFrame:
+def _bucketed(df: DataFrame, by: list[str], value: str, edges: int | None) -> DataFrame:
     """Add ``_b``: an ordered bucket; odd buckets hold one single value."""
+    edges = edges or value_edges(df)
     cuts = [i / edges for i in range(1, edges)]
     quant = df.groupBy(*by).agg(
         F.array_sort(
@@ -142,7 +167,7 @@ def _bucketed(df: DataFrame, by: list[str], value: str, edges: int) -> DataFrame
 
 
 def value_counts_below(
-    df: DataFrame, *, by: list[str], value: str, edges: int = EDGES
+    df: DataFrame, *, by: list[str], value: str, edges: int | None = None
 ) -> DataFrame:
     """One row per distinct value: ``n_equal``, ``n_below`` and group size ``n_group``.
 
@@ -172,14 +197,15 @@ def value_ranks(
     by: list[str],
     value: str,
     id_col: str,
-    edges: int = EDGES,
-    prefix: int = PREFIX,
+    edges: int | None = None,
+    prefix: int | None = None,
 ) -> DataFrame:
     """Add ``row_rank`` (unique), ``avg_rank`` (ties averaged) and ``n_group``.
 
     Rows with a NULL value are kept and get NULL ranks.  ``df`` is read three times
     (edges, bucket sizes, ranks): store it first when it is costly to compute.
     """
+    prefix = prefix or md5_digits(df)
     present = df.filter(F.col(value).isNotNull())
     single = F.col("_b") % 2 == 1
     keyed = (
@@ -220,7 +246,7 @@ def value_ranks(
 
 
 def exact_quantiles(
-    df: DataFrame, *, by: list[str], value: str, probs: dict[str, float], edges: int = EDGES
+    df: DataFrame, *, by: list[str], value: str, probs: dict[str, float], edges: int | None = None
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per group.
 

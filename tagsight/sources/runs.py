@@ -31,11 +31,14 @@ SUMMARY_NAME = r"^(.+)_summary_(\d{8}_\d{6})\.json$"
 def _listing(df: DataFrame, path: Column, root: str, globs: tuple[str, ...], *keep: str) -> DataFrame:
     """Add (rel, dir, name) and keep the files whose name matches one of the globs.
 
-    Folders written by Spark count as files: ``a/leaf=x/file=report.json/part-0`` is
-    ``a/x/report.json``.
+    A folder that Spark wrote counts as a file, by the name in its ``file=`` column:
+    ``a/leaf=x/file=report.json/part-0`` is ``a/x/report.json``.  Other paths stay as they are, also where a
+    folder is called ``lr=1``.
     """
     below = F.regexp_replace(path, "^.*?" + re.escape(root.rstrip("/")) + "/", "")
-    rel = F.regexp_replace(F.regexp_replace(below, r"/part-[^/]*$", ""), r"(^|/)[A-Za-z_]+=", "$1")
+    whole = F.regexp_replace(below, r"/part-[^/]*$", "")
+    by_columns = F.regexp_like(below, F.lit(r"(^|/)file=[^/]*/part-[^/]*$"))
+    rel = F.when(by_columns, F.regexp_replace(whole, r"(^|/)[A-Za-z_]+=", "$1")).otherwise(whole)
     named = df.select(rel.alias("rel"), *keep).withColumns(
         {"dir": F.regexp_replace("rel", r"/?[^/]*$", ""), "name": F.substring_index("rel", "/", -1)}
     )

@@ -43,3 +43,5 @@ def test_every_operator_is_covered():
 
     where, asked = functions(), queries()
     assert [i for i in survey_ids() if i not in where or i not in asked] == []
+    assert where["F1"] == ["operators.sampling.stratified_take"]
+    assert all("performance" in w or "weighted" in w for w in where["A3"])

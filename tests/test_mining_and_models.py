@@ -96,6 +96,25 @@ def test_copies_form_one_set(cloud):
     assert sets[0] == (0, 1)
 
 
+def test_near_sets_larger_than_k_stay_whole(spark):
+    vecs = [(i, "a", [1.0, 0.002 * i, 0.0]) for i in range(24)] + [(99, "a", [0.0, 0.0, 1.0])]
+    got = Q.near_duplicates(spark.createDataFrame(vecs, "sample_id long, true_label string, embedding array<double>"), k=3, threshold=0.998)
+    sets = {r["sample_id"]: (r["set_id"], r["set_size"]) for r in got.collect()}
+    assert {sets[i] for i in range(24)} == {(0, 24)} and sets[99] == (99, 1)
+
+
+def test_rows_without_vectors_take_no_part(spark):
+    from tagsight.operators import neighbours as NB
+
+    rows_ = [(1, "a", [1.0, 0.0, 0.0, 0.0]), (2, "a", None), (3, "b", [0.995, 0.1, 0.0, 0.0]), (4, "b", [0.0, 1.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows_, "sample_id long, true_label string, embedding array<double>")
+    got = {r["q_id"]: (r["p_id"], round(r["score"], 3)) for r in NB.topk_similar(df, df, k=1, exclude_self=True).collect()}
+    assert got == {1: (3, 0.995), 3: (1, 0.995), 4: (3, 0.1)}
+    ragged = df.filter("embedding IS NOT NULL").union(spark.createDataFrame([(5, "b", [1.0])], df.schema))
+    with pytest.raises(Exception, match="differ in length"):
+        NB.topk_similar(ragged, ragged, k=1).collect()
+
+
 def test_cluster_representatives(cloud):
     _, _, df = cloud
     got = G.label_clusters(df, 3, seed=1)

@@ -39,6 +39,12 @@ def test_one_leaderboard_row(spark, tmp_path):
     assert (r["tier_size"], r["model_id"], r["batch_size"], r["format"], r["phase"]) == (10, "m1", 5, "harness_report", "full")
 
 
+def test_folders_with_equal_signs_stay_apart(spark, tmp_path):
+    for name in ("lr=1", "bs=1"):
+        harness_run(tmp_path / "evaluate" / name)
+    assert {r["run_dir"] for r in RN.discover_runs(spark, str(tmp_path)).collect()} == {"evaluate/lr=1", "evaluate/bs=1"}
+
+
 def test_zero_f1_survives(spark, tmp_path):
     harness_run(tmp_path / "evaluate" / "20260501_120000" / "exp_a", f1=0.0)
     assert RN.read_run_records(spark, str(tmp_path)).first()["f1_macro"] == 0.0
