@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -24,13 +26,14 @@ HEADLINE = [
     "j1_compare_runs_wide", "j10_nearest_other_class", "j11_topk_similar", "m13_knn_classify", "f1_stratified_take", "f11_build_seed_vault",
     "f17_fixed_batches", "f18_label_balanced_batches", "n1_corrupt_labels_random", "n8_find_label_issues", "n11_centroid_distance_flag",
     "m2_batch_predict", "m3_parse_label_responses", "m4_parse_multilabel_responses", "m17_evaluate", "s3_write_tier", "s7_read_predictions",
-    "m9_tfidf_logreg", "f21_cluster_representatives",
+    "m9_tfidf_logreg", "f21_cluster_representatives", "n12_outliers", "n13_near_duplicates",
 ]
 
 
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
+    stages = tempfile.mkdtemp(prefix="spark-")  # one machine: its own folder is shared by all executor threads
     only = tuple(filter(None, os.environ.get("BENCH_ONLY", "").split(",")))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -41,6 +44,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", stages)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -57,6 +61,7 @@ def main() -> None:
         "queries": times, "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf"),
     }))
     spark.stop()
+    shutil.rmtree(stages, ignore_errors=True)
 
 
 if __name__ == "__main__":

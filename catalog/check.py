@@ -6,7 +6,9 @@
 from __future__ import annotations
 
 import math
+import shutil
 import sys
+import tempfile
 import time
 
 TABLES = (
@@ -69,8 +71,9 @@ def main() -> int:
 
     sf, names = sys.argv[1], sys.argv[2:]
     picked = [n for n in QUERIES if not names or any(n.startswith(x) for x in names)]
+    stages = tempfile.mkdtemp(prefix="spark-")
     spark = (
-        SparkSession.builder.master("local[8]").appName("check").config("spark.sql.shuffle.partitions", "8")
+        SparkSession.builder.master("local[8]").config("spark.checkpoint.dir", stages).appName("check").config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
@@ -85,6 +88,8 @@ def main() -> int:
         bad += state in ("FAIL", "ERROR")
         print(f"{state:9} {name} {time.time() - start:.1f}s {note}", flush=True)
     print(f"{bad} bad of {len(picked)}")
+    spark.stop()
+    shutil.rmtree(stages, ignore_errors=True)
     return bad
 
 
