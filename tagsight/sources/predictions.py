@@ -25,25 +25,21 @@ DIALOGUE = (
 )
 
 
-def file_row_index(df: DataFrame) -> Column:
-    """Running row number of a file scan, as a struct (partition, offset)."""
-    mid = F.monotonically_increasing_id()
-    return F.struct(F.shiftright(mid, 33).alias("part"), mid.bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
-
-
 def with_source_index(scan: DataFrame, out: str = "source_index") -> DataFrame:
-    """Number the rows of a file scan from 0: rows in earlier partitions plus the offset in the own one.
+    """Number the rows of a file scan from 0, by file path and place in the file, however the scan was split.
 
-    Only one count per partition is aggregated; the scan itself is not shuffled.
+    Only one count per split is aggregated; the scan itself is not shuffled.
     """
-    tagged = scan.withColumn("_at", file_row_index(scan))
-    sizes = tagged.groupBy(F.col("_at.part").alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    offs = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_off"))
+    tagged = scan.withColumns(
+        {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()}
+    )
+    sizes = tagged.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1))
+    offs = sizes.select("_file", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_off"))
     return (
-        tagged.join(offs, F.col("_at.part") == F.col("_part"))
-        .withColumn(out, (F.col("_off") + F.col("_at.at")).cast("bigint"))
-        .drop("_at", "_part", "_off")
+        tagged.join(offs, ["_file", "_block"])
+        .withColumn(out, (F.col("_off") + F.col("_at")).cast("bigint"))
+        .drop("_file", "_block", "_at", "_off")
     )
 
 

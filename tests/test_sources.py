@@ -121,6 +121,13 @@ def test_source_index_counts_rows(spark, tmp_path):
     assert got[4]["context"] == "c5" and got[0]["safety_label"] == "needs_caution" and got[0]["safety_annotations"] == ["a_b"]
 
 
+def test_source_index_follows_file_names(spark, tmp_path):
+    for name, n in (("c", 3), ("a", 700), ("b", 1)):
+        put(tmp_path / "many" / f"{name}.jsonl", "\n".join(json.dumps({"context": f"{name}{i}", "safety_label": "x"}) for i in range(n)))
+    got = {r["context"]: r["source_index"] for r in PR.read_jsonl_dialogues(spark, str(tmp_path / "many")).collect()}
+    assert (got["a0"], got["a699"], got["b0"], got["c0"], got["c2"]) == (0, 699, 700, 701, 703)
+
+
 @pytest.mark.parametrize("n", [1, 1200])
 def test_predictions_get_json_lines_at_any_size(spark, tmp_path, n):
     df = spark.range(n).selectExpr("cast(id as string) AS sample_id", "'a' AS pred_label", "map('a', 0.5D) AS probs")
