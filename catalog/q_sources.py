@@ -103,12 +103,12 @@ def _(spark, sf):
 STAMP = "20260501_12000"
 
 
-def run_tree(spark, sf):
+def run_tree(spark, sf, root=None):
     """A results folder: one run per source and run number, with report, config and predictions marker.
 
     Run 3 has a metrics file instead of a report, run 4 only a manifest.
     """
-    root = scratch_path(spark, "results")
+    root = root or scratch_path(spark, "results")
     r = F.col("r")
     score = F.struct(F.col("f1_macro"), "accuracy")
     report = F.to_json(F.struct("dataset_name", "tier_size", score.alias("metrics"), F.struct((F.col("n_samples") / 8.0).alias("infer_time_s")).alias("extras"), F.col("saved_utc").alias("created_at")))
@@ -127,7 +127,7 @@ def run_tree(spark, sf):
     )
     runs_table(spark, sf).select(
         F.lit("evaluate").alias("series"), F.concat(F.lit(STAMP), "r").alias("campaign"), F.concat("dataset_name", F.lit("_run")).alias("leaf"), F.inline(files)
-    ).repartition(8).write.partitionBy("series", "campaign", "leaf", "file").text(root)
+    ).repartition(8).write.mode("append").partitionBy("series", "campaign", "leaf", "file").text(root)
     # a suite folder above the runs: it plans them, so it is not a run itself
     runs_table(spark, sf).select(
         F.lit("evaluate").alias("series"), F.concat(F.lit(STAMP), "r").alias("campaign"),
@@ -167,15 +167,22 @@ REC_COLS = ["run_key", "run_dir", "series", "campaign", "suite", "run_leaf", "ex
             "thinking_level", "batch_size", "phase", "accuracy", "f1_macro", "infer_time_s", "has_predictions", "predictions_source", "saved_utc", "format"]
 
 
-@query("s12_read_run_records", with_(PREDS, RUNS_SQL, TREE, RECORDS, body=f"SELECT {', '.join(REC_COLS)} FROM rec"))
+# the suite folder above the fourth runs holds a manifest and no result below it, so it counts as started
+STARTED = {
+    "run_key": "'evaluate/20260501_120004'", "run_dir": "'evaluate/20260501_120004'", "series": "'evaluate'", "campaign": "'20260501_120004'",
+    "run_leaf": "'20260501_120004'", "phase": "'started'", "has_predictions": "FALSE", "predictions_source": "'none'", "format": "'manifest_only'",
+}
+
+
+@query("s12_read_run_records", with_(PREDS, RUNS_SQL, TREE, RECORDS, body=f"""SELECT {', '.join(REC_COLS)} FROM rec
+  UNION ALL SELECT {', '.join(STARTED.get(c, 'NULL') for c in REC_COLS)}"""))
 def _(spark, sf):
-    out = RN.read_run_records(spark, run_tree(spark, sf)).select(*REC_COLS)
-    return rounded(out.filter("run_key <> 'evaluate/20260501_120004'"))
+    return rounded(RN.read_run_records(spark, run_tree(spark, sf)).select(*REC_COLS))
 
 
-def legacy_tree(spark, sf):
+def legacy_tree(spark, sf, root=None):
     """All five flat layouts, made from the runs."""
-    root = scratch_path(spark, "flat")
+    root = root or scratch_path(spark, "flat")
     runs = runs_table(spark, sf)
     one = lambda df, *parts: df.repartition(8).write.mode("append").partitionBy(*parts, "file").text(root)
     item = F.struct(
@@ -321,10 +328,5 @@ def _(spark, sf):
 @query("m18_leaderboard", with_(PREDS, RUNS_SQL, TREE, RECORDS, FLAT, body="""SELECT run_key, format, ROUND(accuracy, 9) AS accuracy, ROUND(f1_macro, 9) AS f1_macro, has_predictions FROM flat UNION ALL SELECT run_key, format, accuracy, f1_macro, has_predictions FROM rec
   UNION ALL SELECT 'evaluate/20260501_120004', 'manifest_only', NULL, NULL, FALSE"""))
 def _(spark, sf):
-    from tagsight.operators.ranking import union_runs
-
-    tree, flat = run_tree(spark, sf), legacy_tree(spark, sf)
-    rows = union_runs(
-        *[p.withColumn("source_order", F.lit(i)) for i, p in enumerate((RN.read_run_records(spark, tree), RN.read_legacy_records(spark, flat)))]
-    )
-    return rounded(E.leaderboard(rows).select("run_key", "format", "accuracy", "f1_macro", "has_predictions"))
+    root = legacy_tree(spark, sf, run_tree(spark, sf))  # one results folder with every layout
+    return rounded(RN.leaderboard(spark, root).select("run_key", "format", "accuracy", "f1_macro", "has_predictions"))
