@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tagsight.plans.lineage import durable
 
 from .components import components
+from .drops import without
 from .repeats import squeezed, unsqueezed
 from .tokens import text_slices
 from .words import BLANK, LOWER, Words, mix, shingles
@@ -25,7 +26,9 @@ PERMUTATIONS = 64
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: members of one key that are compared in one task
-BLOCK = 2000
+BLOCK = 1000
+#: a key of more rows is crowded: its pairs are confirmed where they are found
+CROWD = 64
 _FACTORS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -104,32 +107,76 @@ def _keep_likely(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of members of a key with different labels, each in the first band that the two share."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The members of one key and block at a time."""
 
     def rows():
         for batch in batches:
             yield from batch.to_pylist()
 
-    for (_, _, low, high), members in groupby(rows(), lambda r: (r["key"], r["band"], r["low"], r["high"])):
-        members = list(members)
-        ids, n, labels = (np.array([m[c] for m in members], np.int64) for c in ("id", "n", "label"))
-        own = np.array([m["own"] for m in members])
-        s = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, 2 * PERMUTATIONS)
-        band = members[0]["band"]
-        for i in range(len(ids)):
-            rest = np.arange(i + 1, len(ids))
-            if low != high:
-                rest = rest[own[rest] != own[i]]
-            rest = rest[labels[rest] != labels[i]]
-            if not len(rest):
-                continue
+    for _, members in groupby(rows(), lambda r: (r["key"], r["band"], r["low"], r["high"])):
+        yield list(members)
+
+
+def _candidates(members: list[dict], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Likely pairs of members with different labels, each in the first band that the two share only."""
+    n, labels, own = (np.array([m[c] for m in members], np.int64) for c in ("n", "label", "own"))
+    s = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, 2 * PERMUTATIONS)
+    across = members[0]["low"] != members[0]["high"]
+    for i in range(len(members)):
+        rest = np.arange(i + 1, len(members))
+        rest = rest[labels[rest] != labels[i]]
+        if across:
+            rest = rest[own[rest] != own[i]]
+        if len(rest):
             rest = rest[_likely(n[i], n[rest], s[i], s[rest], percent)]
+        if len(rest):
             same = (s[i] == s[rest]).reshape(-1, BANDS, ROWS).all(2)
-            rest = rest[same.argmax(1) == band] if len(rest) else rest
-            if len(rest):
-                a, b = np.minimum(ids[i], ids[rest]), np.maximum(ids[i], ids[rest])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            rest = rest[same.argmax(1) == members[0]["band"]]
+        if len(rest):
+            yield i, rest
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The candidates of a key, to be confirmed elsewhere."""
+    for members in _groups(batches):
+        ids = np.array([m["id"] for m in members], np.int64)
+        for i, rest in _candidates(members, percent):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[rest])), pa.array(np.maximum(ids[i], ids[rest]))], names=["a", "b"])
+
+
+def _linked(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(one, other, assume_unique=True))
+    return 100 * both >= percent * (len(one) + len(other) - both)
+
+
+def _block_links(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The candidates of a crowded key, confirmed at once; a pair whose rows a link has joined meanwhile is passed over."""
+    for members in _groups(batches):
+        sets: dict[int, np.ndarray] = {}
+        top = {m["label"]: m["label"] for m in members}
+
+        def set_of(i: int, members=members, sets=sets) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_sets(unsqueezed([members[i]["body"]]), width)[0]
+            return sets[i]
+
+        def root(label: int, top=top) -> int:
+            while top[label] != label:
+                top[label] = top[top[label]]
+                label = top[label]
+            return label
+
+        found = []
+        for i, rest in _candidates(members, percent):
+            for j in rest.tolist():
+                x, y = root(members[i]["label"]), root(members[j]["label"])
+                if x != y and _linked(set_of(i), set_of(j), percent):
+                    top[max(x, y)] = min(x, y)
+                    found.append(sorted((members[i]["id"], members[j]["id"])))
+        if found:
+            a, b = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -137,18 +184,16 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
         step = 200
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
-            known: dict[int, np.ndarray] = {}
             ends = [(part.column(i).to_pylist(), part.column(b).to_pylist()) for i, b in (("a", "body_a"), ("b", "body_b"))]
             new = {i: body for ids, bodies in ends for i, body in zip(ids, bodies, strict=True)}
             known = dict(zip(new, shingle_sets(unsqueezed(list(new.values())), width), strict=True))
             ok = []
             for a, b in zip(ends[0][0], ends[1][0], strict=True):
-                both = len(np.intersect1d(known[a], known[b], assume_unique=True))
-                ok.append(100 * both >= percent * (len(known[a]) + len(known[b]) - both))
+                ok.append(_linked(known[a], known[b], percent))
             yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """Every row with its group of near duplicates: id, n_shingles, component_id (smallest id reachable), kept.
 
     Words end at [\\x20\\x09-\\x0D], A-Z lower-cased. Rows are linked when 100 * intersection >= percent * union of
@@ -158,7 +203,8 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     misses every band with probability below 1e-7. Rows that share a key are first compared with the key's most
     connected row only; where a key then still has several components, the pairs between components are compared
     block by block, those the signatures cannot rule out (six standard errors) are confirmed, and no pair is left
-    out. Sets are confirmed on whole texts. A key of very many rows is met by skew-split joins and by blocks.
+    out. Keys of up to `crowd` rows list such pairs and confirm them in joins; larger ones carry their texts to the
+    block, confirm there and report links only. Sets are confirmed on whole texts.
 
     NULL ids count as one id behind all others. Rows that repeat an id are all returned. Other columns are not read.
     """
@@ -190,13 +236,18 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     named = member.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     named = durable(named.select("key", "band", "id", "n", "sketch", "label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("rows"))
-    mixed = durable(mixed.where("least < most AND rows > 2").select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks")))
+    mixed = durable(mixed.where("least < most AND rows > 2").select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"), (F.col("rows") > crowd).alias("crowded")))
     split = named.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = split.select("key", "band", "id", "n", "sketch", "label", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    grouped = split.repartition("key", "low", "high").sortWithinPartitions("key", "band", "low", "high")
-    left = grouped.mapInArrow(lambda b: _block_pairs(b, percent), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
-    more = confirmed(left)
+    split = split.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "blocks")
+
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.drop("crowded").repartition("key", "low", "high").sortWithinPartitions("key", "band", "low", "high")
+
+    few = grouped(split.where("NOT crowded")).mapInArrow(lambda b: _block_pairs(b, percent), "a long, b long")
+    more = confirmed(few.distinct().join(tested, ["a", "b"], "left_anti"))
+    within = grouped(split.where("crowded").join(bodies, "id")).mapInArrow(lambda b: _block_links(b, width, percent), "a long, b long")
+    more = durable(more.union(within).distinct())
     if not more.isEmpty():
         labels = components(links.union(more))
 
@@ -209,5 +260,4 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each group, with all their columns."""
-    gone = near_groups(docs, width, percent, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("dropped id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["dropped id"], "left_anti")
+    return without(docs, near_groups(docs, width, percent, id_col, text_col).where(~F.col("kept")).select(id_col), id_col)

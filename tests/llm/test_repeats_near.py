@@ -75,10 +75,10 @@ def chain():
     return [out[i] for i in order]
 
 
-@pytest.mark.parametrize("width,block", [(2, 2000), (2, 4), (5, 2000)])
-def test_near_groups(spark, width, block):
+@pytest.mark.parametrize("width,block,crowd", [(2, 2000, 64), (2, 4, 3), (2, 3, 1000), (5, 2000, 0)])
+def test_near_groups(spark, width, block, crowd):
     texts = TEXTS + chain()
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minmax.near_groups(table(spark, texts), width, block=block).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minmax.near_groups(table(spark, texts), width, block=block, crowd=crowd).collect()}
     assert got == near(list(enumerate(texts)), width)
 
 
