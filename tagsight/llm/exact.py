@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tagsight.plans.lineage import durable
 
+from .drops import without
+
 #: The white space that equality ignores, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 _ID = "CAST(1e19 AS DECIMAL(38,0))"
@@ -75,8 +77,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of rows that repeat an id one stays. Rows without an id cannot be named and always stay.
     """
     groups = durable(exact_groups(docs, id_col, text_col).select(F.col(id_col).alias("dropped id"), "kept"))
-    dropped = groups.where(~F.col("kept")).select("dropped id").distinct()
-    left = docs.join(dropped, docs[id_col] == dropped["dropped id"], "left_anti")
+    left = without(docs, groups.where(~F.col("kept")).select("dropped id"), id_col)
     twice = groups.where(F.col("dropped id").isNotNull()).groupBy("dropped id").count().where("count > 1")
     if twice.isEmpty():
         return left

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .drops import without
 from .tokens import text_slices
 from .words import LOWER, PUNCTUATED, Words, shingles
 
@@ -177,5 +178,4 @@ def contamination(
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that hold no item, with all their columns."""
-    hit = contamination(docs, items, threshold, least, id_col, text_col, **options).select(F.col(id_col).alias("hit id")).distinct()
-    return docs.join(hit, docs[id_col] == hit["hit id"], "left_anti")
+    return without(docs, contamination(docs, items, threshold, least, id_col, text_col, **options).select(id_col), id_col)

@@ -93,3 +93,13 @@ def test_secrets_model_tells_random_strings_from_names(spark):
     spans = {r[0]: r[1] for r in secrets.find_secrets(docs, model).select("doc_id", secrets.joined(F.concat("base", "extra"))).collect()}
     assert [bool(spans[i]) for i in range(6)] == [False] * 3 + [True] * 3
     assert spans[3] == "markov:4:28"
+
+
+@pytest.mark.parametrize("sent", [100, 0])
+def test_drops_are_the_same_with_and_without_a_broadcast(spark, sent):
+    from tagsight.llm.drops import without
+
+    docs = table(spark, TEXTS[:6], [0, 1, 2, None, 4, 1])
+    gone = spark.createDataFrame([(1,), (1,), (None,), (77,)], "doc_id long")
+    left = without(docs, gone, "doc_id", sent)
+    assert rows(left.select("doc_id")) == [(0,), (2,), (4,), (None,)] and left.columns == docs.columns
