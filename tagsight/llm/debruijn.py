@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from tagsight.plans.lineage import durable
 
-from .repeats import body_slices, chosen_places, fragments, repeated_seeds, runs_of, spread_ranges, squeezed, unsqueezed
+from .repeats import (
+    BLOCKS, block_rows, body_slices, by_bucket, chosen_places, fragments, gathered, repeated_seeds, runs_of, spread_ranges,
+    squeezed, to_ids, unpack, unsqueezed,
+)
 from .words import BLANK, Words, mix, shingles
 
 #: stands for a missing id, behind all others
@@ -31,23 +34,6 @@ def _cut(width: int):
     return cut
 
 
-def _pack(columns: list[np.ndarray]) -> bytes:
-    import zstandard
-
-    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
-
-
-def _unpack(body: bytes, n: int, widths: list[int]) -> list[np.ndarray]:
-    import zstandard
-
-    raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8), [], 0
-    for w in widths:
-        out.append(np.ascontiguousarray(raw[at : at + w * n].reshape(w, n).T).view(f"<i{w}").reshape(-1))
-        at += w * n
-    return out
-
-
 def _later(edges: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order by edge and id, and True (in that order) where the edge also occurs under a smaller id."""
     order = np.lexsort((ids, edges))
@@ -57,27 +43,17 @@ def _later(edges: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, own > least
 
 
-def _by_id(ids: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """One row per id: runs of places as (begin, length) pairs."""
+def _paths(ids: np.ndarray, places: np.ndarray, parts: int) -> list[tuple]:
+    """Blocks of (id, first edge, edges): edges that follow one another in a document are one path."""
     order = np.lexsort((places, ids))
     ids, places = ids[order], places[order]
     new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (places[1:] > places[:-1] + 1)])
     begin = np.flatnonzero(new)
     last = np.append(begin[1:], len(ids)) - 1
-    pairs = np.stack([places[begin], places[last] - places[begin] + 1], 1)
-    owner = ids[begin]
-    edge = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    blobs = [pairs[a:b].tobytes() for a, b in zip(edge, np.append(edge[1:], len(owner)), strict=True)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.zeros(len(edge), np.int32)), pa.array(np.zeros(len(edge), np.int32)), pa.array(owner[edge]), pa.array(blobs, pa.binary())],
-        names=["bucket", "n", "id", "body"],
-    )
-
-
-_MOVED = "bucket int, n int, id long, body binary"
+    return to_ids(ids[begin], places[begin], places[last] - places[begin] + 1, parts)
 
 
-def _edges(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def _edges(batches: Iterator[pa.RecordBatch], width: int, parts: int) -> Iterator[pa.RecordBatch]:
     cut = _cut(width)
 
     def send(held: list) -> Iterator[pa.RecordBatch]:
@@ -85,29 +61,19 @@ def _edges(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Itera
         order, later = _later(edges, ids)
         edges, ids, places = edges[order], ids[order], places[order]
         if later.any():  # decided here: the same words start under a smaller id in this very task
-            yield _by_id(ids[later], places[later])
+            yield from block_rows(_paths(ids[later], places[later], parts))
         # one edge of a document is enough for the others
         keep = ~later
         edges, ids, places = edges[keep], ids[keep], places[keep]
-        bucket = (edges % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((places, ids, bucket))
-        edges, ids, places, bucket = edges[order], ids[order], places[order], bucket[order]
-        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        rows = [
-            (int(bucket[a]), int(b - a), 0, _pack([edges[a:b], np.diff(ids[a:b], prepend=0), places[a:b].astype(np.int32)]))
-            for a, b in zip(begin, np.append(begin[1:], len(edges)), strict=True)
-        ]
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        for a in range(0, len(rows), 512):
-            cols = zip(*rows[a : a + 512], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "n", "id", "body"])
+        bucket = (edges % np.uint64(parts)).astype(np.int64)
+        yield from block_rows(by_bucket(bucket, 0, ids, [places.astype(np.int32), edges]))
 
     held, n = [], 0
     for batch in body_slices(batches):
         texts = unsqueezed(batch.column("body").to_pylist())
         ids = np.asarray(batch.column("id").to_pylist(), np.int64)
         f, begin = cut(texts)
-        wanted = np.isin(f.seed, chosen_places(batch.column("places").to_pylist(), begin))
+        wanted = np.isin(f.seed, chosen_places(batch.column("pairs").to_pylist(), begin))
         if wanted.any():
             hashes = shingles(Words(texts, BLANK).hash, width)
             place = spread_ranges(f.start[wanted], f.windows[wanted])
@@ -121,24 +87,24 @@ def _edges(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Itera
         yield from send(held)
 
 
-def _first_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_edges(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     held = []
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["n"]:
-                edges, ids, places = _unpack(row["body"], row["n"], [8, 8, 4])
-                held.append((edges.view(np.uint64), np.cumsum(ids), places.astype(np.int64)))
-            else:
-                yield pa.RecordBatch.from_pylist([row], schema=batch.schema)
+        kinds = np.asarray(batch.column("kind").to_pylist())
+        if (kinds != 0).any():
+            yield batch.filter(pa.array(kinds != 0))
+        for row in batch.filter(pa.array(kinds == 0)).to_pylist():
+            ids, places, edges = unpack(row["body"], row["n"], [8, 4, 8])
+            held.append((edges.view(np.uint64), np.cumsum(ids), places.astype(np.int64)))
     if held:
         edges, ids, places = (np.concatenate(x) for x in zip(*held, strict=True))
         order, later = _later(edges, ids)
         if later.any():
-            yield _by_id(ids[order][later], places[order][later])
+            yield from block_rows(_paths(ids[order][later], places[order][later], parts))
 
 
 def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Spans of words that start in a document with a smaller id too: (id, spans), spans as (first word, words) pairs.
+    """Windows that start in a document with a smaller id too: (id, pairs), pairs of (first window, windows).
 
     A window of `width` words is an edge between its first and last width - 1 words. Seeds rule out windows that cannot
     occur twice; the others meet by edge. A task decides at once what repeats among its own documents and sends only
@@ -151,16 +117,15 @@ def repeated_spans(docs: DataFrame, width: int = 13, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seeds = durable(repeated_seeds(rows, _cut(width), across=True))
-    moved = squeezed(rows).join(seeds, "id").mapInArrow(lambda b: _edges(b, width, 16 * parts), _MOVED)
-    dealt = F.when(F.col("n") > 0, F.col("bucket")).otherwise(F.pmod(F.xxhash64("id"), F.lit(16 * parts)).cast("int"))
-    met = moved.withColumn("bucket", dealt).repartition(parts, "bucket").mapInArrow(_first_edges, _MOVED)
-    return durable(met.groupBy("id").agg(F.collect_list("body").alias("spans")))
+    seeds, _ = repeated_seeds(rows, _cut(width), across=True)
+    moved = squeezed(rows).join(seeds, "id").mapInArrow(lambda b: _edges(b, width, parts), BLOCKS)
+    met = moved.repartitionById(parts, F.col("bucket")).mapInArrow(lambda b: _first_edges(b, parts), BLOCKS)
+    return gathered(durable(met), parts)
 
 
-def _removed(spans: list[bytes], n: int, width: int) -> np.ndarray:
+def _removed(spans: bytes, n: int, width: int) -> np.ndarray:
     """True for every word under a span's windows."""
-    pairs = np.frombuffer(b"".join(spans), np.int64).reshape(-1, 2)
+    pairs = np.frombuffer(spans, np.int64).reshape(-1, 2)
     change = np.zeros(n + width + 1, np.int64)
     fits = pairs[:, 0] + pairs[:, 1] + width - 1 <= n
     pairs = pairs[fits]
@@ -175,9 +140,9 @@ def _apply(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
         texts = unsqueezed(batch.column("body").to_pylist())
         w = Words(texts, BLANK)
         raw = w.data.tobytes()
-        for n, spans in enumerate(batch.column("spans").to_pylist()):
+        for n, spans in enumerate(batch.column("pairs").to_pylist()):
             a, b = int(w.first[n]), int(w.first[n + 1])
-            gone = _removed(spans or [], b - a, width)
+            gone = _removed(spans or b"", b - a, width)
             words = [raw[s:e] for s, e in zip(w.start[a:b][~gone].tolist(), w.end[a:b][~gone].tolist(), strict=True)]
             begin, end = runs_of(gone)
             kept = b" ".join(words)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tagsight.plans.lineage import durable
+
 from .tokens import text_slices
 
 #: fragments that a task holds before it sends them on
@@ -89,15 +91,79 @@ def edges_of(keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])), len(keys))
 
 
-def _planes(columns: list[np.ndarray]) -> bytes:
-    return b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(-1, 8).T).tobytes() for c in columns)
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of numbers as compressed byte planes."""
+    import zstandard
+
+    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T).tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def _spread(batches: Iterator[pa.RecordBatch], cut: Cut, buckets: int, across: bool) -> Iterator[pa.RecordBatch]:
+def unpack(body: bytes, n: int, widths: list[int]) -> list[np.ndarray]:
+    """Columns of n numbers, each so many bytes wide."""
     import zstandard
 
-    squeeze = zstandard.ZstdCompressor(level=1).compress
+    raw, out, at = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8), [], 0
+    for w in widths:
+        out.append(np.ascontiguousarray(raw[at : at + w * n].reshape(w, n).T).view(f"<i{w}").reshape(-1))
+        at += w * n
+    return out
+
+
+#: rows that carry blocks of numbers: which bucket they belong to, what they are, how many numbers a column has
+BLOCKS = "bucket int, kind int, n int, body binary"
+_BLOCK_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("body", pa.binary())])
+
+
+def block_rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(rows), 512):
+        cols = zip(*rows[a : a + 512], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _BLOCK_SCHEMA, strict=True)], schema=_BLOCK_SCHEMA)
+
+
+def by_bucket(bucket: np.ndarray, kind: int, ids: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
+    """One block per bucket: ids as differences, then the columns."""
+    order = np.lexsort((columns[0], ids, bucket))
+    own, ids, columns = bucket[order], ids[order], [c[order] for c in columns]
+    edges = edges_of(own)
+    return [
+        (int(own[a]), kind, int(b - a), pack([np.diff(ids[a:b], prepend=0), *[c[a:b] for c in columns]]))
+        for a, b in zip(edges[:-1], edges[1:], strict=True)
+    ]
+
+
+#: what is found about a document, as pairs of numbers
+FOUND = 9
+
+
+def to_ids(ids: np.ndarray, first: np.ndarray, second: np.ndarray, parts: int) -> list[tuple]:
+    """Blocks of (id, pair of numbers), one for each of the parts that ids are dealt to."""
+    return by_bucket(np.mod(ids, parts), FOUND, ids, [first, second])
+
 
+def _at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids, first, second = unpack(row["body"], row["n"], [8, 8, 8])
+            held.append((np.cumsum(ids), first, second))
+    if held:
+        ids, first, second = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((first, ids))
+        ids, pairs = ids[order], np.stack([first[order], second[order]], 1)
+        edges = edges_of(ids)
+        for a in range(0, len(edges) - 1, 1000):
+            part = edges[a : a + 1001]
+            lists = [pairs[x:y].tobytes() for x, y in zip(part[:-1], part[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[part[:-1]]), pa.array(lists, pa.binary())], names=["id", "pairs"])
+
+
+def gathered(blocks: DataFrame, parts: int) -> DataFrame:
+    """(id, pairs): what blocks of the kind FOUND say about each id, as 64-bit pairs in order."""
+    return blocks.where(F.col("kind") == FOUND).repartitionById(parts, F.col("bucket")).mapInArrow(_at_home, "id long, pairs binary")
+
+
+def _spread(batches: Iterator[pa.RecordBatch], cut: Cut, parts: int, across: bool) -> Iterator[pa.RecordBatch]:
     def send(held: list) -> Iterator[pa.RecordBatch]:
         seeds, ids, places = (np.concatenate(x) for x in zip(*held, strict=True))
         known = _repeated(seeds, ids, across)
@@ -111,23 +177,9 @@ def _spread(batches: Iterator[pa.RecordBatch], cut: Cut, buckets: int, across: b
         # the first stands for all that are not sent
         size = np.diff(np.append(np.flatnonzero(edge), len(s)))
         weight[order[edge]] = np.where(k[edge], np.maximum(size - 1, 1), 1)
-        bucket = (seeds >> np.uint64(26)) % np.uint64(buckets)
-        out = []
-        for only, state in ((sent, 0), (known, 1)):
-            at = np.flatnonzero(only)
-            at = at[np.argsort(bucket[at] if state == 0 else ids[at], kind="stable")]
-            own = bucket[at].astype(np.int64) if state == 0 else np.arange(len(at)) // 50_000
-            edges = edges_of(own)
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                rows = at[a:b]
-                columns = [np.diff(ids[rows], prepend=0), places[rows]]
-                body = _planes([seeds[rows], *columns, weight[rows]] if state == 0 else columns)
-                name = int(bucket[rows[0]]) if state == 0 else int(ids[rows[0]] % buckets)
-                out.append((name, state, len(rows), squeeze(body)))
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        for a in range(0, len(out), 512):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 512], k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "state", "n", "body"])
+        bucket = ((seeds >> np.uint64(26)) % np.uint64(parts)).astype(np.int64)
+        yield from block_rows(by_bucket(bucket[sent], 0, ids[sent], [seeds[sent], places[sent], weight[sent]]))
+        yield from block_rows(to_ids(ids[known], places[known], np.ones(int(known.sum()), np.int64), parts))
 
     held, n = [], 0
     for batch in text_slices(batches, "text"):
@@ -143,56 +195,47 @@ def _spread(batches: Iterator[pa.RecordBatch], cut: Cut, buckets: int, across: b
         yield from send(held)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], across: bool, hot: int) -> Iterator[pa.RecordBatch]:
-    import zstandard
+#: a list of seeds that occur very often
+HOT = 8
 
-    open_ = zstandard.ZstdDecompressor().decompress
-    names = ["id", "places"]
-
-    def read(body: bytes, n: int, count: int) -> list[np.ndarray]:
-        raw = np.frombuffer(open_(body), np.uint8)
-        return [np.ascontiguousarray(raw[8 * n * i : 8 * n * (i + 1)].reshape(8, n).T).view(np.int64).reshape(-1) for i in range(count)]
-
-    def by_id(ids: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((places, ids))
-        ids, places = ids[order], places[order]
-        edges = edges_of(ids)
-        lists = [places[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(ids[edges[:-1]]), pa.array(lists, pa.binary())], names=names)
 
+def _meet(batches: Iterator[pa.RecordBatch], parts: int, across: bool, hot: int) -> Iterator[pa.RecordBatch]:
     held = []
     for batch in batches:
+        if 0 not in batch.column("kind").to_pylist():
+            yield batch
+            continue
         for row in batch.to_pylist():
-            if row["state"]:
-                ids, places = read(row["body"], row["n"], 2)
-                yield by_id(np.cumsum(ids), places)
+            if row["kind"]:
+                yield pa.RecordBatch.from_pylist([row], schema=_BLOCK_SCHEMA)
             else:
-                seeds, ids, places, weight = read(row["body"], row["n"], 4)
+                ids, seeds, places, weight = unpack(row["body"], row["n"], [8, 8, 8, 8])
                 held.append((seeds.view(np.uint64), np.cumsum(ids), places, weight))
     if held:
         seeds, ids, places, weight = (np.concatenate(x) for x in zip(*held, strict=True))
         kinds, which = np.unique(seeds, return_inverse=True)
         total = np.bincount(which, weight)
         if hot and (total > hot).any():
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([kinds[total > hot].tobytes()], pa.binary())], names=names)
+            yield from block_rows([(0, HOT, int((total > hot).sum()), kinds[total > hot].tobytes())])
         again = _repeated(seeds, ids, across)
-        if again.any():
-            yield by_id(ids[again], places[again])
+        yield from block_rows(to_ids(ids[again], places[again], np.ones(int(again.sum()), np.int64), parts))
 
 
-def repeated_seeds(rows: DataFrame, cut: Cut, across: bool, hot: int = 0) -> DataFrame:
-    """(id, places): the seeds of each id that occur again, as arrays of 64-bit places within the text.
+def repeated_seeds(rows: DataFrame, cut: Cut, across: bool, hot: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """(id, pairs): the seeds of each id that occur again, as pairs (place within the text, 1); and the hot seeds.
 
     rows: (id, text), ids not NULL. Tasks keep what repeats among their own fragments and send one or two of each such
     seed, so a passage that every document shares is met as a few rows per task; the rest is met by seed, as
-    compressed blocks of one bucket. Buckets follow the session's shuffle partitions.
+    compressed blocks, one for each part. What is found goes back as one block for each part of the ids. Parts are
+    the session's shuffle partitions.
 
-    With `hot`, a row of id NULL lists the seeds that occur more often than that (64-bit hashes).
+    Hot seeds (64-bit hashes) are those that occur more than `hot` times; 0 asks for none.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = rows.mapInArrow(lambda b: _spread(b, cut, 16 * parts, across), "bucket int, state int, n int, body binary")
-    met = blocks.repartition(parts, "bucket").mapInArrow(lambda b: _meet(b, across, hot), "id long, places binary")
-    return met.groupBy("id").agg(F.collect_list("places").alias("places"))
+    blocks = rows.mapInArrow(lambda b: _spread(b, cut, parts, across), BLOCKS)
+    met = durable(blocks.repartitionById(parts, F.col("bucket")).mapInArrow(lambda b: _meet(b, parts, across, hot), BLOCKS))
+    lists = met.where(F.col("kind") == HOT).select("body").collect() if hot else []
+    return gathered(met, parts), np.unique(np.frombuffer(b"".join(bytes(r[0]) for r in lists), np.uint64))
 
 
 def squeezed(rows: DataFrame) -> DataFrame:
@@ -231,9 +274,9 @@ def body_slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Itera
             yield batch.slice(begin)
 
 
-def chosen_places(lists: list[list[bytes] | None], begin: np.ndarray) -> np.ndarray:
-    """Places of a slice from the stored arrays of each of its texts, in order."""
-    own = [np.frombuffer(b"".join(p or []), np.int64) + b for p, b in zip(lists, begin, strict=True)]
+def chosen_places(pairs: list[bytes], begin: np.ndarray) -> np.ndarray:
+    """Places of a slice from the stored pairs of each of its texts, in order."""
+    own = [np.frombuffer(p, np.int64)[::2] + b for p, b in zip(pairs, begin, strict=True)]
     return np.unique(np.concatenate(own)) if own else np.zeros(0, np.int64)
 
 

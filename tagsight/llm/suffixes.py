@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 from tagsight.plans.lineage import durable
 
-from .debruijn import NO_ID, _pack, _unpack
-from .repeats import body_slices, chosen_places, edges_of, fragments, repeated_seeds, runs_of, spread_ranges, squeezed, unsqueezed
+from .debruijn import NO_ID
+from .repeats import (
+    BLOCKS, FOUND, block_rows, body_slices, by_bucket, chosen_places, edges_of, fragments, gathered, pack, repeated_seeds, runs_of,
+    spread_ranges, squeezed, to_ids, unpack, unsqueezed,
+)
 from .words import Words, mix
 
 #: bytes of a seed
 SEED = 16
 #: fragments and single windows that a task holds before it sends them on
 HELD = 400_000
-_MOVED = "bucket int, kind int, n int, body binary"
-_NAMES = ["bucket", "kind", "n", "body"]
 
 
 def _seed_size(span: int) -> int:
@@ -91,31 +92,19 @@ def maximal_groups(rights: list[bytes], lefts: list[bytes], span: int) -> Iterat
             yield left, right, rows[c:d]
 
 
-def _sorted_blocks(bucket: np.ndarray, kind: int, columns, texts: list[bytes] | None) -> Iterator[tuple]:
+def _fragment_blocks(bucket: np.ndarray, ids: np.ndarray, place: np.ndarray, offset: np.ndarray, texts: list[bytes]) -> list[tuple]:
+    """Blocks of fragments: numbers first, then the joined texts."""
     import zstandard
 
     order = np.argsort(bucket, kind="stable")
-    own = bucket[order]
-    edge = edges_of(own)
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
+    edges, out = edges_of(bucket[order]), []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
         rows = order[a:b]
-        ids = columns[1][rows]
-        body = _pack([columns[0][rows], np.diff(ids, prepend=0), columns[2][rows]])
-        if texts is not None:
-            joined = zstandard.ZstdCompressor(level=3).compress(b"".join([texts[i] for i in rows]))
-            sizes = np.array([len(texts[i]) for i in rows], np.int32)
-            more = _pack([sizes, columns[3][rows].astype(np.int32)])
-            body = np.array([len(body), len(more)], np.int64).tobytes() + body + more + joined
-        yield int(own[a]), kind, int(b - a), body
-
-
-def _ranges(ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple]:
-    """One row per id: covered byte ranges."""
-    order = np.lexsort((begin, ids))
-    ids, pairs = ids[order], np.stack([begin[order], end[order]], 1)
-    edge = edges_of(ids)
-    for a, b in zip(edge[:-1], edge[1:], strict=True):
-        yield int(ids[a]), pairs[a:b].tobytes()
+        sizes = np.array([len(texts[i]) for i in rows], np.int32)
+        numbers = pack([np.diff(ids[rows], prepend=0), place[rows], sizes, offset[rows].astype(np.int32)])
+        joined = zstandard.ZstdCompressor(level=3).compress(b"".join([texts[i] for i in rows]))
+        out.append((int(bucket[rows[0]]), 0, int(b - a), len(numbers).to_bytes(8, "little") + numbers + joined))
+    return out
 
 
 def _first_of(keys: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -127,16 +116,8 @@ def _first_of(keys: np.ndarray, ids: np.ndarray, places: np.ndarray) -> np.ndarr
     return out
 
 
-def _send(batches: Iterator[pa.RecordBatch], span: int, buckets: int, hot: np.ndarray, fold: bool) -> Iterator[pa.RecordBatch]:
-    """kind 0: fragments by seed; kind 1: single windows of hot seeds; kind 2: ranges decided here (n is unused)."""
-
-    def rows_out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        for a in range(0, len(rows), 512):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[a : a + 512], strict=True), kinds, strict=True)], names=_NAMES)
-
-    def decided(ids, begin, end) -> list[tuple]:
-        return [(i % buckets, 2, 0, np.int64(i).tobytes() + body) for i, body in _ranges(ids, begin, end)]
+def _send(batches: Iterator[pa.RecordBatch], span: int, parts: int, hot: np.ndarray, fold: bool) -> Iterator[pa.RecordBatch]:
+    """kind 0: fragments by seed; kind 1: single windows of hot seeds; kind FOUND: ranges decided here."""
 
     def send(frags: list, windows: list) -> Iterator[pa.RecordBatch]:
         if frags:
@@ -146,25 +127,25 @@ def _send(batches: Iterator[pa.RecordBatch], span: int, buckets: int, hot: np.nd
             size = np.array([len(t) for t in texts], np.int64)
             rest = ~first
             if rest.any():
-                yield from rows_out(decided(ids[rest], place[rest], place[rest] + size[rest]))
+                yield from block_rows(to_ids(ids[rest], place[rest], place[rest] + size[rest], parts))
             at = np.flatnonzero(first)
-            bucket = (seed[at] % np.uint64(buckets)).astype(np.int64)
-            yield from rows_out(list(_sorted_blocks(bucket, 0, [seed[at], ids[at], place[at], offset[at]], [texts[i] for i in at])))
+            bucket = (seed[at] % np.uint64(parts)).astype(np.int64)
+            yield from block_rows(_fragment_blocks(bucket, ids[at], place[at], offset[at], [texts[i] for i in at]))
         if windows:
             key, ids, place = (np.concatenate(x) for x in zip(*windows, strict=True))
             first = _first_of(key, ids, place)
             rest = ~first
             if rest.any():
-                yield from rows_out(decided(ids[rest], place[rest], place[rest] + span))
-            at = np.flatnonzero(first)
-            yield from rows_out(list(_sorted_blocks((key[at] % np.uint64(buckets)).astype(np.int64), 1, [key[at], ids[at], place[at]], None)))
+                yield from block_rows(to_ids(ids[rest], place[rest], place[rest] + span, parts))
+            bucket = (key[first] % np.uint64(parts)).astype(np.int64)
+            yield from block_rows(by_bucket(bucket, 1, ids[first], [key[first], place[first]]))
 
     frags, windows, n = [], [], 0
     for batch in body_slices(batches):
         ids = np.asarray(batch.column("id").to_pylist(), np.int64)
         w, f = _cut_words(unsqueezed(batch.column("body").to_pylist()), span)
         begin = w.text_start[:-1]
-        wanted = np.isin(f.seed, chosen_places(batch.column("places").to_pylist(), begin))
+        wanted = np.isin(f.seed, chosen_places(batch.column("pairs").to_pylist(), begin))
         many = wanted & np.isin(f.hash, hot)
         few = np.flatnonzero(wanted & ~many)
         if len(few):
@@ -190,11 +171,9 @@ def _read_fragments(row: dict) -> Iterator[tuple[int, int, int, bytes]]:
     """(id, place, offset of the seed, text) of a block."""
     import zstandard
 
-    a, b = np.frombuffer(row["body"][:16], np.int64)
-    body = row["body"][16:]
-    _, ids, place = _unpack(body[:a], row["n"], [8, 8, 8])
-    sizes, offset = _unpack(body[a : a + b], row["n"], [4, 4])
-    joined = zstandard.ZstdDecompressor().decompress(body[a + b :])
+    size = 8 + int.from_bytes(row["body"][:8], "little")
+    ids, place, sizes, offset = unpack(row["body"][8:size], row["n"], [8, 8, 4, 4])
+    joined = zstandard.ZstdDecompressor().decompress(row["body"][size:])
     ends = np.cumsum(sizes.astype(np.int64)).tolist()
     begin = 0
     for i, p, o, e in zip(np.cumsum(ids).tolist(), place.tolist(), offset.tolist(), ends, strict=True):
@@ -221,29 +200,23 @@ def _groups(rows: list[dict], span: int) -> Iterator[tuple[int, int, list[list[t
                     yield left, right, [found[r] for r in rows_]
 
 
-def _resolve(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """(id, ranges): bytes under strings that start earlier as well."""
-
-    def out(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        rows = list(found)
-        for a in range(0, len(rows), 5000):
-            ids, bodies = zip(*rows[a : a + 5000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], names=["id", "ranges"])
-
+def _resolve(batches: Iterator[pa.RecordBatch], span: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of (id, begin, end): bytes under strings that start earlier as well."""
     blocks, windows = [], []
     for batch in batches:
-        for row in batch.to_pylist():
+        kinds = np.asarray(batch.column("kind").to_pylist())
+        if (kinds == FOUND).any():
+            yield batch.filter(pa.array(kinds == FOUND))
+        for row in batch.filter(pa.array(kinds != FOUND)).to_pylist():
             if row["kind"] == 0:
                 blocks.append(row)
-            elif row["kind"] == 1:
-                key, ids, place = _unpack(row["body"], row["n"], [8, 8, 8])
-                windows.append((key.view(np.uint64), np.cumsum(ids), place))
             else:
-                yield from out(iter([(int(np.frombuffer(row["body"][:8], np.int64)[0]), row["body"][8:])]))
+                ids, key, place = unpack(row["body"], row["n"], [8, 8, 8])
+                windows.append((key.view(np.uint64), np.cumsum(ids), place))
     if windows:
         key, ids, place = (np.concatenate(x) for x in zip(*windows, strict=True))
         rest = ~_first_of(key, ids, place)
-        yield from out(_ranges(ids[rest], place[rest], place[rest] + span))
+        yield from block_rows(to_ids(ids[rest], place[rest], place[rest] + span, parts))
     ids, begin, end = [], [], []
     for left, right, members in _groups(blocks, span):
         first = min(min(m) for m in members)
@@ -253,25 +226,22 @@ def _resolve(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
                     ids.append(occurrence[0])
                     begin.append(occurrence[1] - left)
                     end.append(occurrence[1] + right)
-    if ids:
-        yield from out(_ranges(np.array(ids, np.int64), np.array(begin, np.int64), np.array(end, np.int64)))
+    yield from block_rows(to_ids(*(np.array(x, np.int64) for x in (ids, begin, end)), parts))
 
 
-def _moved(docs: DataFrame, span: int, id_col: str, text_col: str, hot: int | None, fold: bool) -> DataFrame:
+def _moved(docs: DataFrame, span: int, id_col: str, text_col: str, hot: int | None, fold: bool) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # seeds above the limit are few: each takes a thousandth of the documents at least
     limit = (max(2000, docs.count() // 1000) if hot is None else hot) if fold else 0
-    seeds = durable(repeated_seeds(rows, _cut(span), across=False, hot=limit))
-    lists = seeds.where("id IS NULL").select(F.explode("places")).collect()
-    many = np.unique(np.frombuffer(b"".join(bytes(r[0]) for r in lists), np.uint64))
-    moved = squeezed(rows).join(seeds, "id").mapInArrow(lambda b: _send(b, span, 16 * parts, many, fold), _MOVED)
-    return moved.repartition(parts, "bucket")
+    seeds, many = repeated_seeds(rows, _cut(span), across=False, hot=limit)
+    moved = squeezed(rows).join(seeds, "id").mapInArrow(lambda b: _send(b, span, parts, many, fold), BLOCKS)
+    return moved.repartitionById(parts, F.col("bucket")), parts
 
 
 def covered(docs: DataFrame, span: int = 100, id_col: str = "doc_id", text_col: str = "text", hot: int | None = None) -> DataFrame:
-    """(id, ranges): byte ranges of every document under strings of `span` bytes that start earlier too.
+    """(id, pairs): byte ranges (begin, end) of every document under strings of `span` bytes that start earlier too.
 
     Suffixes are sampled: each string of `span` bytes has one seed, and strings that are equal have it at the same
     offset. Fragments around seeds that occur again meet by seed, are sorted by the text from the seed on, and a stack
@@ -282,8 +252,8 @@ def covered(docs: DataFrame, span: int = 100, id_col: str = "doc_id", text_col:
     thousandth of the documents, 2000 at least) do not meet in one task: their fragments are taken apart into single
     strings of `span` bytes, which meet by content and are folded on both sides of the shuffle.
     """
-    met = _moved(docs, span, id_col, text_col, hot, fold=True).mapInArrow(lambda b: _resolve(b, span), "id long, ranges binary")
-    return durable(met.groupBy("id").agg(F.collect_list("ranges").alias("ranges")))
+    moved, parts = _moved(docs, span, id_col, text_col, hot, fold=True)
+    return gathered(durable(moved.mapInArrow(lambda b: _resolve(b, span, parts), BLOCKS)), parts)
 
 
 def maximal_repeats(docs: DataFrame, span: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,15 +275,16 @@ def maximal_repeats(docs: DataFrame, span: int = 100, id_col: str = "doc_id", te
                 names=["group_id", "length", "id", "start"],
             )
 
-    return _moved(docs, span, id_col, text_col, None, fold=False).mapInArrow(run, "group_id string, length long, id long, start long")
+    moved, _ = _moved(docs, span, id_col, text_col, None, fold=False)
+    return moved.mapInArrow(run, "group_id string, length long, id long, start long")
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in body_slices(batches):
         ids, rows = batch.column("id").to_pylist(), []
-        for n, (text, ranges) in enumerate(zip(unsqueezed(batch.column("body").to_pylist()), batch.column("ranges").to_pylist(), strict=True)):
+        for n, (text, ranges) in enumerate(zip(unsqueezed(batch.column("body").to_pylist()), batch.column("pairs").to_pylist(), strict=True)):
             raw = np.frombuffer(text.encode(), np.uint8)
-            pairs = np.frombuffer(b"".join(ranges or []), np.int64).reshape(-1, 2)
+            pairs = np.frombuffer(ranges or b"", np.int64).reshape(-1, 2)
             pairs = pairs[pairs[:, 1] <= len(raw)]
             change = np.bincount(pairs[:, 0], minlength=len(raw) + 1) - np.bincount(pairs[:, 1], minlength=len(raw) + 1)
             gone = np.cumsum(change)[: len(raw)] > 0
