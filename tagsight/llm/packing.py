@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tagsight.plans.lineage import durable
 
-from .tokens import Encoder, text_slices
+from .tokens import encoder, text_slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 #: (lengths of one sequence, largest first; number of such sequences)
@@ -23,12 +24,12 @@ Pattern = tuple[tuple[int, ...], int]
 
 def _cut_pieces(path: str, spaced: bool, end: bytes, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(path, spaced), TaskContext.get().partitionId()
+        codes, part = encoder(path, spaced), TaskContext.get().partitionId()
         seen = np.zeros(limit + 1, np.int64)
         for batch in text_slices(batches, "text"):
             cols: list[list] = [[] for _ in range(7)]
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("id").to_pylist(), encoder.encode(texts), strict=True):
+            for doc_id, ids in zip(batch.column("id").to_pylist(), codes.encode(texts), strict=True):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * limit)):
                     own = ids[at : at + 4 * limit]
@@ -95,12 +96,13 @@ def fractional(counts: np.ndarray, room: int, eps: float = 0.1, pricings: int =
             if covered[first] >= need[first]:
                 continue
             config = tuple(sorted([first, *_fill(last, room - first)], reverse=True))
-            kinds, times = np.unique(config, return_counts=True)
-            left = (need[kinds] - covered[kinds]) / times
-            step = max(0.0, min(left.min(), max(1.0, eps * (need[kinds] / times).min() * 10)))
+            times = Counter(config)
+            # as far as the scarcest length allows, and no further than a step of its need
+            step = min(min((need[k] - covered[k]) / n for k, n in times.items()), max(1.0, 10 * eps * min(need[k] / n for k, n in times.items())))
             if step > 0:
                 used[config] = used.get(config, 0.0) + step
-                covered[kinds] += step * times
+                for k, n in times.items():
+                    covered[k] += step * n
     return used
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tagsight.plans.lineage import collect_small, small_table
 
-from .tokens import Encoder, text_slices
+from .tokens import encoder, text_slices
 
 #: ids of a block
 BLOCK = 65_536
@@ -57,7 +57,7 @@ def _write_blocks(path: str, spaced: bool, end: bytes, kind: str, block: int):
             ("crc32", pa.int64()), ("first_doc", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32())),
             ("planes", pa.list_(pa.binary())),
         ])
-        encoder, part = Encoder(path, spaced), TaskContext.get().partitionId()
+        codes, part = encoder(path, spaced), TaskContext.get().partitionId()
         chunk = start = doc = 0
         held = bytearray()
         docs: list = []
@@ -82,7 +82,7 @@ def _write_blocks(path: str, spaced: bool, end: bytes, kind: str, block: int):
 
         for batch in text_slices(batches, "text"):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("id").to_pylist(), encoder.encode(texts), strict=True):
+            for doc_id, ids in zip(batch.column("id").to_pylist(), codes.encode(texts), strict=True):
                 held += ids + end
                 docs.append(doc_id)
                 counts.append((len(ids) + len(end)) // 4)

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import compress, islice
+from operator import not_
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 # White space by Unicode's property. str.isspace() also takes \x1c-\x1f, which the tokenizers' patterns do not.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f\0"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: texts of one slice of a batch, in characters
 SLICE = 2_000_000
@@ -26,7 +29,7 @@ class Encoder:
     whole text in every case.
     """
 
-    def __init__(self, path: str, spaced: bool, room: int = 300_000):
+    def __init__(self, path: str, spaced: bool, room: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -37,10 +40,10 @@ class Encoder:
 
     def _ids(self, units: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in encoded]
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in encoded)]
 
     def _unlike(self, text: str) -> bool:
-        return bool(_ODD.search(text)) or "\0" in text or any(s in text for s in self.specials)
+        return any(c in text for c in _ODD) or any(s in text for s in self.specials)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -50,31 +53,40 @@ class Encoder:
             cut[i] = []
         loose: set[str] = set()  # units that are right in this place only
         if self.spaced:
-            # a first unit has no blank before it; NUL keeps it apart from the others in the memory
-            for units in cut:
-                if units:
+            for i, units in enumerate(cut):
+                if units:  # a first unit has no blank before it; NUL keeps it apart from the others in the memory
                     units[0] = "\0" + units[0]
+        found = [list(map(known.get, units)) for units in cut]
+        missing = set().union(*[compress(units, map(not_, ids)) for units, ids in zip(cut, found, strict=True)])
+        if self.spaced:
+            bad = {u for u in missing if u in ("", "\0") or u[-1].isspace() or u.removeprefix("\0")[0].isspace()}
             for i, units in enumerate(cut):
-                if any(u not in known and (not u or u[0].isspace() or u[-1].isspace() or u == "\0" or u[1:2].isspace()) for u in units):
-                    first, *rest = _BETWEEN.split(texts[i])
+                if bad and not bad.isdisjoint(units):
+                    first, *rest = _BETWEEN.split(texts[i]) if texts[i] else [""]
                     cut[i] = ["\0" + first, *rest] if texts[i] else []
-                    loose.update(u for u in cut[i] if u[-1:].isspace() or u[:1].isspace())
-        missing = list(set().union(*cut) - known.keys())
-        plain = [u[1:] if u[0] == "\0" else " " + u for u in missing] if self.spaced else missing
+                    loose.update(u for u in cut[i] if u[-1].isspace() or u.removeprefix("\0")[:1].isspace())
+                    found[i] = list(map(known.get, cut[i]))
+                    missing.update(compress(cut[i], map(not_, found[i])))
+            missing -= bad - loose
+        plain = [u[1:] if u[0] == "\0" else " " + u for u in missing] if self.spaced else list(missing)
         new = dict(zip(missing, self._ids(plain), strict=True))
-        kept = [(u, i) for u, i in new.items() if u not in loose]
-        known.update(kept[: max(0, self.room - len(known))])
-        out = []
-        for units in cut:
-            try:
-                out.append(b"".join([known[u] for u in units]))
-            except KeyError:
-                out.append(b"".join([known[u] if u in known else new[u] for u in units]))
+        free = self.room - len(known)
+        if free > 0:
+            known.update(islice(((u, ids) for u, ids in new.items() if u not in loose), free))
+        out = [
+            b"".join([i or new[u] for u, i in zip(units, ids, strict=True)] if None in ids else ids) for units, ids in zip(cut, found, strict=True)
+        ]
         for i in whole:
             out[i] = self._ids([texts[i]])[0]
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, spaced: bool) -> Encoder:
+    """One encoder for all tasks of a worker process, so that its memory outlasts a task."""
+    return Encoder(path, spaced)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
     """The batches cut where a slice's texts pass SLICE characters; NULL texts are left as they are."""
     for batch in batches:
