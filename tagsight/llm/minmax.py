@@ -112,16 +112,22 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
 
     def rows():
         for batch in batches:
-            yield from batch.to_pylist()
+            keys = batch.column("keys").flatten().to_numpy().reshape(-1, BANDS)
+            for member, own in zip(batch.drop_columns(["keys"]).to_pylist(), keys, strict=True):
+                yield member | {"keys": own}
 
     for _, members in groupby(rows(), lambda r: (r["key"], r["band"], r["low"], r["high"])):
         yield list(members)
 
 
 def _candidates(members: list[dict], percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Likely pairs of members with different labels, each in the first band that the two share only."""
+    """Likely pairs of members with different labels, each in the first band whose key the two share only.
+
+    The whole keys say which band that is: in the sketches a band can agree that the rows have no key for.
+    """
     n, labels, own = (np.array([m[c] for m in members], np.int64) for c in ("n", "label", "own"))
     s = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(-1, 2 * PERMUTATIONS)
+    keys = np.stack([m["keys"] for m in members])
     across = members[0]["low"] != members[0]["high"]
     for i in range(len(members)):
         rest = np.arange(i + 1, len(members))
@@ -131,8 +137,7 @@ def _candidates(members: list[dict], percent: int) -> Iterator[tuple[int, np.nda
         if len(rest):
             rest = rest[_likely(n[i], n[rest], s[i], s[rest], percent)]
         if len(rest):
-            same = (s[i] == s[rest]).reshape(-1, BANDS, ROWS).all(2)
-            rest = rest[same.argmax(1) == members[0]["band"]]
+            rest = rest[(keys[i] == keys[rest]).argmax(1) == members[0]["band"]]
         if len(rest):
             yield i, rest
 
@@ -234,10 +239,11 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 
     # keys whose rows still lie in several components
     named = member.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    named = durable(named.select("key", "band", "id", "n", "sketch", "label"))
+    named = durable(named.select("key", "band", "id", "label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("rows"))
     mixed = durable(mixed.where("least < most AND rows > 2").select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks"), (F.col("rows") > crowd).alias("crowded")))
-    split = named.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    signs = kinds.select("id", F.col("n_shingles").alias("n"), "sketch", "keys")
+    split = named.join(mixed, "key").join(signs, "id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     split = split.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "blocks")
 

@@ -82,6 +82,28 @@ def test_near_groups(spark, width, block, crowd):
     assert got == near(list(enumerate(texts)), width)
 
 
+def test_every_pair_off_the_star_is_a_candidate_once():
+    """Pairs at similarity 0.80 to 0.85, each beside a third row: one candidate in the keys that the two share, none lost."""
+    rng = np.random.default_rng(11)
+    lost = repeated = at_risk = 0
+    for _ in range(3000):
+        size, extra = 180, int(rng.integers(16, 23))
+        values = rng.integers(0, 1 << 63, size + 2 * extra, dtype=np.uint64)
+        pair = [minmax.signature(values[: size + extra]), minmax.signature(np.concatenate([values[:size], values[size + extra :]]))]
+        keys = [minmax.mix(minmax.shingles_of_rows(v.reshape(minmax.BANDS, minmax.ROWS)) + np.arange(1, minmax.BANDS + 1, dtype=np.uint64)).view(np.int64) for v in pair]
+        sketches = [minmax.mix(v).astype(np.uint8) for v in pair]
+        near_miss = (sketches[0] == sketches[1]).reshape(minmax.BANDS, minmax.ROWS).all(1) & (keys[0] != keys[1])
+        shared = np.flatnonzero(keys[0] == keys[1])
+        at_risk += bool(len(shared)) and bool(near_miss[: shared[0]].any())
+        seen = 0
+        for band in shared.tolist():
+            members = [{"id": i, "n": size + extra, "label": i, "own": 0, "low": 0, "high": 0, "band": band, "sketch": sketches[i].tobytes(), "keys": keys[i]} for i in (0, 1)]
+            seen += sum(len(rest) for _, rest in minmax._candidates(members, 80))
+        lost += seen == 0 and len(shared) > 0
+        repeated += seen > 1
+    assert at_risk > 0 and lost == 0 and repeated == 0
+
+
 def test_near_nulls_repeats_and_empty(spark):
     texts = [PROSE, PROSE + " more", PROSE, None, "", OTHER]
     got = rows(minmax.near_groups(table(spark, texts, [8, 3, 3, None, 1, None])).select("doc_id", "component_id", "kept"))
