@@ -262,19 +262,19 @@ def text_split(spark, sf):
 @query("m9_tfidf_logreg")
 def _(spark, sf):
     train, test = text_split(spark, sf)
-    return MD.tfidf_logreg(train, test, max_features=20_000, max_iter=20).select("sample_id", "true_label", "pred_label", "confidence")
+    return MD.tfidf_logreg(train, test).select("sample_id", "true_label", "pred_label", "confidence")
 
 
 @query("m10_tfidf_svm")
 def _(spark, sf):
     train, test = text_split(spark, sf)
-    return MD.tfidf_svm(train, test, max_features=20_000, max_iter=10)
+    return MD.tfidf_svm(train, test)
 
 
 @query("m11_tfidf_boost")
 def _(spark, sf):
     train, test = text_split(spark, sf)
-    return MD.tfidf_boost(train, test, n_features=512, rounds=3)
+    return MD.tfidf_boost(train, test)
 
 
 def vector_split(spark, sf):
@@ -286,7 +286,7 @@ def vector_split(spark, sf):
 @query("m12_embed_reduce_head")
 def _(spark, sf):
     train, test = vector_split(spark, sf)
-    return MD.embed_reduce_head(train, test, head="logreg", max_iter=20).select("sample_id", "true_label", "pred_label", "confidence")
+    return MD.embed_reduce_head(train, test, head="logreg").select("sample_id", "true_label", "pred_label", "confidence")
 
 
 @query("m12_embed_reduce_knn")
@@ -297,20 +297,20 @@ def _(spark, sf):
 
 @query("m14_embed")
 def _(spark, sf):
-    out = MD.embed(samples(spark, sf), dims=64)
-    return out.select("sample_id", F.size("embedding").alias("dims"))
+    out = MD.embed(samples(spark, sf))
+    return out.select("sample_id", "embedding")
 
 
 @query("m15_pseudo_label")
 def _(spark, sf):
     train, test = vector_split(spark, sf)
     is_seed = F.substring(F.md5(F.concat(F.lit("seed"), F.col("sample_id").cast("string"))), 1, 1) < "5"
-    return rounded(MD.pseudo_label(train.filter(is_seed), train.filter(~is_seed), test, max_iter=10))
+    return rounded(MD.pseudo_label(train.filter(is_seed), train.filter(~is_seed), test))
 
 
 @query("m16_out_of_fold_probs")
 def _(spark, sf):
-    out = MD.out_of_fold_probs(samples(spark, sf), k=2, seed=SEED, max_iter=10)
+    out = MD.out_of_fold_probs(samples(spark, sf), seed=SEED)
     return out.select("sample_id", "true_label", "fold", "pred_label")
 
 

@@ -262,6 +262,36 @@ def test_out_of_fold_covers_every_row(spark):
     assert out.select(F.abs(F.aggregate(F.map_values("probs"), F.lit(0.0), lambda a, x: a + x) - 1).alias("d")).filter("d > 1e-6").count() == 0
 
 
+def test_model_queries_cut_no_work(spark, monkeypatch):
+    from catalog import QUERIES
+
+    class Stop(Exception):
+        pass
+
+    got = {}
+
+    def fit(train, features, head, **kw):
+        got["model"] = ([s.getNumFeatures() for s in features if type(s).__name__ == "HashingTF"], [s for s in features if type(s).__name__ == "CountVectorizer"], kw)
+        raise Stop
+
+    fold_of = MD.fold_of
+    monkeypatch.setattr(MD, "fit", fit)
+    monkeypatch.setattr(MD, "fold_of", lambda id_col, k, seed: got.update(k=k) or fold_of(id_col, k, seed))
+    sf = "/root/testdata/sf0.001"
+    for name, places, kw in (
+        ("m9_tfidf_logreg", [MD.PLACES], {"max_iter": 100}), ("m10_tfidf_svm", [MD.PLACES], {"max_iter": 100}), ("m11_tfidf_boost", [4096], {"rounds": 300}),
+        ("m12_embed_reduce_head", [], {}), ("m15_pseudo_label", [], {"max_iter": 50}), ("m16_out_of_fold_probs", [MD.PLACES], {"max_iter": 50}),
+    ):
+        with pytest.raises(Stop):
+            QUERIES[name](spark, sf)
+        found, cut, given = got["model"]
+        given.pop("label", None)
+        assert (found, cut, given) == (places, [], kw), name
+    assert got["k"] == 5
+    vectors = QUERIES["m14_embed"](spark, sf)
+    assert vectors.columns == ["sample_id", "embedding"] and vectors.filter("size(embedding) <> 256").count() == 0
+
+
 def test_noise_frame_groups_are_disjoint(spark):
     data = [(f"s{i}", "abc"[i % 3], f"one two three four five {i}") for i in range(300)]
     df = spark.createDataFrame(data, "sample_id string, true_label string, text string")
