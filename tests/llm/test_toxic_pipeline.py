@@ -59,6 +59,18 @@ def test_toxic_nulls_and_empty(spark):
     assert toxic.score(docs, nothing).count() == 4
 
 
+def test_nothing_is_rejected_without_labels_of_both_kinds(spark):
+    docs = table(spark, ["bad", "good", "", None, "bad", "good", "so so", "fine"])
+    no_labels = docs.select("doc_id", F.lit(1).alias("toxic")).limit(0)
+    elsewhere = docs.select((F.col("doc_id") + 100).alias("doc_id"), F.lit(1).alias("toxic"))
+    all_toxic = docs.select("doc_id", F.lit(1).alias("toxic"))
+    # every fourth row is held out: here the only labels of kind 0
+    held_out_only = docs.select("doc_id", (F.col("doc_id") % 4 != 0).cast("int").alias("toxic"))
+    for labels in (no_labels, elsewhere, all_toxic, held_out_only):
+        model = toxic.train(docs, labels, min_calibration=1)
+        assert toxic.keep_clean(docs, model).count() == 8 and toxic.score(docs, model).where("rejected").isEmpty()
+
+
 def test_held_out_accuracy(spark):
     got = QUERIES["op3_toxicity"](spark, SF)
     labels = spark.read.parquet(f"{SF}/labels.parquet")
