@@ -156,3 +156,60 @@ def op6_near_dedup(spark, sf):
     from .minmax import near_groups
 
     return near_groups(table(spark, sf, "documents"), width=2)
+
+
+@query(
+    "op11_phrases",
+    r"""
+WITH pieces AS (SELECT row_number() OVER () AS piece, lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+words AS (SELECT piece, lang, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM pieces),
+runs AS MATERIALIZED (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM words WINDOW o AS (PARTITION BY piece ORDER BY i)),
+f AS MATERIALIZED (SELECT lang, [w1] AS words, count(*) AS a FROM runs GROUP BY lang, w1 HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2], count(*) FROM runs WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2, w3], count(*) FROM runs WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 30
+  UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) FROM runs WHERE w4 IS NOT NULL GROUP BY lang, w1, w2, w3, w4 HAVING count(*) >= 30),
+parts AS MATERIALIZED (SELECT lang, words, a, k, list_slice(words, 1, k) AS first, list_slice(words, k + 1, len(words)) AS rest
+  FROM f, (VALUES (1), (2), (3)) s(k) WHERE k < len(words)),
+cuts AS (SELECT c.lang, c.words, c.a, k, l.a AS l, r.a AS r, CAST(2000000::HUGEINT * c.a // (l.a + r.a) AS BIGINT) AS score,
+    row_number() OVER (PARTITION BY c.lang, c.words ORDER BY 2000000::HUGEINT * c.a // (l.a + r.a), k) AS place
+  FROM parts c JOIN f l ON l.lang = c.lang AND l.words = c.first JOIN f r ON r.lang = c.lang AND r.words = c.rest),
+longest AS (SELECT lang, list_slice(words, i, i + k - 1) AS words, max(a) AS longer
+  FROM (SELECT lang, words, a, k, unnest(range(1, len(words) - k + 2)) AS i FROM f, (VALUES (2), (3)) s(k) WHERE len(words) > k) GROUP BY ALL),
+best AS (SELECT c.* FROM cuts c LEFT JOIN longest i ON i.lang = c.lang AND i.words = c.words
+  WHERE place = 1 AND (longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * c.a)),
+ranked AS (SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, score,
+    row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(words, ' ')) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""",
+)
+def op11_phrases(spark, sf):
+    from .phrases import collocations
+
+    return collocations(table(spark, sf, "documents"))
+
+
+@query("op12_crosstok")
+def op12_crosstok(spark, sf):
+    from .crosstok import alignment_report
+
+    return alignment_report(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query(
+    "op13_near_vectors",
+    """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN least USING (vec_id)
+""",
+)
+def op13_near_vectors(spark, sf):
+    from .quantised import near_vectors
+
+    return near_vectors(table(spark, sf, "embeddings"))
