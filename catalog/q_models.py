@@ -308,10 +308,13 @@ def _(spark, sf):
     return rounded(MD.pseudo_label(train.filter(is_seed), train.filter(~is_seed), test))
 
 
-@query("m16_out_of_fold_probs")
+@query("m16_out_of_fold_probs", with_(SAMPLES, body="""SELECT sample_id, true_label, (('0x' || substr(md5('42|' || sample_id), 1, 8))::BIGINT % 5)::INTEGER AS fold, (SELECT count(DISTINCT true_label) FROM samples)::INTEGER AS n_probs,
+  1.0::DOUBLE AS probs_sum, TRUE AS best_is_predicted FROM samples"""))
 def _(spark, sf):
     out = MD.out_of_fold_probs(samples(spark, sf), seed=SEED)
-    return out.select("sample_id", "true_label", "fold", "pred_label")
+    best = F.try_element_at("probs", "pred_label") == F.array_max(F.map_values("probs"))
+    total = F.round(F.aggregate(F.map_values("probs"), F.lit(0.0), lambda a, p: a + p), 6)
+    return out.select("sample_id", "true_label", "fold", F.size("probs").alias("n_probs"), total.alias("probs_sum"), best.alias("best_is_predicted"))
 
 
 # whole evaluations ---------------------------------------------------------------------------------

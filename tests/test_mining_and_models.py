@@ -270,24 +270,29 @@ def test_model_queries_cut_no_work(spark, monkeypatch):
 
     got = {}
 
-    def fit(train, features, head, **kw):
-        got["model"] = ([s.getNumFeatures() for s in features if type(s).__name__ == "HashingTF"], [s for s in features if type(s).__name__ == "CountVectorizer"], kw)
-        raise Stop
-
-    fold_of = MD.fold_of
-    monkeypatch.setattr(MD, "fit", fit)
-    monkeypatch.setattr(MD, "fold_of", lambda id_col, k, seed: got.update(k=k) or fold_of(id_col, k, seed))
+    def stop(key):
+        def call(*args, **kw):
+            got[key] = args, kw
+            raise Stop
+
+        return call
+
+    blocks_of = MD.blocks_of
+    monkeypatch.setattr(MD, "fit", stop("fit"))
+    monkeypatch.setattr(MD, "fit_linear", stop("linear"))
+    monkeypatch.setattr(MD, "fit_boost", stop("boost"))
+    monkeypatch.setattr(MD, "blocks_of", lambda df, places, **kw: got.update(places=places, folds=kw.get("folds", 0)) or blocks_of(df, places, **kw))
     sf = "/root/testdata/sf0.001"
-    for name, places, kw in (
-        ("m9_tfidf_logreg", [MD.PLACES], {"max_iter": 100}), ("m10_tfidf_svm", [MD.PLACES], {"max_iter": 100}), ("m11_tfidf_boost", [4096], {"rounds": 300}),
-        ("m12_embed_reduce_head", [], {}), ("m15_pseudo_label", [], {"max_iter": 50}), ("m16_out_of_fold_probs", [MD.PLACES], {"max_iter": 50}),
+    for name, key, kw in (
+        ("m9_tfidf_logreg", "linear", {"max_iter": 100}), ("m10_tfidf_svm", "linear", {"max_iter": 100}), ("m11_tfidf_boost", "boost", {"rounds": 300}),
+        ("m12_embed_reduce_head", "fit", {}), ("m15_pseudo_label", "fit", {"max_iter": 50}), ("m16_out_of_fold_probs", "linear", {"max_iter": 50}),
     ):
+        got.clear()
         with pytest.raises(Stop):
             QUERIES[name](spark, sf)
-        found, cut, given = got["model"]
-        given.pop("label", None)
-        assert (found, cut, given) == (places, [], kw), name
-    assert got["k"] == 5
+        assert got[key][1] == kw, name
+        assert got.get("places") == (None if key == "fit" else 4096 if key == "boost" else MD.PLACES), name
+    assert got["folds"] == 5
     vectors = QUERIES["m14_embed"](spark, sf)
     assert vectors.columns == ["sample_id", "embedding"] and vectors.filter("size(embedding) <> 256").count() == 0
 
