@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tagsight.plans.lineage import durable
 
+from .drops import renamed, row_numbers
 from .repeats import (
     BLOCKS, block_rows, body_slices, by_bucket, chosen_places, fragments, gathered, repeated_seeds, runs_of, spread_ranges,
     squeezed, to_ids, unpack, unsqueezed,
@@ -156,11 +157,14 @@ def drop_repeats(docs: DataFrame, width: int = 13, id_col: str = "doc_id", text_
     """Every document without the words of repeated windows: id, n_words, n_removed, kept (joined by one blank), removed.
 
     Words end at [\\x20\\x09-\\x0D] and are compared as they are; windows are judged on the input. removed lists
-    (first, behind) words. NULL, empty and short texts lose nothing. Rows that repeat an id keep their windows
-    against each other and lose the same ones to smaller ids. Other columns are not read.
+    (first, behind) words. NULL, empty and short texts lose nothing. Where ids are missing or repeated, rows are numbered by id (NULL
+    last) and the hash of their text first, and lose what starts under a smaller number; rows that repeat an id and a
+    text lose the same. Very long texts are taken whole. Other columns are not read.
     """
+    docs, kinds = row_numbers(docs, id_col, text_col)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     spans = repeated_spans(docs, width, id_col, text_col)
-    return squeezed(rows).join(spans, "id", "left").mapInArrow(
+    found = squeezed(rows).join(spans, "id", "left").mapInArrow(
         lambda b: _apply(b, width), "id long, n_words long, n_removed long, kept string, removed array<array<long>>"
     ).withColumnRenamed("id", id_col)
+    return renamed(found, kinds, id_col)

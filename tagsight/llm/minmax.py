@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 from tagsight.plans.lineage import durable
 
 from .components import components
-from .drops import without
-from .repeats import squeezed, unsqueezed
+from .drops import mark, without
+from .repeats import unsqueezed
 from .tokens import text_slices
 from .words import BLANK, LOWER, Words, mix, shingles
 
@@ -58,26 +57,28 @@ def signature(own: np.ndarray) -> np.ndarray:
     return np.stack([low, high], 1).reshape(-1)
 
 
-_SIGNED = "id long, n_shingles long, d1 long, d2 long, sketch binary, keys array<long>"
+_SIGNED = "id long, mark long, digest binary, n_shingles long, sketch binary, keys array<long>"
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     seats = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
     for batch in text_slices(batches, "text"):
-        cols: list[list] = [[] for _ in range(5)]
+        cols: list[list] = [[] for _ in range(3)]
         for own in shingle_sets(batch.column("text").to_pylist(), width):
-            d1, d2 = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64).tolist()
             if len(own):
                 s = signature(own)
                 keys = mix(shingles_of_rows(s.reshape(BANDS, ROWS)) + seats).view(np.int64).tolist()
                 sketch = mix(s).astype(np.uint8).tobytes()
             else:
                 keys, sketch = [], b""
-            for col, v in zip(cols, (len(own), d1, d2, sketch, keys), strict=True):
+            for col, v in zip(cols, (len(own), sketch, keys), strict=True):
                 col.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-        names = ["id", "n_shingles", "d1", "d2", "sketch", "keys"]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=names)
+        kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        named = ["id", "mark", "digest"]
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in named], *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=[*named, "n_shingles", "sketch", "keys"]
+        )
 
 
 def shingles_of_rows(rows: np.ndarray) -> np.ndarray:
@@ -150,20 +151,29 @@ def _block_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[i], ids[rest])), pa.array(np.maximum(ids[i], ids[rest]))], names=["a", "b"])
 
 
-def _linked(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(one, other, assume_unique=True))
+def true_sets(texts: list[str], width: int) -> list[set[bytes]]:
+    """The shingles themselves, words joined by a blank; links are decided on these, not on hashes."""
+    out = []
+    for text in texts:
+        words = text.encode().translate(LOWER.tobytes()).split()
+        out.append({b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))} if words else set())
+    return out
+
+
+def _linked(one: set[bytes], other: set[bytes], percent: int) -> bool:
+    both = len(one & other)
     return 100 * both >= percent * (len(one) + len(other) - both)
 
 
 def _block_links(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
     """The candidates of a crowded key, confirmed at once; a pair whose rows a link has joined meanwhile is passed over."""
     for members in _groups(batches):
-        sets: dict[int, np.ndarray] = {}
+        sets: dict[int, set[bytes]] = {}
         top = {m["label"]: m["label"] for m in members}
 
-        def set_of(i: int, members=members, sets=sets) -> np.ndarray:
+        def set_of(i: int, members=members, sets=sets) -> set[bytes]:
             if i not in sets:
-                sets[i] = shingle_sets(unsqueezed([members[i]["body"]]), width)[0]
+                sets[i] = true_sets(unsqueezed([members[i]["body"]]), width)[0]
             return sets[i]
 
         def root(label: int, top=top) -> int:
@@ -191,38 +201,58 @@ def _confirm(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
             part = batch.slice(at, step)
             ends = [(part.column(i).to_pylist(), part.column(b).to_pylist()) for i, b in (("a", "body_a"), ("b", "body_b"))]
             new = {i: body for ids, bodies in ends for i, body in zip(ids, bodies, strict=True)}
-            known = dict(zip(new, shingle_sets(unsqueezed(list(new.values())), width), strict=True))
+            known = dict(zip(new, true_sets(unsqueezed(list(new.values())), width), strict=True))
             ok = []
             for a, b in zip(ends[0][0], ends[1][0], strict=True):
                 ok.append(_linked(known[a], known[b], percent))
             yield part.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in text_slices(batches, "text"):
+        body = [squeeze((t or "").encode()) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(body, pa.binary())], names=["id", "digest", "body"])
+
+
 def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
     """Every row with its group of near duplicates: id, n_shingles, component_id (smallest id reachable), kept.
 
     Words end at [\\x20\\x09-\\x0D], A-Z lower-cased. Rows are linked when 100 * intersection >= percent * union of
     their sets of `width`-word shingles; a text with fewer words is one shingle, a text without words links to nothing.
 
-    Rows with equal sets are folded to one at once. 64 permutations give 128 values, 32 bands of 4: a pair at 0.8
-    misses every band with probability below 1e-7. Rows that share a key are first compared with the key's most
-    connected row only; where a key then still has several components, the pairs between components are compared
+    Rows with the same words (by md5 of the words) are folded to one at once. 64 permutations give 128 values, 32 bands
+    of 4: a pair at 0.8 misses every band with probability below 1e-7. Rows that share a key are first compared with the
+    key's most connected row only; where a key then still has several components, the pairs between components are compared
     block by block, those the signatures cannot rule out (six standard errors) are confirmed, and no pair is left
     out. Keys of up to `crowd` rows list such pairs and confirm them in joins; larger ones carry their texts to the
-    block, confirm there and report links only. Sets are confirmed on whole texts.
+    block, confirm there and report links only. Links are confirmed on the shingles of whole texts, however long.
 
-    NULL ids count as one id behind all others. Rows that repeat an id are all returned. Other columns are not read.
+    Rows are told apart by their words, never by their id: rows that repeat an id keep links of their own and are all
+    returned, and NULL ids are behind all others. Other columns are not read, an empty table gives an empty result.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
+    found = _found(docs, width, percent, id_col, text_col, block, crowd)
+    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return found.select(known("id").alias(id_col), "n_shingles", known("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+
+
+def _found(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
+    """Every row (id, mark) with n_shingles, its group, and the smallest id of the group (component)."""
+    words = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER), "[ \\t-\\r]+", " "))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), mark(text_col).alias("mark"), F.unhex(F.md5(words)).alias("digest"), F.col(text_col).alias("text"))
     signed = durable(rows.mapInArrow(lambda b: _sign(b, width), _SIGNED))
-    folded = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("id", "n_shingles", "sketch", "keys")).alias("r"))
-    kinds = durable(folded.select("d1", "d2", "r.*"))
+    folded = signed.where("n_shingles > 0").groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "sketch", "keys")).alias("r"))
+    kinds = durable(folded.select("digest", F.col("r.id").alias("least"), "r.n_shingles", "r.sketch", "r.keys", F.monotonically_increasing_id().alias("id")))
     banded = kinds.select(F.posexplode("keys").alias("band", "key"), "id")
     shared = durable(banded.groupBy("key").count().where("count > 1"))
     open_ = durable(banded.join(shared, "key").select("key", "band", "id", "count"))
     popular = open_.groupBy("id").agg(F.sum("count").alias("popularity"))
     wanted = durable(popular.join(kinds.select("id", F.col("n_shingles").alias("n"), "sketch"), "id"))
-    bodies = durable(squeezed(rows).join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]))
+    firsts = kinds.join(wanted.select("id"), "id").select(F.col("id").alias("kind"), F.col("least").alias("id"), "digest")
+    bodies = rows.select("id", "digest", "text").mapInArrow(_squeeze, "id long, digest binary, body binary").join(firsts, ["id", "digest"])
+    bodies = durable(bodies.dropDuplicates(["kind"]).select(F.col("kind").alias("id"), "body"))
     member = durable(open_.select("key", "band", "id").join(wanted, "id"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -257,13 +287,22 @@ def near_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     if not more.isEmpty():
         labels = components(links.union(more))
 
-    of_kind = durable(kinds.select("d1", "d2", F.col("id").alias("kind")).join(labels.withColumnRenamed("id", "kind"), "kind", "left").select("d1", "d2", F.coalesce("label", "kind").alias("component")))
-    found = signed.select("id", "n_shingles", "d1", "d2").join(of_kind, ["d1", "d2"], "left")
-    found = found.withColumn("component", F.coalesce("component", "id"))
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return found.select(known("id").alias(id_col), "n_shingles", known("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
+    grouped_ = kinds.select("digest", "id", "least").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    grouped_ = durable(grouped_.select("digest", "label", "least"))
+    first = grouped_.groupBy("label").agg(F.min("least").alias("component"))
+    of_kind = durable(grouped_.join(first, "label").select("digest", F.col("label").alias("group"), "component"))
+    found = signed.select("id", "mark", "n_shingles", "digest").join(of_kind, "digest", "left")
+    return found.select("id", "mark", "n_shingles", "group", F.coalesce("component", "id").alias("component"))
 
 
 def drop_near(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, one of each group, with all their columns."""
-    return without(docs, near_groups(docs, width, percent, id_col, text_col).where(~F.col("kept")).select(id_col), id_col)
+    """The rows of docs that stay, one of each group, with all their columns.
+
+    The row with the smallest id of its group stays, of rows of one id that with the smallest hash of its text; rows
+    that are alike in both all stay (`drop_copies` removes them). Rows without words have no group and stay: NULL, empty
+    and blank texts. NULL ids are behind all others. An empty table stays empty.
+    """
+    found = durable(_found(docs, width, percent, id_col, text_col).where("`group` IS NOT NULL").select("id", "mark", "group", "component"))
+    first = found.where("id = component").groupBy("group").agg(F.min("mark").alias("first"))
+    gone = found.join(first, "group").where("id != component OR mark != first").select(F.when(F.col("id") != NO_ID, F.col("id")), "mark")
+    return without(docs, gone, [F.col(id_col).cast("long"), mark(text_col)])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tagsight.plans.lineage import durable
 
 from .debruijn import NO_ID
+from .drops import renamed, row_numbers
 from .repeats import (
     BLOCKS, FOUND, block_rows, body_slices, by_bucket, chosen_places, edges_of, fragments, gathered, pack, repeated_seeds, runs_of,
     spread_ranges, squeezed, to_ids, unpack, unsqueezed,
@@ -300,11 +301,14 @@ def drop_repeats(docs: DataFrame, span: int = 100, id_col: str = "doc_id", text_
 
     Texts are UTF-8; strings never cross documents and are judged on the input. Earlier is a smaller id, or the same
     document and an earlier start. removed lists (first, behind) bytes of the maximal removed runs. NULL, empty and
-    short texts lose nothing. NULL ids come after all others; rows that repeat an id should not occur: their places
-    are told apart by nothing, and equal places in them do not remove each other. Other columns are not read.
+    short texts lose nothing. Where ids are missing or repeated, rows are numbered by id (NULL
+    last) and the hash of their text first, and lose what starts under a smaller number; rows that repeat an id and a
+    text lose the same. Very long texts are taken whole. Other columns are not read.
     """
+    docs, kinds = row_numbers(docs, id_col, text_col)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
     ranges = covered(docs, span, id_col, text_col, hot)
-    return squeezed(rows).join(ranges, "id", "left").mapInArrow(
+    found = squeezed(rows).join(ranges, "id", "left").mapInArrow(
         _apply, "id long, n_bytes long, n_removed long, n_spans long, kept binary, removed array<array<long>>"
     ).withColumnRenamed("id", id_col)
+    return renamed(found, kinds, id_col)

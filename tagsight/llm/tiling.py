@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .drops import without
+from .drops import mark, without
 from .tokens import text_slices
 from .words import LOWER, PUNCTUATED, Words, shingles
 
@@ -177,5 +177,11 @@ def contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that hold no item, with all their columns."""
-    return without(docs, contamination(docs, items, threshold, least, id_col, text_col, **options).select(id_col), id_col)
+    """The rows of docs that hold no item, with all their columns.
+
+    Rows are judged by their text, so those without an id or with a repeated one are treated as others. NULL and empty
+    texts hold nothing and stay; texts are searched whole. An empty table stays empty, an empty benchmark drops nothing.
+    """
+    texts = docs.select(mark(text_col).alias("mark"), F.col(text_col).alias("text"))
+    found = contamination(texts, items, threshold, least, "mark", "text", **options)
+    return without(docs, found.select("mark"), [mark(text_col)])

@@ -10,6 +10,7 @@ from functools import lru_cache
 from itertools import compress, islice
 from operator import not_
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -18,6 +19,11 @@ _ODD = "\x1c\x1d\x1e\x1f\0"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: texts of one slice of a batch, in characters
 SLICE = 2_000_000
+#: units that a worker remembers (about 130 MB at most), and the longest of them in characters
+ROOM = 400_000
+SHORT = 48
+#: units that are encoded as one text
+JOINED = 100
 
 
 class Encoder:
@@ -29,19 +35,42 @@ class Encoder:
     whole text in every case.
     """
 
-    def __init__(self, path: str, spaced: bool, room: int = 900_000):
+    def __init__(self, path: str, spaced: bool, room: int = ROOM):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced, self.room = spaced, room
         self.units: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(1 + max(vocab.values()), np.int64)  # bytes of each id: one character each in byte-level entries
+        for entry, i in vocab.items():
+            self.sizes[i] = len(entry)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _ids(self, units: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in encoded)]
 
+    def _ids_joined(self, units: list[str]) -> list[bytes]:
+        """The same for units with a blank before them, many of them in one text: ids are dealt out by their bytes."""
+        out: list[bytes] = []
+        parts = [units[i : i + JOINED] for i in range(0, len(units), JOINED)]
+        encoded = self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)
+        for part, e in zip(parts, encoded, strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.cumsum(self.sizes[ids])
+            wanted = np.cumsum([len(u.encode()) for u in part])
+            last = np.searchsorted(ends, wanted)
+            if len(ends) == 0 or last[-1] != len(ends) - 1 or (ends[np.minimum(last, len(ends) - 1)] != wanted).any():
+                out += self._ids(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for end in (4 * (last + 1)).tolist():
+                out.append(raw[at:end])
+                at = end
+        return out
+
     def _unlike(self, text: str) -> bool:
         return any(c in text for c in _ODD) or any(s in text for s in self.specials)
 
@@ -68,11 +97,16 @@ class Encoder:
                     found[i] = list(map(known.get, cut[i]))
                     missing.update(compress(cut[i], map(not_, found[i])))
             missing -= bad - loose
-        plain = [u[1:] if u[0] == "\0" else " " + u for u in missing] if self.spaced else list(missing)
-        new = dict(zip(missing, self._ids(plain), strict=True))
+        if self.spaced:
+            inner = [u for u in missing if u[0] != "\0" and u not in loose]
+            others = list(missing.difference(inner))
+            new = dict(zip(inner, self._ids_joined([" " + u for u in inner]), strict=True))
+            new.update(zip(others, self._ids([u[1:] if u[0] == "\0" else " " + u for u in others]), strict=True))
+        else:
+            new = dict(zip(missing, self._ids(list(missing)), strict=True))
         free = self.room - len(known)
         if free > 0:
-            known.update(islice(((u, ids) for u, ids in new.items() if u not in loose), free))
+            known.update(islice(((u, ids) for u, ids in new.items() if len(u) <= SHORT and u not in loose), free))
         out = [
             b"".join([i or new[u] for u, i in zip(units, ids, strict=True)] if None in ids else ids) for units, ids in zip(cut, found, strict=True)
         ]

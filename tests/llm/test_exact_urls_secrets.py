@@ -101,5 +101,5 @@ def test_drops_are_the_same_with_and_without_a_broadcast(spark, sent):
 
     docs = table(spark, TEXTS[:6], [0, 1, 2, None, 4, 1])
     gone = spark.createDataFrame([(1,), (1,), (None,), (77,)], "doc_id long")
-    left = without(docs, gone, "doc_id", sent)
-    assert rows(left.select("doc_id")) == [(0,), (2,), (4,), (None,)] and left.columns == docs.columns
+    left = without(docs, gone, [F.col("doc_id")], sent)
+    assert rows(left.select("doc_id")) == [(0,), (2,), (4,)] and left.columns == docs.columns
