@@ -22,7 +22,7 @@ from .tokens import text_slices
 #: a single blank between two other characters: no token of either kind crosses into it from the left
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: units that a worker remembers, and the longest of them in characters
-ROOM = 300_000
+ROOM = 250_000
 SHORT = 40
 
 

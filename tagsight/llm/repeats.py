@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tagsight.plans.lineage import durable
 
-from .tokens import text_slices
+from .tokens import text_slices, trim
 
 #: fragments that a task holds before it sends them on
 HELD = 1_000_000
@@ -272,6 +272,7 @@ def body_slices(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Itera
             total += n
         if begin < batch.num_rows:
             yield batch.slice(begin)
+    trim()
 
 
 def chosen_places(pairs: list[bytes], begin: np.ndarray) -> np.ndarray:

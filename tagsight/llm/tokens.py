@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import re
 import struct
+import threading
+import time
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import compress, islice
 from operator import not_
 
@@ -18,7 +21,7 @@ import pyarrow.compute as pc
 _ODD = "\x1c\x1d\x1e\x1f\0"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: texts of one slice of a batch, in characters
-SLICE = 2_000_000
+SLICE = 1_000_000
 #: units that a worker remembers (about 130 MB at most), and the longest of them in characters
 ROOM = 400_000
 SHORT = 48
@@ -42,6 +45,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced, self.room = spaced, room
         self.units: dict[str, bytes] = {}
+        self.used = [0.0]
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.sizes = np.zeros(1 + max(vocab.values()), np.int64)  # bytes of each id: one character each in byte-level entries
         for entry, i in vocab.items():
@@ -76,6 +80,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        self.used[0] = time.monotonic()
         known, whole = self.units, [i for i, t in enumerate(texts) if self._unlike(t)]
         cut = [t.split(" ") if self.spaced else t.split() for t in texts]
         for i in whole:
@@ -115,10 +120,38 @@ class Encoder:
         return out
 
 
-@lru_cache(maxsize=2)
+#: seconds after which an unused encoder is given up
+IDLE = 4.0
+_ENCODERS: dict[tuple[str, bool], tuple[Encoder, list[float]]] = {}
+
+
+def trim() -> None:
+    """Give memory that nothing uses back to the machine."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if give_back:
+        give_back(0)
+
+
+def _give_up_idle(key: tuple[str, bool]) -> None:
+    while key in _ENCODERS:
+        time.sleep(IDLE)
+        if time.monotonic() - _ENCODERS[key][1][0] >= IDLE:
+            del _ENCODERS[key]
+            gc.collect()
+            trim()
+
+
 def encoder(path: str, spaced: bool) -> Encoder:
-    """One encoder for all tasks of a worker process, so that its memory outlasts a task."""
-    return Encoder(path, spaced)
+    """One encoder for all tasks of a worker process; its memory outlasts a task, but not the stage by more than IDLE seconds."""
+    key = path, spaced
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, spaced), [time.monotonic()]
+        threading.Thread(target=_give_up_idle, args=(key,), daemon=True).start()
+    found, used = _ENCODERS[key]
+    found.used = used
+    used[0] = time.monotonic()
+    return found
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
@@ -134,3 +167,4 @@ def text_slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa
             total += n
         if begin < batch.num_rows:
             yield batch.slice(begin)
+    trim()
