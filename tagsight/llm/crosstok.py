@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
@@ -17,13 +18,15 @@ from pyspark.sql import functions as F
 
 from tagsight.plans.lineage import durable
 
-from .tokens import text_slices
+from .tokens import ENCODED, text_slices
 
 #: a single blank between two other characters: no token of either kind crosses into it from the left
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: units that a worker remembers, and the longest of them in characters
-ROOM = 250_000
+ROOM = 150_000
 SHORT = 40
+#: units that are encoded and aligned as one text
+JOINED = 64
 
 
 def common_cuts(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
@@ -94,19 +97,37 @@ class Pair:
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.units: dict[str, tuple | None] = {}
 
-    def _aligned(self, unit: str, a: list[int], b: list[int]) -> tuple | None:
-        """(groups, links, number of a, number of b) of a blank and the unit; None where the bytes of either differ."""
-        raw = b" " + unit.encode()
+    def _aligned(self, units: list[str]) -> list[tuple | None]:
+        """(groups, links, number of a, number of b) of a blank and each unit; None where the bytes of either differ.
+
+        The units are encoded and aligned as one text, as no token crosses from one to the next; if their bytes or ends
+        are not found again, each is taken by itself.
+        """
+        text = " ".join(units)
+        raw = b" " + text.encode()
+        a, b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
         parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if not a or not b or b"".join(parts_a) != raw or b"".join(parts_b) != raw:
-            return None
-        groups, links = [], []
-        i = j = 0
-        for x, y in common_cuts(list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))):
-            groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-            links.append(a[x - 1] | b[y - 1] << 32)
+        ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
+        cuts = common_cuts(ends_a, ends_b) if a and b and b"".join(parts_a) == raw and b"".join(parts_b) == raw else []
+        wanted = list(accumulate(len(u.encode()) + 1 for u in units))
+        last = {ends_a[x - 1]: n for n, (x, _) in enumerate(cuts)}
+        if not cuts or any(w not in last for w in wanted):
+            return [None] if len(units) == 1 else [v for u in units for v in self._aligned([u])]
+        names_a, names_b = list(map(str, a)), list(map(str, b))
+        groups, i, j = [], 0, 0
+        for x, y in cuts:
+            groups.append(",".join(names_a[i:x]) + "|" + ",".join(names_b[j:y]))
             i, j = x, y
-        return ";".join(groups), np.asarray(links, "<u8").tobytes(), len(a), len(b)
+        at = np.array(cuts, np.int64) - 1
+        links = (np.array(a, "<u8")[at[:, 0]] | np.array(b, "<u8")[at[:, 1]] << np.uint64(32)).tobytes()
+        out: list[tuple | None] = []
+        begin, i, j = 0, 0, 0
+        for w in wanted:
+            end = last[w] + 1
+            x, y = cuts[end - 1]
+            out.append((";".join(groups[begin:end]), links[8 * begin : 8 * end], x - i, y - j))
+            begin, i, j = end, x, y
+        return out
 
     def align(self, texts: list[str | None]) -> list[tuple | None]:
         """The same for whole texts. A unit is what lies between single blanks; its end is an end of both tokenizations."""
@@ -118,9 +139,12 @@ class Pair:
             cut.append(units)
         known = self.units
         missing = list({u for units in cut for u in units if u not in known})
-        codes_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in missing], add_special_tokens=False)]
-        codes_b = self.b.encode(missing, num_threads=1)
-        new = {u: self._aligned(u, a, b) for u, a, b in zip(missing, codes_a, codes_b, strict=True)}
+        # units with blanks of their own are aligned alone: their blanks would not stay single
+        alone = [u for u in missing if u[0].isspace() or u[-1].isspace()]
+        joint = [u for u in missing if not (u[0].isspace() or u[-1].isspace())]
+        new = {u: self._aligned([u])[0] for u in alone}
+        for i in range(0, len(joint), JOINED):
+            new.update(zip(joint[i : i + JOINED], self._aligned(joint[i : i + JOINED]), strict=True))
         out: list[tuple | None] = []
         for units in cut:
             found = [known[u] if u in known else new[u] for u in units]
@@ -144,23 +168,24 @@ def _pair(path_a: str, path_b: str) -> Pair:
     return Pair(path_a, path_b)
 
 
-def _align(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
+def _align(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, digest: bool) -> Iterator[pa.RecordBatch]:
     pair = _pair(path_a, path_b)
-    for batch in text_slices(batches, "text"):
+    for batch in text_slices(batches, "text", ENCODED):
         found = [v or ("", b"", 0, 0) for v in pair.align(batch.column("text").to_pylist())]
         groups, links, n_a, n_b = zip(*found, strict=True)
         sizes = [len(x) // 8 for x in links]
+        if digest:
+            shown = pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups])
+        else:
+            shown = pa.array(groups, pa.large_string()).cast(pa.string())
         yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id"), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(sizes, pa.int64()),
-                pa.array(groups, pa.large_string()).cast(pa.string()), pa.array(links, pa.binary()),
-            ],
+            [batch.column("id"), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(sizes, pa.int64()), shown, pa.array(links, pa.binary())],
             names=["id", "n_a", "n_b", "n_groups", "groups", "links"],
         )
 
 
-def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every row with its alignment: id, n_a, n_b, n_groups, groups (`a1,a2|b1;a3|b2,b3`), links.
+def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """Every row with its alignment: id, n_a, n_b, n_groups, groups (`a1,a2|b1;a3|b2,b3`, or its sha256), links.
 
     Byte offsets where a token of each tokenizer ends cut both id lists into groups. A link is the pair of ids that end
     a group: `a | b << 32` as little-endian unsigned 64-bit integers, in order. The text is encoded with a blank
@@ -170,7 +195,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(lambda b: _align(b, path_a, path_b), f"id {kind}, n_a long, n_b long, n_groups long, groups string, links binary")
+    return rows.mapInArrow(lambda b: _align(b, path_a, path_b, digest), f"id {kind}, n_a long, n_b long, n_groups long, groups string, links binary")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +264,6 @@ def alignment_report(docs: DataFrame, path_a: str, path_b: str, id_col: str = "d
     Texts are encoded once: what the counts need is stored before the corpus-wide counts are looked up.
     Edge cases are those of `aligned`.
     """
-    found = aligned(docs, path_a, path_b, id_col, text_col)
-    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise(F.lit("")).alias("groups_sha256")
-    rows = durable(found.select("id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), digest, "links"))
+    found = aligned(docs, path_a, path_b, id_col, text_col, digest=True)
+    rows = durable(found.select("id", "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), F.col("groups").alias("groups_sha256"), "links"))
     return scored(rows, link_counts(rows)).withColumnRenamed("id", id_col)

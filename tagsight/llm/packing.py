@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tagsight.plans.lineage import durable
 
-from .tokens import encoder, text_slices
+from .tokens import ENCODED, encoder, text_slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 #: (lengths of one sequence, largest first; number of such sequences)
@@ -26,7 +26,7 @@ def _cut_pieces(path: str, spaced: bool, end: bytes, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, part = encoder(path, spaced), TaskContext.get().partitionId()
         seen = np.zeros(limit + 1, np.int64)
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", ENCODED):
             cols: list[list] = [[] for _ in range(7)]
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, ids in zip(batch.column("id").to_pylist(), codes.encode(texts), strict=True):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tagsight.plans.lineage import collect_small, small_table
 
-from .tokens import encoder, text_slices
+from .tokens import ENCODED, encoder, text_slices
 
 #: ids of a block
 BLOCK = 65_536
@@ -80,7 +80,7 @@ def _write_blocks(path: str, spaced: bool, end: bytes, kind: str, block: int):
             chunk, start, doc = chunk + 1, start + size, doc + done
             return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, schema, strict=True)], schema=schema)
 
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", ENCODED):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc_id, ids in zip(batch.column("id").to_pylist(), codes.encode(texts), strict=True):
                 held += ids + end

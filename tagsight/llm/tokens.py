@@ -20,8 +20,9 @@ import pyarrow.compute as pc
 # White space by Unicode's property. str.isspace() also takes \x1c-\x1f, which the tokenizers' patterns do not.
 _ODD = "\x1c\x1d\x1e\x1f\0"
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-#: texts of one slice of a batch, in characters
+#: texts of one slice of a batch, in characters; the encoders take larger ones, where units repeat more often
 SLICE = 1_000_000
+ENCODED = 2_000_000
 #: units that a worker remembers (about 130 MB at most), and the longest of them in characters
 ROOM = 400_000
 SHORT = 48
@@ -154,13 +155,13 @@ def encoder(path: str, spaced: bool) -> Encoder:
     return found
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[pa.RecordBatch]:
-    """The batches cut where a slice's texts pass SLICE characters; NULL texts are left as they are."""
+def text_slices(batches: Iterator[pa.RecordBatch], text_col: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches cut where a slice's texts pass `size` characters; NULL texts are left as they are."""
     for batch in batches:
         lengths = pc.fill_null(pc.utf8_length(batch.column(text_col)), 0).to_pylist()
         begin = total = 0
         for i, n in enumerate(lengths):
-            if total and total + n > SLICE:
+            if total and total + n > size:
                 yield batch.slice(begin, i - begin)
                 begin = i
                 total = 0
