@@ -1,6 +1,11 @@
 """The corpus pipeline: documents that are toxic, copies, near copies or hold benchmark items go; the rest is packed.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns they were given.
+
+Common to all stages: texts are taken whole, however long; NULL and empty texts are kept (the copies among them are
+one group); rows are judged by their text, so NULL and repeated ids lose nothing that has no copy; ties go to the
+smallest id, then the smallest hash of the text; columns beside doc_id and text pass through unread (lang chooses a
+threshold); empty tables stay empty.
 """
 
 from __future__ import annotations
