@@ -23,7 +23,7 @@ from .tokens import ENCODED, text_slices
 #: a single blank between two other characters: no token of either kind crosses into it from the left
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: units that a worker remembers, and the longest of them in characters
-ROOM = 150_000
+ROOM = 400_000
 SHORT = 40
 #: units that are encoded and aligned as one text
 JOINED = 64
@@ -226,15 +226,18 @@ def link_counts(rows: DataFrame) -> DataFrame:
 
 
 def _judge(batches: Iterator[pa.RecordBatch], links: np.ndarray, counts: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = batch.column("links").to_pylist()
-        own = np.frombuffer(b"".join(raw), "<u8")
-        ends = np.cumsum([0, *[len(x) // 8 for x in raw]])
-        at = np.searchsorted(links, own)
-        totals = [np.concatenate([[0], np.cumsum(x[at])]) for x in (best, counts)]
-        found = [pa.array((t[ends[1:]] - t[ends[:-1]]).astype(np.int64)) for t in totals]
-        rest = [batch.column(c) for c in batch.schema.names if c != "links"]
-        yield pa.RecordBatch.from_arrays([*rest, *found], names=[*[c for c in batch.schema.names if c != "links"], "n_best", "count_sum"])
+    for whole in batches:
+        names = [c for c in whole.schema.names if c != "links"]
+        for at in range(0, whole.num_rows, 200):
+            batch = whole.slice(at, 200)
+            raw = batch.column("links").to_pylist()
+            place = np.searchsorted(links, np.frombuffer(b"".join(raw), "<u8"))
+            ends = np.cumsum([0, *[len(x) // 8 for x in raw]])
+            found = []
+            for x in (best, counts):
+                sums = np.concatenate([[0], np.cumsum(x[place])])
+                found.append(pa.array((sums[ends[1:]] - sums[ends[:-1]]).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *found], names=[*names, "n_best", "count_sum"])
 
 
 #: rows of the table of linked pairs; two vocabularies of 50,000 entries have some hundred thousand tails
