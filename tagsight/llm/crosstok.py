@@ -6,10 +6,9 @@ import hashlib
 import json
 import os
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,44 +21,53 @@ from .tokens import ENCODED, text_slices
 
 #: a single blank between two other characters: no token of either kind crosses into it from the left
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: a blank beside another one
+_LOOSE = re.compile(r" (?:\s|(?<=\s ))")
 #: units that a worker remembers, and the longest of them in characters
 ROOM = 400_000
 SHORT = 40
 #: units that are encoded and aligned as one text
-JOINED = 64
+JOINED = 512
 
 
 def common_cuts(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int]]:
-    """Numbers of tokens (of a, of b) before each common end, in order; both lists rise and share their last value.
+    """The result of `cut_counts` as a list of pairs."""
+    at, place = cut_counts(np.array(ends_a), np.array(ends_b))
+    return list(zip(at.tolist(), place.tolist(), strict=True))
+
+
+def cut_counts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of tokens (of a, of b) before each common end, in order; both arrays rise and share their last value.
 
     Divide and conquer: from the middle of the ends of `a` that are still untried, the nearest one that bisection finds
     among those of `b` divides the interval, and both sides go on. Ends found missing on the way border the side
-    they fall to and are not tried again. An interval without such an end is a leaf: one group.
+    they fall to and are not tried again. An interval without such an end is a leaf: one group. All open intervals take
+    their next step together, so one bisection call serves them all.
     """
-    cuts: list[tuple[int, int]] = []
-    work = [(0, len(ends_a) - 1, 0, len(ends_b) - 1)]  # untried ends of a, and ends of b that may match them
-    while work:
-        low, high, first, last = work.pop()
-        middle, found = (low + high) // 2, None
-        left, right = middle, middle + 1
-        while left >= low or right < high:
-            for at in (left, right):
-                if low <= at < high:
-                    place = bisect_left(ends_b, ends_a[at], first, last)
-                    if place < last and ends_b[place] == ends_a[at]:
-                        found = at, place
-                        break
-            if found:
-                break
-            left, right = left - 1, right + 1
-        if found:
-            at, place = found
-            cuts.append((at + 1, place + 1))
-            work.append((low, min(at, left), first, place))
-            work.append((max(at + 1, right), high, place + 1, last))
-    cuts.append((len(ends_a), len(ends_b)))
-    cuts.sort()
-    return cuts
+    cuts_a, cuts_b = [np.array([len(ends_a)])], [np.array([len(ends_b)])]
+    low, high = np.array([0]), np.array([len(ends_a) - 1])  # untried ends of a
+    low, high = low[low < high], high[low < high]
+    left = right = (low + high) // 2  # those from left to right - 1 have been tried in vain
+    turn = np.zeros(len(low), bool)  # whether the next one lies on the left
+    while len(low):
+        on_left = (left > low) & (turn | (right >= high))
+        at = np.where(on_left, left - 1, right)
+        place = np.searchsorted(ends_b, ends_a[at])
+        hit = ends_b[place] == ends_a[at]
+        cuts_a.append(at[hit] + 1)
+        cuts_b.append(place[hit] + 1)
+        left, right = np.where(on_left, at, left), np.where(on_left, right, at + 1)
+        miss = ~hit & ((left > low) | (right < high))
+        lows, highs = np.concatenate([low[hit], right[hit]]), np.concatenate([left[hit], high[hit]])
+        new = lows < highs
+        lows, highs = lows[new], highs[new]
+        middle = (lows + highs) // 2
+        turn = np.concatenate([~on_left[miss], np.zeros(len(lows), bool)])
+        left, right = np.concatenate([left[miss], middle]), np.concatenate([right[miss], middle])
+        low, high = np.concatenate([low[miss], lows]), np.concatenate([high[miss], highs])
+    at, place = np.concatenate(cuts_a), np.concatenate(cuts_b)
+    order = np.argsort(at)
+    return at[order], place[order]
 
 
 def byte_level(entry: str, of: dict[str, int]) -> bytes:
@@ -98,68 +106,63 @@ class Pair:
         self.units: dict[str, tuple | None] = {}
 
     def _aligned(self, units: list[str]) -> list[tuple | None]:
-        """(groups, links, number of a, number of b) of a blank and each unit; None where the bytes of either differ.
+        """(groups, links, number of a | number of b << 32) of a blank and each unit; None where the bytes of either differ.
 
         The units are encoded and aligned as one text, as no token crosses from one to the next; if their bytes or ends
-        are not found again, each is taken by itself.
+        are not found again, each half is taken by itself.
         """
         text = " ".join(units)
         raw = b" " + text.encode()
         a, b = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text)
         parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
-        cuts = common_cuts(ends_a, ends_b) if a and b and b"".join(parts_a) == raw and b"".join(parts_b) == raw else []
-        wanted = list(accumulate(len(u.encode()) + 1 for u in units))
-        last = {ends_a[x - 1]: n for n, (x, _) in enumerate(cuts)}
-        if not cuts or any(w not in last for w in wanted):
-            return [None] if len(units) == 1 else [v for u in units for v in self._aligned([u])]
+        found = bool(a and b) and b"".join(parts_a) == raw and b"".join(parts_b) == raw
+        if found:
+            ends_a, ends_b = (np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) for parts in (parts_a, parts_b))
+            wanted = np.cumsum(np.fromiter((len(u.encode()) + 1 for u in units), np.int64, len(units)))
+            to_a, to_b = cut_counts(ends_a, ends_b)
+            ends = ends_a[to_a - 1]
+            last = np.searchsorted(ends, wanted)
+            found = bool((ends[last] == wanted).all())
+        if not found:
+            half = len(units) // 2
+            return [*self._aligned(units[:half]), *self._aligned(units[half:])] if half else [None]
         names_a, names_b = list(map(str, a)), list(map(str, b))
-        groups, i, j = [], 0, 0
-        for x, y in cuts:
-            groups.append(",".join(names_a[i:x]) + "|" + ",".join(names_b[j:y]))
-            i, j = x, y
-        at = np.array(cuts, np.int64) - 1
-        links = (np.array(a, "<u8")[at[:, 0]] | np.array(b, "<u8")[at[:, 1]] << np.uint64(32)).tobytes()
-        out: list[tuple | None] = []
-        begin, i, j = 0, 0, 0
-        for w in wanted:
-            end = last[w] + 1
-            x, y = cuts[end - 1]
-            out.append((";".join(groups[begin:end]), links[8 * begin : 8 * end], x - i, y - j))
-            begin, i, j = end, x, y
-        return out
+        xs, ys = to_a.tolist(), to_b.tolist()
+        groups = [
+            names_a[i] + "|" + names_b[j] if x - i == 1 and y - j == 1 else ",".join(names_a[i:x]) + "|" + ",".join(names_b[j:y])
+            for i, x, j, y in zip([0, *xs], xs, [0, *ys], ys, strict=False)
+        ]
+        links = (np.array(a, "<u8")[to_a - 1] | np.array(b, "<u8")[to_b - 1] << np.uint64(32)).tobytes()
+        sizes = np.diff(to_a[last] | to_b[last] << 32, prepend=0).tolist()
+        stops = (last + 1).tolist()
+        return [(";".join(groups[i:j]), links[8 * i : 8 * j], n) for i, j, n in zip([0, *stops], stops, sizes, strict=False)]
 
     def align(self, texts: list[str | None]) -> list[tuple | None]:
-        """The same for whole texts. A unit is what lies between single blanks; its end is an end of both tokenizations."""
-        cut: list[list[str]] = []
-        for text in texts:
-            units = text.split(" ") if text else []
-            if any(not u or u[0].isspace() or u[-1].isspace() for u in units):
-                units = _BETWEEN.split(text)
-            cut.append(units)
+        """(groups, links, number of a, number of b) of whole texts. A unit is what lies between single blanks; its end is an end of both tokenizations."""
+        cut = [(_BETWEEN.split(text) if text[0].isspace() or text[-1].isspace() or _LOOSE.search(text) else text.split(" ")) if text else [] for text in texts]
         known = self.units
-        missing = list({u for units in cut for u in units if u not in known})
+        missing = list(set(chain.from_iterable(cut)).difference(known))
         # units with blanks of their own are aligned alone: their blanks would not stay single
         alone = [u for u in missing if u[0].isspace() or u[-1].isspace()]
         joint = [u for u in missing if not (u[0].isspace() or u[-1].isspace())]
-        new = {u: self._aligned([u])[0] for u in alone}
+        free = ROOM - len(known)
+        known.update((u, self._aligned([u])[0]) for u in alone)
         for i in range(0, len(joint), JOINED):
-            new.update(zip(joint[i : i + JOINED], self._aligned(joint[i : i + JOINED]), strict=True))
+            known.update(zip(joint[i : i + JOINED], self._aligned(joint[i : i + JOINED]), strict=True))
         out: list[tuple | None] = []
         for units in cut:
-            found = [known[u] if u in known else new[u] for u in units]
+            found = [known[u] for u in units]
             if not found or None in found:
                 out.append(None)
                 continue
-            groups, links, n_a, n_b = zip(*found, strict=True)
-            out.append((";".join(groups), b"".join(links), sum(n_a), sum(n_b)))
-        free = ROOM - len(known)
-        for u, value in new.items():
-            if free <= 0:
-                break
-            if len(u) <= SHORT:
-                known[u] = value
+            groups, links, sizes = zip(*found, strict=True)
+            n = sum(sizes)
+            out.append((";".join(groups), b"".join(links), n & 0xFFFFFFFF, n >> 32))
+        for u in missing:  # as many as there is room for stay
+            if free > 0 and len(u) <= SHORT:
                 free -= 1
+            else:
+                del known[u]
         return out
 
 
