@@ -6,8 +6,9 @@ import hashlib
 import json
 import os
 import re
+import threading
+import time
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -17,14 +18,14 @@ from pyspark.sql import functions as F
 
 from tagsight.plans.lineage import durable
 
-from .tokens import ENCODED, text_slices
+from .tokens import _ENCODERS, ENCODED, _give_up_idle, text_slices, trim
 
 #: a single blank between two other characters: no token of either kind crosses into it from the left
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: a blank beside another one
 _LOOSE = re.compile(r" (?:\s|(?<=\s ))")
 #: units that a worker remembers, and the longest of them in characters
-ROOM = 400_000
+ROOM = 300_000
 SHORT = 40
 #: units that are encoded and aligned as one text
 JOINED = 512
@@ -104,6 +105,7 @@ class Pair:
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.units: dict[str, tuple | None] = {}
+        self.used = [0.0]
 
     def _aligned(self, units: list[str]) -> list[tuple | None]:
         """(groups, links, number of a | number of b << 32) of a blank and each unit; None where the bytes of either differ.
@@ -139,6 +141,7 @@ class Pair:
 
     def align(self, texts: list[str | None]) -> list[tuple | None]:
         """(groups, links, number of a, number of b) of whole texts. A unit is what lies between single blanks; its end is an end of both tokenizations."""
+        self.used[0] = time.monotonic()
         cut = [(_BETWEEN.split(text) if text[0].isspace() or text[-1].isspace() or _LOOSE.search(text) else text.split(" ")) if text else [] for text in texts]
         known = self.units
         missing = list(set(chain.from_iterable(cut)).difference(known))
@@ -166,9 +169,16 @@ class Pair:
         return out
 
 
-@lru_cache(maxsize=1)
 def _pair(path_a: str, path_b: str) -> Pair:
-    return Pair(path_a, path_b)
+    """One pair for all tasks of a worker process, given up like an encoder once no task has used it for a while."""
+    key = path_a, path_b
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Pair(path_a, path_b), [time.monotonic()]
+        threading.Thread(target=_give_up_idle, args=(key,), daemon=True).start()
+    found, used = _ENCODERS[key]
+    found.used = used
+    used[0] = time.monotonic()
+    return found
 
 
 def _align(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, digest: bool) -> Iterator[pa.RecordBatch]:
@@ -201,21 +211,51 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", t
     return rows.mapInArrow(lambda b: _align(b, path_a, path_b, digest), f"id {kind}, n_a long, n_b long, n_groups long, groups string, links binary")
 
 
+#: rows whose links are counted or looked up at once
+STEP = 200
+#: distinct links that are held before they are merged
+HELD = 1_000_000
+
+
+def _links(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The links of all rows where they lie, without a copy, and the number of links before each row and after the last."""
+    if not len(column):
+        return np.zeros(0, "<u8"), np.zeros(1, np.int64)
+    column = column.cast(pa.binary())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    n = int(ends[-1] - ends[0]) // 8
+    return np.frombuffer(data, "<u8", n, int(ends[0])) if n else np.zeros(0, "<u8"), (ends - ends[0]) // 8
+
+
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    links, place = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+    n = np.zeros(len(links), np.int64)
+    np.add.at(n, place, np.concatenate([x for _, x in held]))
+    return links, n
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
+    """Counts of the links of a task; at most `HELD` distinct ones and those of one step are held."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def counts() -> pa.RecordBatch:
-        links, n = np.unique(np.concatenate(held), return_counts=True)
+        links, n = held[0]
         a, b = links & np.uint64(0xFFFFFFFF), links >> np.uint64(32)
         return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (a, b, n)], names=["a", "b", "n"])
 
-    for batch in batches:
-        held.append(np.frombuffer(b"".join(batch.column("links").to_pylist()), "<u8"))
-        if sum(map(len, held)) > 4_000_000:
-            yield counts()
-            held = []
+    for whole in batches:
+        for at in range(0, whole.num_rows, STEP):
+            held.append(np.unique(_links(whole.slice(at, STEP).column("links"))[0], return_counts=True))
+            if sum(len(x) for x, _ in held) > HELD:
+                held = [_merged(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield counts()
+                    held = []
     if held:
+        held = [_merged(held)]
         yield counts()
+    trim()
 
 
 def link_counts(rows: DataFrame) -> DataFrame:
@@ -231,11 +271,10 @@ def link_counts(rows: DataFrame) -> DataFrame:
 def _judge(batches: Iterator[pa.RecordBatch], links: np.ndarray, counts: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         names = [c for c in whole.schema.names if c != "links"]
-        for at in range(0, whole.num_rows, 200):
-            batch = whole.slice(at, 200)
-            raw = batch.column("links").to_pylist()
-            place = np.searchsorted(links, np.frombuffer(b"".join(raw), "<u8"))
-            ends = np.cumsum([0, *[len(x) // 8 for x in raw]])
+        for at in range(0, whole.num_rows, STEP):
+            batch = whole.slice(at, STEP)
+            raw, ends = _links(batch.column("links"))
+            place = np.searchsorted(links, raw)
             found = []
             for x in (best, counts):
                 sums = np.concatenate([[0], np.cumsum(x[place])])
