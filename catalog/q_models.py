@@ -359,3 +359,14 @@ def _(spark, sf):
   ROUND((observed - COALESCE(s, 0) / (n_common * n_common)) / nullif(1 - COALESCE(s, 0) / (n_common * n_common), 0), 9) AS kappa FROM m LEFT JOIN e USING (group_key, run_a, run_b)"""))
 def _(spark, sf):
     return rounded(bundle(spark, sf)["kappa"])
+
+
+@query("m19_agreement_bundle_per_class", with_(PREDS, """gp AS (SELECT source || '__tier200' AS group_key, source || '/' || run_id AS run_id, true_label, pred_label FROM preds WHERE run_id <> 'run_3' AND pred_label IS NOT NULL)""",
+  f1_ctes("gp", "group_key, run_id"), body="""SELECT group_key, run_id, split_part(run_id, '/', 2) AS run, label, 'precision' AS metric, ROUND(precision, 9) AS value FROM perf_f UNION ALL SELECT group_key, run_id, split_part(run_id, '/', 2), label, 'recall', ROUND(recall, 9) FROM perf_f"""))
+def _(spark, sf):
+    return rounded(bundle(spark, sf)["per_class"])
+
+
+@query("m19_agreement_bundle_index", with_(PREDS, body="SELECT source || '__tier200' AS group_key, source AS dataset_name, 200::BIGINT AS tier_size, count(DISTINCT run_id) AS n_runs FROM preds WHERE run_id <> 'run_3' GROUP BY source"))
+def _(spark, sf):
+    return bundle(spark, sf)["index"]

@@ -1,9 +1,10 @@
-"""Agreement between many runs in one job.
+"""Agreement between any number of runs in one job.
 
-The runs of a sample become one fixed-position array (a mergeable aggregate).
-Each position is then exploded once, and per ``(run, label)`` one counter is kept
-for every other run: the rows stay linear in the number of predictions, no pairs
-of rows are ever emitted, and only ``runs x labels`` rows of counters are shuffled.
+The runs of a sample become fixed-position arrays of at most ``RUN_BLOCK`` runs (mergeable
+aggregates).  Every pair of such blocks is taken once a sample, each position of the
+first is exploded, and per ``(run, label)`` one counter is kept for every run of the
+second: the code has one size whatever the number of runs, no pairs of rows are ever
+emitted, and only counters are shuffled after that.
 """
 
 from __future__ import annotations
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..functions import scores as S
-from ..plans.lineage import collect_small
+from ..plans.lineage import MAX_DRIVER_ROWS, durable, small_table
 
-MAX_RUNS = 400
+#: runs whose counters are kept side by side
+RUN_BLOCK = 16
 
 
 def run_positions(preds: DataFrame, by: list[str], runs: DataFrame | None = None) -> DataFrame:
@@ -44,37 +46,60 @@ def pair_counts(
     those predicted by the two runs.
     """
     by = list(by or [])
-    where = collect_small(run_positions(preds, by, runs))
-    if not where:
+    found = run_positions(preds, by, runs)
+    head = found.limit(MAX_DRIVER_ROWS + 1).collect()
+    if not head:
         raise ValueError("no runs")
-    width = max(r["n_runs"] for r in where)
-    if width > MAX_RUNS:
-        raise ValueError(f"{width} runs in one group; select at most {MAX_RUNS}")
-    pos = preds.sparkSession.createDataFrame(
-        where, run_positions(preds, by, runs).schema
-    )
+    if len(head) <= MAX_DRIVER_ROWS:
+        pos, most = small_table(preds.sparkSession, head, found.schema), max(r["n_runs"] for r in head)
+    else:
+        pos = durable(found)
+        most = pos.agg(F.max("n_runs")).scalar()
+    width = min(most, RUN_BLOCK)
     lab = L.canonical_pred(F.col("pred_label"), dataset)
     ok = L.canonical(F.col("true_label"), dataset) == lab
-    here = F.broadcast(pos)  # at most MAX_DRIVER_ROWS rows, checked above
-    src = preds.join(here, [*by, "run_id"]).select(
-        *by, "sample_id", "pos", "n_runs", lab.alias("label"), F.coalesce(ok, F.lit(False)).alias("ok")
-    )
-    wide = src.groupBy(*by, "sample_id", "n_runs").agg(
-        F.array(*[F.max(F.when(F.col("pos") == i, F.col("label"))) for i in range(width)]).alias("p"),
-        F.array(*[F.max(F.when(F.col("pos") == i, F.col("ok"))) for i in range(width)]).alias("ok"),
-    )
-    if common == "all":
-        wide = wide.filter(F.size(F.filter("p", lambda x: x.isNotNull())) == F.col("n_runs"))
-    each = wide.select(*by, "p", "ok", F.posexplode("p").alias("i", "label")).filter("label IS NOT NULL")
-    mine = F.col("ok")[F.col("i")]
+    src = preds.join(pos, [*by, "run_id"]).select(
+        *by, "sample_id", (F.col("pos") % width).alias("slot"), F.floor(F.col("pos") / width).cast("int").alias("block"),
+        "n_runs", lab.alias("label"), F.coalesce(ok, F.lit(False)).alias("ok"),
+    )
+    item = [*by, "sample_id", "n_runs"]
+    arrays = [
+        F.array(*[F.max(F.when(F.col("slot") == i, F.col(c))) for i in range(width)]).alias(out)
+        for c, out in (("label", "p"), ("ok", "ok"))
+    ]
+
+    def filled(p: Column) -> Column:
+        return F.size(F.filter(p, lambda x: x.isNotNull()))
+
+    if most <= width:
+        wide = src.groupBy(*item).agg(*arrays)
+        if common == "all":
+            wide = wide.filter(filled(F.col("p")) == F.col("n_runs"))
+        each = wide.select(
+            *by, F.lit(0).alias("block"), F.lit(0).alias("block_b"), "ok", F.col("p").alias("p_b"), F.col("ok").alias("ok_b"),
+            F.posexplode("p").alias("slot", "label"),
+        )
+    else:
+        blocks = src.groupBy(*item, "block").agg(*arrays)
+        wide = blocks.groupBy(*item).agg(F.collect_list(F.struct("block", "p", "ok")).alias("blocks"))
+        if common == "all":
+            known = F.aggregate("blocks", F.lit(0), lambda n, b: n + filled(b["p"]))
+            wide = wide.filter(known == F.col("n_runs"))
+        pairs = wide.select(*by, "blocks", F.explode("blocks").alias("a")).select(*by, "a", F.explode("blocks").alias("b"))
+        each = pairs.select(
+            *by, "a.block", F.col("b.block").alias("block_b"), "a.ok", F.col("b.p").alias("p_b"), F.col("b.ok").alias("ok_b"),
+            F.posexplode("a.p").alias("slot", "label"),
+        )
+    each = each.filter("label IS NOT NULL")
+    mine = F.col("ok")[F.col("slot")]
     cells = []
     for j in range(width):
-        there = F.col("p")[j].isNotNull()
-        other = F.col("ok")[j]
+        there = F.col("p_b")[j].isNotNull()
+        other = F.col("ok_b")[j]
         cells.append(
             F.struct(
                 F.count_if(there).alias("both"),
-                F.count_if(F.col("p")[j] == F.col("label")).alias("agree"),
+                F.count_if(F.col("p_b")[j] == F.col("label")).alias("agree"),
                 F.count_if(there & mine & other).alias("both_ok"),
                 F.count_if(there & mine & ~other).alias("a_only"),
                 F.count_if(there & ~mine & other).alias("b_only"),
@@ -82,14 +107,17 @@ def pair_counts(
             )
         )
     flat = (
-        each.groupBy(*by, "i", "label")
+        each.groupBy(*by, "block", "block_b", "slot", "label")
         .agg(F.array(*cells).alias("cells"))
-        .select(*by, "i", "label", F.posexplode("cells").alias("j", "c"))
-        .select(*by, "i", "j", "label", "c.*")
+        .select(*by, "block", "block_b", "slot", "label", F.posexplode("cells").alias("slot_b", "c"))
+        .select(
+            *by, (F.col("block") * width + F.col("slot")).alias("i"), (F.col("block_b") * width + F.col("slot_b")).alias("j"),
+            "label", "c.*",
+        )
     )
     names = pos.select(*by, "run_id", "pos")
-    a = F.broadcast(names.select(*by, F.col("run_id").alias("run_a"), F.col("pos").alias("i")))
-    b = F.broadcast(names.select(*by, F.col("run_id").alias("run_b"), F.col("pos").alias("j")))
+    a = names.select(*by, F.col("run_id").alias("run_a"), F.col("pos").alias("i"))
+    b = names.select(*by, F.col("run_id").alias("run_b"), F.col("pos").alias("j"))
     return flat.join(a, [*by, "i"]).join(b, [*by, "j"]).drop("i", "j")
 
 

@@ -83,8 +83,40 @@ def _kernel(k: int, mode: str, id_type: pa.DataType):
     return block
 
 
-def _blocked(visits: DataFrame, pool: DataFrame, k: int, mode: str, id_kind: str, block_rows: int) -> DataFrame:
-    """Top k of every block for the queries that visit a cell of the pool.
+def _forest(threshold: float, id_type: pa.DataType):
+    schema = pa.schema([("a", id_type), ("b", id_type)])
+
+    def block(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return schema.empty_table()
+        q_id, p_id = left.column("q_id").to_numpy(), right.column("p_id").to_numpy()
+        queries, pool = _matrix(left, "q_vec"), _matrix(right, "p_vec").T
+        sets = np.arange(len(p_id))  # the set of each pool row so far
+        rows, cols = [], []
+        for at in range(0, len(q_id), SLICE_ROWS):
+            near = np.round(queries[at : at + SLICE_ROWS] @ pool, DIGITS) >= threshold
+            for i in np.flatnonzero(near.any(axis=1)):
+                hits = np.flatnonzero(near[i])
+                met = sets[hits]
+                if (met == met[0]).all():
+                    hits = hits[:1]
+                else:  # one link to each set, which are one from now on
+                    met, first = np.unique(met, return_index=True)
+                    hits = hits[first]
+                    sets[np.isin(sets, met)] = met[0]
+                rows.append(np.full(len(hits), at + i))
+                cols.append(hits)
+        if not rows:
+            return schema.empty_table()
+        return pa.table({"a": q_id[np.concatenate(rows)], "b": p_id[np.concatenate(cols)]}).cast(schema)
+
+    return block
+
+
+def _blocked(
+    visits: DataFrame, pool: DataFrame, k: int, mode: str, id_kind: str, block_rows: int, threshold: float | None = None
+) -> DataFrame:
+    """Top k of every block for the queries that visit a cell of the pool; links at a threshold, if one is given.
 
     ``visits(q_id, q_vec, q_label, cell)``, ``pool(p_id, p_vec, p_label, cell)``.  Both sides
     of a cell are hashed into blocks, so a cell may hold any share of the rows.
@@ -114,6 +146,8 @@ def _blocked(visits: DataFrame, pool: DataFrame, k: int, mode: str, id_kind: str
     )
     key = ["cell", "bq", "bp"]
     arrow = ID_KINDS[id_kind]
+    if threshold is not None:
+        return q.groupBy(*key).cogroup(p.groupBy(*key)).applyInArrow(_forest(threshold, arrow), f"a {id_kind}, b {id_kind}")
     return q.groupBy(*key).cogroup(p.groupBy(*key)).applyInArrow(
         _kernel(k, mode, arrow), f"q_id {id_kind}, p_id {id_kind}, score double"
     )
@@ -140,8 +174,8 @@ def _with_cell(df: DataFrame, vec: str, pivots: np.ndarray) -> DataFrame:
     return df.mapInArrow(assign, f"{kinds}, cell int, dist double")
 
 
-def _open_cells(df: DataFrame, pivots: np.ndarray, radius: dict[int, float]) -> DataFrame:
-    """Other cells that can hold a row at least as near as the query's k-th hit so far.
+def _open_cells(df: DataFrame, pivots: np.ndarray, radius: dict[int, float], later: bool = False) -> DataFrame:
+    """Other cells (``later``: of a higher number) that can hold a row within the query's limit.
 
     By the triangle inequality no row of a cell is nearer than the distance to its
     pivot minus the cell's radius.
@@ -156,7 +190,8 @@ def _open_cells(df: DataFrame, pivots: np.ndarray, radius: dict[int, float]) ->
                 continue
             away = np.sqrt(np.maximum(0.0, 2 - 2 * (_matrix(t, "q_vec") @ pivots[cells].T)))
             open_ = away - reach[None, :] <= t.column("limit").to_numpy()[:, None] + SLACK
-            open_ &= t.column("cell").to_numpy()[:, None] != cells[None, :]
+            own = t.column("cell").to_numpy()[:, None]
+            open_ &= own < cells[None, :] if later else own != cells[None, :]
             rows, cols = np.nonzero(open_)
             out = t.select(["q_id", "q_vec", "q_label"]).take(pa.array(rows))
             yield from out.append_column("cell", pa.array(cells[cols])).combine_chunks().to_batches()
@@ -165,6 +200,17 @@ def _open_cells(df: DataFrame, pivots: np.ndarray, radius: dict[int, float]) ->
     return df.select("q_id", "q_vec", "q_label", "cell", "limit").mapInArrow(keep, f"{kinds}, cell int")
 
 
+def _whole(df: DataFrame, vec: str) -> DataFrame:
+    return df.filter(F.col(vec).isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, lambda x: x.isNull()))
+
+
+def _id_kind(df: DataFrame, name: str) -> str:
+    kind = dict(df.dtypes)[name]
+    if kind not in ID_KINDS:
+        raise TypeError(f"ids of type {kind}; use one of {', '.join(ID_KINDS)}")
+    return kind
+
+
 def topk_cosine(
     queries: DataFrame,
     pool: DataFrame,
@@ -191,10 +237,8 @@ def topk_cosine(
     label = lambda name: (F.col(name) if name else F.lit("")).cast("string")
     q = queries.select(F.col(query_id).alias("q_id"), F.col(query_vec).alias("q_vec"), label(query_label).alias("q_label"))
     p = pool.select(F.col(pool_id).alias("p_id"), F.col(pool_vec).alias("p_vec"), label(pool_label).alias("p_label"))
-    q, p = (d.filter(F.col(v).isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull())) for d, v in ((q, "q_vec"), (p, "p_vec")))
-    kind = dict(p.dtypes)["p_id"]
-    if kind not in ID_KINDS:
-        raise TypeError(f"ids of type {kind}; use one of {', '.join(ID_KINDS)}")
+    q, p = _whole(q, "q_vec"), _whole(p, "p_vec")
+    kind = _id_kind(p, "p_id")
     n_pool = p.count() if prune is None or prune else 0
     if prune is None:
         prune = n_pool * q.count() > PRUNE_PAIRS
@@ -217,6 +261,36 @@ def topk_cosine(
     return _best(near.drop("place").unionByName(far), k)
 
 
+def threshold_links(
+    df: DataFrame, *, threshold: float, vec: str = "embedding", id_col: str = "sample_id",
+    block_rows: int = BLOCK_ROWS, prune: bool | None = None,
+) -> DataFrame:
+    """``(a, b)``: links whose components are those of all pairs of rows with a cosine >= ``threshold``.
+
+    A pair of blocks joins its rows to sets as it meets them and returns one link for every set that a row touches: at most
+    as many links as it has rows, however many pairs there are, and no pair is left out of account. Large inputs
+    (``prune``) are cut into cells around pivot rows; a row visits its own cell and those of a higher number that the
+    triangle inequality leaves open. Rows without a vector, or with a NULL in it, take no part.
+    """
+    rows = _whole(df.select(F.col(id_col).alias("q_id"), F.col(vec).alias("q_vec"), F.lit("").alias("q_label")), "q_vec")
+    kind = _id_kind(rows, "q_id")
+    n = rows.count() if prune is None or prune else 0
+    if prune is None:
+        prune = n * n > PRUNE_PAIRS
+    if prune and n:
+        some = md5_head(rows.select("q_id", "q_vec"), min(MAX_PIVOTS, max(2, math.isqrt(n))), seed="pivots", id_col="q_id")
+        pivots = _matrix(some.select("q_vec").toArrow(), "q_vec")  # at most MAX_PIVOTS vectors
+        placed = durable(_with_cell(rows, "q_vec", pivots))
+        radius = {r["cell"]: r["r"] for r in placed.groupBy("cell").agg(F.max("dist").alias("r")).collect()}
+        reach = F.lit(math.sqrt(max(0.0, 2 - 2 * threshold)))
+        rows = placed.drop("dist")
+        visits = durable(rows.unionByName(_open_cells(rows.withColumn("limit", reach), pivots, radius, later=True)))
+    else:
+        rows = visits = rows.withColumn("cell", F.lit(0))
+    pool = rows.select(*[F.col(c).alias(c.replace("q_", "p_")) for c in ("q_id", "q_vec", "q_label", "cell")])
+    return _blocked(visits, pool, 0, "any", kind, block_rows, threshold).filter("a <> b")
+
+
 def nearest_other_class(
     anchors: DataFrame, pool: DataFrame, *, vec: str = "embedding", label: str = "true_label",
     id_col: str = "sample_id", block_rows: int = BLOCK_ROWS,

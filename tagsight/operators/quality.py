@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -14,7 +12,7 @@ from ..plans.lineage import durable
 from ..plans.order import exact_quantiles, join_on, value_ranks
 from .graph import connected_components
 from .metrics import detection_metrics, label_distribution
-from .neighbours import topk_similar
+from .neighbours import threshold_links, topk_similar
 from .ranking import quantile_flag
 
 
@@ -132,14 +130,13 @@ def outliers(df: DataFrame, *, k: int = 10, q: float = 0.9, vec: str = "embeddin
 
 
 def near_duplicates(
-    df: DataFrame, *, k: int = 10, threshold: float = 0.98, vec: str = "embedding", id_col: str = "sample_id"
+    df: DataFrame, *, threshold: float = 0.98, vec: str = "embedding", id_col: str = "sample_id"
 ) -> DataFrame:
-    """Sets of rows linked by neighbours of cosine >= ``threshold``.
+    """Sets of rows linked by a cosine >= ``threshold``.
 
     Equal vectors are first folded into their smallest id, so a large group of
-    copies is one row in the search and costs no pairs.  Vectors whose k neighbours all
-    reach the threshold may have more: they are searched again with twice as many, until
-    the last neighbour lies below it.  Components of all links are the sets.
+    copies is one row in the search.  Of the others only links that join sets are
+    returned, not all pairs; their components are the sets.
     """
     key = F.sha2(F.concat_ws(",", F.col(vec).cast("array<string>")), 256)
     keyed = df.select(id_col, vec, key.alias("_key"))
@@ -147,20 +144,10 @@ def near_duplicates(
         keyed.groupBy("_key").agg(F.min(F.struct(id_col, vec)).alias("s"), F.count(F.lit(1)).alias("n_copies"))
         .select("_key", "n_copies", "s.*")
     )
-    asked, found = reps, []
-    while True:
-        hits = durable(
-            topk_similar(asked, reps, k=k, vec=vec, id_col=id_col, exclude_self=True).filter(F.col("score") >= threshold)
-        )
-        found.append(hits.select("q_id", "p_id"))
-        full = hits.groupBy(F.col("q_id").alias(id_col)).count().filter(F.col("count") >= k).select(id_col)
-        asked, k = durable(asked.join(full, id_col, "left_semi")), 2 * k
-        if asked.isEmpty():
-            break
-    near = reduce(DataFrame.union, found)
+    near = durable(threshold_links(reps, threshold=threshold, vec=vec, id_col=id_col))
     links = near.select(F.explode(F.array(
-        F.struct(F.col("q_id").alias("src"), F.col("p_id").alias("dst")),
-        F.struct(F.col("p_id").alias("src"), F.col("q_id").alias("dst")),
+        F.struct(F.col("a").alias("src"), F.col("b").alias("dst")),
+        F.struct(F.col("b").alias("src"), F.col("a").alias("dst")),
     )).alias("e")).select(F.lit(0).alias("g"), "e.*").distinct()
     comp = connected_components(
         reps.select(F.lit(0).alias("g"), id_col), links, group=["g"], node=id_col

@@ -75,6 +75,10 @@ def robust_z(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({f"{c}_z": (F.col(c) - F.lit(med.get(c))) / F.lit(scale[c]) for c in cols})
 
 
+#: tokens whose priors are sent to every task
+COMMON = 1000
+
+
 def token_prior(corpus: DataFrame, *, text: str = "text") -> DataFrame:
     """Relative frequency of every token of the corpus."""
     toks = corpus.select(F.explode(F.split(text, r"\s+")).alias("token")).filter("token <> ''")
@@ -86,7 +90,8 @@ def prior_stats(docs: DataFrame, priors: DataFrame, *, id_col: str = "sample_id"
     """Mean and deviation of the token priors of each text (0 without tokens).
 
     Repeated tokens of a text are counted before the join, which keeps frequent
-    words from multiplying the shuffled rows.
+    words from multiplying the shuffled rows.  The ``COMMON`` likeliest tokens go to every
+    task; their rows take no part in the join of the others, where they are dealt by text.
     """
     toks = (
         docs.select(id_col, F.explode(F.split(text, r"\s+")).alias("token"))
@@ -94,9 +99,14 @@ def prior_stats(docs: DataFrame, priors: DataFrame, *, id_col: str = "sample_id"
         .groupBy(id_col, "token")
         .agg(F.count(F.lit(1)).alias("k"))
     )
+    common = priors.orderBy(F.desc("prior"), "token").limit(COMMON).select("token", F.col("prior").alias("common"))
+    found = toks.join(F.broadcast(common), "token", "left").withColumn(
+        "seat", F.when(F.col("common").isNull(), F.lit(0).cast("bigint")).otherwise(1 + F.pmod(F.xxhash64(id_col), F.lit(1 << 20)))
+    )
+    others = priors.select("token", "prior", F.lit(0).cast("bigint").alias("seat"))
     per = (
-        toks.join(priors.select("token", "prior"), "token", "left")
-        .withColumn("p", F.coalesce("prior", F.lit(0.0)))
+        found.join(others, ["token", "seat"], "left")
+        .withColumn("p", F.coalesce("common", "prior", F.lit(0.0)))
         .groupBy(id_col)
         .agg(
             F.sum("k").alias("token_count"),

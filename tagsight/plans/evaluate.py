@@ -100,20 +100,34 @@ def leaderboard(rows: DataFrame) -> DataFrame:
 
 
 def agreement_bundle(
-    preds: DataFrame, runs: DataFrame, *, dataset: Column | str | None = None, max_runs: int = 25
+    preds: DataFrame, runs: DataFrame, *, dataset: Column | str | None = None, max_runs: int = 25,
+    reports: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Kappa and McNemar for the best runs of every dataset and tier, all groups in one job.
+    """Kappa, McNemar and per-class precision and recall for the best runs of every dataset and tier.
 
     ``runs`` has run_key, dataset_name, tier_size, f1_macro, has_predictions; ``preds``
-    is keyed by ``run_id`` equal to run_key.
+    is keyed by ``run_id`` equal to run_key.  ``per_class`` has a row for every group, run, label and metric, with the last
+    part of the run key as ``run``; it is taken from ``reports`` (run_id, label, precision, recall), by default the
+    reports of the predictions.  All groups share one job a table.
     """
     groups = A.agreement_groups(runs, max_runs=max_runs)
     members = groups.select("group_key", F.col("run_key").alias("run_id"))
     keyed = preds.join(members, "run_id")
     pairs = A.pair_counts(keyed, by=["group_key"], runs=members, dataset=dataset, common="all")
     index = groups.groupBy("group_key", "dataset_name", "tier_size").agg(F.count(F.lit(1)).alias("n_runs"))
+    if reports is None:
+        reports = M.classification_report(keyed, ["run_id"], dataset=dataset)
+    values = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("precision", "recall")])
+    per_class = (
+        reports.filter(~F.col("label").isin(*M.SUMMARY_ROWS)).join(members, "run_id")
+        .select(
+            "group_key", "run_id", F.substring(F.substring_index("run_id", "/", -1), 1, 48).alias("run"), "label", F.inline(values)
+        )
+        .filter("value IS NOT NULL")
+    )
     return {
         "index": index,
+        "per_class": per_class,
         "kappa": A.kappa_from_pairs(pairs, ["group_key"]),
         "mcnemar": A.mcnemar_from_pairs(pairs, ["group_key"]),
     }

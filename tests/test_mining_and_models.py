@@ -88,7 +88,7 @@ def test_contrast_is_of_another_label(cloud):
 def test_copies_form_one_set(cloud):
     _, _, df = cloud
     copies = df.unionByName(df.filter("sample_id = 7").withColumn("sample_id", F.explode(F.sequence(F.lit(1000).cast("bigint"), F.lit(1100).cast("bigint")))))
-    got = Q.near_duplicates(copies, k=3, threshold=0.9999)
+    got = Q.near_duplicates(copies, threshold=0.9999)
     sets = {r["sample_id"]: (r["set_id"], r["set_size"]) for r in got.collect()}
     assert len(sets) == 251
     assert sets[1050] == sets[7] == (7, 102)
@@ -98,7 +98,7 @@ def test_copies_form_one_set(cloud):
 
 def test_near_sets_larger_than_k_stay_whole(spark):
     vecs = [(i, "a", [1.0, 0.002 * i, 0.0]) for i in range(24)] + [(99, "a", [0.0, 0.0, 1.0])]
-    got = Q.near_duplicates(spark.createDataFrame(vecs, "sample_id long, true_label string, embedding array<double>"), k=3, threshold=0.998)
+    got = Q.near_duplicates(spark.createDataFrame(vecs, "sample_id long, true_label string, embedding array<double>"), threshold=0.998)
     sets = {r["sample_id"]: (r["set_id"], r["set_size"]) for r in got.collect()}
     assert {sets[i] for i in range(24)} == {(0, 24)} and sets[99] == (99, 1)
 
@@ -305,3 +305,41 @@ def test_noise_frame_groups_are_disjoint(spark):
     assert out.select("sample_id").distinct().count() == 120
     assert out.filter("kind LIKE '%label' AND observed_label = true_label").count() == 0
     assert out.filter("kind = 'clean' AND (is_corrupted OR observed_text <> text)").count() == 0
+
+
+def test_links_at_a_threshold_join_the_same_sets_as_all_pairs(spark):
+    from tagsight.operators import neighbours as NB
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 6))
+    vecs = centres[rng.integers(0, 12, 300)] + rng.normal(scale=0.15, size=(300, 6))
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    near = np.round(unit @ unit.T, 12) >= 0.98
+    label = np.arange(300)
+    for _ in range(300):
+        label = np.array([label[near[i]].min() for i in range(300)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "sample_id long, embedding array<double>")
+    for how in ({}, {"block_rows": 40}, {"prune": True, "block_rows": 40}):
+        own = np.arange(300)
+
+        def top(i, own=own):
+            while own[i] != i:
+                i = own[i]
+            return i
+
+        for r in NB.threshold_links(df, threshold=0.98, **how).collect():
+            assert near[r["a"], r["b"]]
+            a, b = top(r["a"]), top(r["b"])
+            own[max(a, b)] = min(a, b)
+        assert [top(i) for i in range(300)] == label.tolist()
+
+
+def test_a_dense_set_gives_no_more_links_than_rows(spark):
+    from tagsight.operators import neighbours as NB
+
+    n = 10_000
+    rng = np.random.default_rng(9)
+    vecs = np.array([1.0, 0, 0, 0]) + rng.normal(scale=0.001, size=(n, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "sample_id long, embedding array<double>")
+    assert NB.threshold_links(df, threshold=0.99).count() <= 2 * n * 8  # eight blocks of the pool at most here
+    assert {r["set_size"] for r in Q.near_duplicates(df, threshold=0.99).select("set_size").distinct().collect()} == {n}

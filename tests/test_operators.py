@@ -290,3 +290,64 @@ def test_leaderboard_merge_keeps_zero_f1(spark):
     df = spark.createDataFrame([("k", "legacy", 0.9, 0), ("k", "harness_report", 0.0, 1), ("", "legacy", 0.5, 2)], "run_key string, format string, f1_macro double, source_order int")
     got = R.merge_leaderboard(df).collect()
     assert len(got) == 1 and got[0]["f1_macro"] == 0.0
+
+
+def many_runs(spark, n_runs, n_samples):
+    import random
+
+    rng = random.Random(5)
+    data = [(f"r{r:04}", s, rng.choice("ABC"), rng.choice(["A", "B", "C", None])) for r in range(n_runs) for s in range(n_samples)]
+    gold = {s: rng.choice("ABC") for s in range(n_samples)}
+    data = [(r, s, gold[s], p) for r, s, _, p in data]
+    return data, spark.createDataFrame(data, "run_id string, sample_id long, true_label string, pred_label string")
+
+
+def test_runs_beyond_one_block_agree_with_plain_counts(spark):
+    data, df = many_runs(spark, 37, 9)
+    pred = {(r, s): p for r, s, _, p in data}
+    gold = {s: t for _, s, t, _ in data}
+    names = sorted({r for r, *_ in data})
+    got = {(r["run_a"], r["run_b"]): r["agreement"] for r in A.agreement_matrix(df).collect()}
+    tests = {(r["run_a"], r["run_b"]): (r["both_correct"], r["a_only"], r["b_only"], r["both_wrong"]) for r in A.mcnemar(df, common="pair").collect()}
+    for a in names:
+        for b in names:
+            both = [s for s in gold if pred[a, s] and pred[b, s]]
+            if both:
+                want = 1.0 if a == b else sum(pred[a, s] == pred[b, s] for s in both) / len(both)
+                assert abs(got[a, b] - want) < 1e-12
+                ok = [(pred[a, s] == gold[s], pred[b, s] == gold[s]) for s in both]
+                if a < b:
+                    assert tests[a, b] == tuple(ok.count(x) for x in ((True, True), (True, False), (False, True), (False, False)))
+    full = [(r, s, t, "A" if p is None else p) for r, s, t, p in data if s < 8] + [("r0000", 8, "A", "A")]
+    whole = spark.createDataFrame(full, df.schema)
+    assert {r["n_common"] for r in A.cohen_kappa(whole).collect()} == {8}  # the ninth sample has one run only
+
+
+def test_five_hundred_runs(spark):
+    _, df = many_runs(spark, 500, 2)
+    m = A.agreement_matrix(df.fillna("A", ["pred_label"]))
+    assert m.count() == 250_000
+    assert m.filter("run_a = run_b AND agreement <> 1").count() == 0
+
+
+def test_a_hub_and_a_chain_are_one_component_each(spark):
+    from tagsight.operators.graph import connected_components
+
+    n = 100_000
+    hub = spark.range(1, n).select(F.lit(0).alias("g"), F.lit(0).cast("bigint").alias("src"), F.col("id").alias("dst"))
+    chain = spark.range(n, n + 63).select(F.lit(0).alias("g"), F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    one = hub.unionByName(chain)
+    edges = one.unionByName(one.select("g", F.col("dst").alias("src"), F.col("src").alias("dst")))
+    nodes = spark.range(n + 65).select(F.lit(0).alias("g"), "id")
+    got = connected_components(nodes, edges, group=["g"]).groupBy("component").count().collect()
+    assert {(r["component"], r["count"]) for r in got} == {(0, n), (n, 64), (n + 64, 1)}
+
+
+def test_spread_lookup_is_a_join(spark):
+    from tagsight.plans.spread import spread_lookup
+
+    rows_ = spark.createDataFrame([(i, "hot" if i % 3 else str(i % 7)) for i in range(300)] + [(900, None), (901, "gone")], "id long, key string")
+    table = spark.createDataFrame([("hot", 1), ("0", 2), ("3", 3)], "key string, v int")
+    for how in ("left", "inner"):
+        got = spread_lookup(rows_, table, ["key"], by=["id"], how=how).select("id", "key", "v").collect()
+        assert sorted(got, key=str) == sorted(rows_.join(table, "key", how).select("id", "key", "v").collect(), key=str)
