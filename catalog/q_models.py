@@ -90,6 +90,23 @@ def _(spark, sf):
     return rounded(G.cluster_representatives(vectors(spark, sf), 3, seed=SEED).drop("embedding"))
 
 
+@query("f21_cluster_facts", with_(VECTORS, body="SELECT true_label, count(*) AS n_rows, 0::BIGINT AS n_nearer_elsewhere, 0::BIGINT AS n_nearer_than_representative FROM vectors GROUP BY 1"))
+def _(spark, sf):
+    """Checks on every row: its centre is the nearest of its label, and no row is nearer to a centre than the representative."""
+    v = vectors(spark, sf)
+    centres = G.label_centres(v, 3, seed=SEED)
+    table_ = spark.createDataFrame([(x, j, c.tolist()) for x, m in centres.items() for j, c in enumerate(m)], "true_label string, j int, c array<double>")
+    clustered = G.label_clusters(v, 3, seed=SEED)
+    best = G.representatives(clustered).select("true_label", "cluster_id", F.col("distance").alias("least"))
+    apart = clustered.join(table_, "true_label").withColumn("d", F.sqrt(Q.squared_distance("embedding", "c"))).groupBy("true_label", "sample_id", "cluster_id", "distance").agg(
+        F.min("d").alias("d")
+    )
+    return apart.join(best, ["true_label", "cluster_id"], "left").groupBy("true_label").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("distance") > F.col("d") + 1e-9).alias("n_nearer_elsewhere"),
+        F.count_if(F.col("least").isNull() | (F.col("distance") < F.col("least"))).alias("n_nearer_than_representative"),
+    )
+
+
 @query("f21_first_row_per_label", with_(VECTORS, body="SELECT min(sample_id) AS sample_id, true_label FROM vectors GROUP BY 2"))
 def _(spark, sf):
     return G.cluster_representatives(vectors(spark, sf), 1, seed=SEED).select("sample_id", "true_label")

@@ -247,27 +247,26 @@ def _(spark, sf):
 
 
 def prob_rows(spark, sf):
-    """One run's label probabilities with an observed label that is sometimes shifted."""
-    p = preds(spark, sf).filter("run_id = 'run_3'")
-    return p.withColumns({
+    """Label probabilities of all runs with an observed label that is sometimes shifted."""
+    return preds(spark, sf).withColumns({
         "probs": S.probs_from_confidence(F.col("pred_label"), F.col("confidence"), LANGS),
         "observed_label": F.when(F.col("doc_id") % 9 == 0, next_lang(F.col("true_label"))).otherwise(F.col("true_label")),
     })
 
 
-PROBS = f"""pr AS (SELECT sample_id, true_label, doc_id, CASE WHEN doc_id % 9 = 0 THEN {NEXT.format('true_label')} ELSE true_label END AS observed_label, label,
-  CASE WHEN pred_label IS NULL THEN 0.25 WHEN pred_label = label THEN confidence ELSE (1 - confidence) / 3.0 END AS prob FROM preds, (SELECT unnest(['de','en','es','fr']) AS label) WHERE run_id = 'run_3')"""
-SELFCONF = """sc AS (SELECT sample_id, any_value(observed_label) AS observed_label, max(CASE WHEN label = observed_label THEN prob END) AS self_confidence, arg_min(label, (-prob, label)) AS suggested_label, max(prob) AS suggested_prob FROM pr GROUP BY 1)"""
+PROBS = f"""pr AS (SELECT run_id, sample_id, true_label, doc_id, CASE WHEN doc_id % 9 = 0 THEN {NEXT.format('true_label')} ELSE true_label END AS observed_label, label,
+  CASE WHEN pred_label IS NULL THEN 0.25 WHEN pred_label = label THEN confidence ELSE (1 - confidence) / 3.0 END AS prob FROM preds, (SELECT unnest(['de','en','es','fr']) AS label))"""
+SELFCONF = """sc AS (SELECT run_id, sample_id, any_value(observed_label) AS observed_label, max(CASE WHEN label = observed_label THEN prob END) AS self_confidence, arg_min(label, (-prob, label)) AS suggested_label, max(prob) AS suggested_prob FROM pr GROUP BY 1, 2)"""
 
 
-@query("t10_rank_by_label_quality", with_(PREDS, PROBS, SELFCONF, body="SELECT sample_id, observed_label, ROUND(self_confidence, 9) AS self_confidence, suggested_label, ROUND(suggested_prob, 9) AS suggested_prob FROM sc"))
+@query("t10_rank_by_label_quality", with_(PREDS, PROBS, SELFCONF, body="SELECT run_id, sample_id, observed_label, ROUND(self_confidence, 9) AS self_confidence, suggested_label, ROUND(suggested_prob, 9) AS suggested_prob FROM sc"))
 def _(spark, sf):
-    return rounded(R.rank_by_label_quality(prob_rows(spark, sf)).select("sample_id", "observed_label", "self_confidence", "suggested_label", "suggested_prob"))
+    return rounded(R.rank_by_label_quality(prob_rows(spark, sf)).select("run_id", "sample_id", "observed_label", "self_confidence", "suggested_label", "suggested_prob"))
 
 
-@query("n10_self_confidence", with_(PREDS, PROBS, SELFCONF, body="SELECT observed_label, count(*) AS n, ROUND(avg(self_confidence), 9) AS mean_self_confidence FROM sc GROUP BY 1"))
+@query("n10_self_confidence", with_(PREDS, PROBS, SELFCONF, body="SELECT run_id, observed_label, count(*) AS n, ROUND(avg(self_confidence), 9) AS mean_self_confidence FROM sc GROUP BY 1, 2"))
 def _(spark, sf):
-    return rounded(R.self_confidence(prob_rows(spark, sf)).groupBy("observed_label").agg(F.count("*").alias("n"), F.avg("self_confidence").alias("mean_self_confidence")))
+    return rounded(R.self_confidence(prob_rows(spark, sf)).groupBy("run_id", "observed_label").agg(F.count("*").alias("n"), F.avg("self_confidence").alias("mean_self_confidence")))
 
 
 @query("t11_top_issue_rows", with_(NOISY, METHODS, body="SELECT sample_id, method AS issue_type, score, k::INTEGER AS place FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY score DESC, sample_id) AS k FROM meth) WHERE k <= 8"))
@@ -602,18 +601,18 @@ def _(spark, sf):
     return f.groupBy("kind").agg(F.count_distinct("sample_id").alias("n"), F.count_if("is_corrupted").alias("n_corrupted"))
 
 
-ISSUES = with_(PREDS, PROBS, """thr AS (SELECT observed_label AS label, avg(prob) AS t FROM pr WHERE label = observed_label GROUP BY 1)""",
-  """conf AS (SELECT sample_id, any_value(observed_label) AS observed_label, arg_min(pr.label, (-prob, pr.label)) AS cl FROM pr JOIN thr ON thr.label = pr.label WHERE prob >= t GROUP BY 1)""",
-  "joint AS (SELECT observed_label, cl, count(*) AS n FROM conf GROUP BY 1, 2)", "sz AS (SELECT observed_label, count(DISTINCT sample_id) AS size FROM pr GROUP BY 1)",
-  """cells AS (SELECT observed_label, cl AS other, round(n / (sum(n) OVER (PARTITION BY observed_label))::DOUBLE * size)::BIGINT AS quota FROM joint JOIN sz USING (observed_label))""",
-  """cand AS (SELECT c.observed_label, c.other, quota, a.sample_id, row_number() OVER (PARTITION BY c.observed_label, c.other ORDER BY -(a.prob - b.prob), md5(a.sample_id), a.sample_id) AS k
-    FROM cells c JOIN pr a ON a.observed_label = c.observed_label AND a.label = c.other JOIN pr b ON b.sample_id = a.sample_id AND b.label = b.observed_label WHERE c.observed_label <> c.other)""",
-  body="SELECT DISTINCT sample_id, observed_label, sample_id IN (SELECT sample_id FROM cand WHERE k <= quota) AS is_flagged FROM pr")
+ISSUES = with_(PREDS, PROBS, """thr AS (SELECT run_id, observed_label AS label, avg(prob) AS t FROM pr WHERE label = observed_label GROUP BY 1, 2)""",
+  """conf AS (SELECT run_id, sample_id, any_value(observed_label) AS observed_label, arg_min(label, (-prob, label)) AS cl FROM pr JOIN thr USING (run_id, label) WHERE prob >= t GROUP BY 1, 2)""",
+  "joint AS (SELECT run_id, observed_label, cl, count(*) AS n FROM conf GROUP BY 1, 2, 3)", "sz AS (SELECT run_id, observed_label, count(DISTINCT sample_id) AS size FROM pr GROUP BY 1, 2)",
+  """cells AS (SELECT run_id, observed_label, cl AS other, round(n / (sum(n) OVER (PARTITION BY run_id, observed_label))::DOUBLE * size)::BIGINT AS quota FROM joint JOIN sz USING (run_id, observed_label))""",
+  """cand AS (SELECT c.run_id, quota, a.sample_id, row_number() OVER (PARTITION BY c.run_id, c.observed_label, c.other ORDER BY -(a.prob - b.prob), md5(a.sample_id), a.sample_id) AS k
+    FROM cells c JOIN pr a ON a.run_id = c.run_id AND a.observed_label = c.observed_label AND a.label = c.other JOIN pr b ON b.run_id = a.run_id AND b.sample_id = a.sample_id AND b.label = b.observed_label WHERE c.observed_label <> c.other)""",
+  body="SELECT DISTINCT run_id, sample_id, observed_label, (run_id, sample_id) IN (SELECT (run_id, sample_id) FROM cand WHERE k <= quota) AS is_flagged FROM pr")
 
 
 @query("n8_find_label_issues", ISSUES)
 def _(spark, sf):
-    return Q.find_label_issues(prob_rows(spark, sf)).select("sample_id", "observed_label", "is_flagged")
+    return Q.find_label_issues(prob_rows(spark, sf), ["run_id"]).select("run_id", "sample_id", "observed_label", "is_flagged")
 
 
 @query("n9_issue_comparison", with_(NOISY, FLAGS, body=detection_sql("flags", "method")))
@@ -628,11 +627,11 @@ def _(spark, sf):
     return rounded(Q.class_imbalance(d, factor=0.5))
 
 
-@query("n15_underperforming_groups", with_(PREDS, PROBS, SELFCONF, "g AS (SELECT source AS cluster_id, self_confidence FROM sc JOIN documents ON sample_id = 'train_' || doc_id)",
+@query("n15_underperforming_groups", with_(PREDS, PROBS, SELFCONF, "g AS (SELECT run_id || '/' || source AS cluster_id, self_confidence FROM sc JOIN documents ON sample_id = 'train_' || doc_id)",
   body="SELECT cluster_id, count(*) AS n, ROUND(avg(self_confidence), 9) AS mean_confidence, avg(self_confidence) < 0.95 * (SELECT avg(self_confidence) FROM g) AS is_underperforming FROM g GROUP BY 1"))
 def _(spark, sf):
-    sc = R.self_confidence(prob_rows(spark, sf)).select("sample_id", "self_confidence")
-    g = sc.join(samples(spark, sf, F.col("source").alias("cluster_id")), "sample_id")
+    sc = R.self_confidence(prob_rows(spark, sf)).select("sample_id", "run_id", "self_confidence")
+    g = sc.join(samples(spark, sf, "source"), "sample_id").withColumn("cluster_id", F.concat_ws("/", "run_id", "source"))
     return rounded(Q.underperforming_groups(g, ratio=0.95))
 
 

@@ -134,9 +134,9 @@ def _(spark, sf):
     )
 
 
-@query("p14_add_correct", with_(PREDS, SCORED, body="SELECT sample_id, run_id, correct FROM scored WHERE run_id = 'run_1'"))
+@query("p14_add_correct", with_(PREDS, SCORED, body="SELECT sample_id, run_id, correct FROM scored"))
 def _(spark, sf):
-    return E.add_correct(preds(spark, sf).filter("run_id = 'run_1'")).select("sample_id", "run_id", "correct")
+    return E.add_correct(preds(spark, sf)).select("sample_id", "run_id", "correct")
 
 
 @query("p15_add_correct_per_run", with_(PREDS, SCORED, body="SELECT run_id, count(*) AS n, count(*) FILTER (correct) AS n_correct FROM scored GROUP BY 1"))

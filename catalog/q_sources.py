@@ -120,7 +120,7 @@ def run_tree(spark, sf, root=None):
             F.when(r < 3, F.struct(F.lit("report.json").alias("file"), report.alias("value"))),
             F.when(r == 3, F.struct(F.lit("metrics.json").alias("file"), flat.alias("value"))),
             F.when(r < 4, F.struct(F.lit("config.resolved.json").alias("file"), config.alias("value"))),
-            F.when(r < 2, F.struct(F.lit("predictions.csv").alias("file"), F.lit("sample_id,pred_label").alias("value"))),
+            F.when(r < 2, F.struct(F.lit("predictions.csv").alias("file"), F.concat(F.lit("sample_id,pred_label"), F.repeat(F.lit("\ns,\"a\nb\""), F.col("n_samples").cast("int"))).alias("value"))),
             F.struct(F.lit("run_manifest.json").alias("file"), manifest.alias("value")),
         ),
         lambda x: x.isNotNull(),
@@ -153,7 +153,7 @@ def _(spark, sf):
     return RN.discover_experiments(spark, run_tree(spark, sf))
 
 
-@query("s11_load_table", with_(PREDS, RUNS_SQL, TREE, body="""SELECT run_dir, TRUE AS ok, r < 2 AS has_predictions, TRUE AS has_report, TRUE AS has_config, NULL::BIGINT AS n_rows_predictions, 0::INTEGER AS n_missing, (CASE WHEN r < 2 THEN 0 ELSE 1 END)::INTEGER AS n_warnings, 0::INTEGER AS n_errors FROM tree WHERE r < 3"""))
+@query("s11_load_table", with_(PREDS, RUNS_SQL, TREE, body="""SELECT run_dir, TRUE AS ok, r < 2 AS has_predictions, TRUE AS has_report, TRUE AS has_config, CASE WHEN r < 2 THEN n_samples END::BIGINT AS n_rows_predictions, 0::INTEGER AS n_missing, (CASE WHEN r < 2 THEN 0 ELSE 1 END)::INTEGER AS n_warnings, 0::INTEGER AS n_errors FROM tree WHERE r < 3"""))
 def _(spark, sf):
     return RN.load_table(spark, run_tree(spark, sf)).drop("warnings", "errors")
 

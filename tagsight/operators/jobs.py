@@ -28,7 +28,8 @@ def batch_predict(
     """M2: call ``fn(texts)`` once per batch and key the answers by sample.
 
     ``batches`` has (batch_id, position, sample_id, text).  Batches have a fixed
-    size and are spread over the partitions, which is the concurrency.  ``fn``
+    size and are spread over the partitions, which is the concurrency.  A task reads its
+    rows in order of batches as one stream and holds only the batch that is still open.  ``fn``
     returns one label, or one dict with ``label`` / ``confidence`` / ``raw``, per text.
     A batch that still fails after ``retries`` repeats gives NULL labels and the error.
     ``context`` names a column passed as a second list.
@@ -67,7 +68,22 @@ def batch_predict(
             }
         )
 
-    return batches.select(*keep).groupBy("batch_id").applyInPandas(call, PREDICTED)
+    def answered(frames):
+        held = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            rows = frame if held is None else pd.concat([held, frame])
+            last = rows["batch_id"].iloc[-1]
+            open_ = rows["batch_id"].isna() if pd.isna(last) else rows["batch_id"] == last
+            whole, held = rows[~open_], rows[open_]
+            if len(whole):
+                yield pd.concat([call(batch) for _, batch in whole.groupby("batch_id", sort=False, dropna=False)])
+        if held is not None:
+            yield call(held)
+
+    sorted_ = batches.select(*keep).repartition("batch_id").sortWithinPartitions("batch_id", "position")
+    return sorted_.mapInPandas(answered, PREDICTED)
 
 
 def two_pass_predict(batches: DataFrame, first: Callable, second: Callable, **kw) -> DataFrame:

@@ -240,8 +240,36 @@ def read_run_records(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def prediction_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of the prediction file of every folder; NULL where a JSON file is neither a list nor holds one."""
+    name = "predictions.csv"
+    scan = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", _file_filter((name,)))
+        .csv(root, schema="c string", header=True, multiLine=True, quote='"', escape='"')
+        .groupBy(F.col("_metadata.file_path").alias("_path"))
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    # a file without rows is in the listing only
+    tables = list_files(spark, root, name).select("dir").distinct().join(
+        _listing(scan, F.col("_path"), root, (name,), "n").groupBy("dir").agg(F.sum("n").alias("n")), "dir", "left"
+    )
+    body = F.col("body")
+    items = F.when(F.startswith(F.ltrim(body), F.lit("[")), F.json_array_length(body)).otherwise(
+        F.json_array_length(F.get_json_object(body, "$.predictions"))
+    )
+    lists = read_texts(spark, root, "full_predictions.json").select("dir", items.cast("bigint").alias("m"))
+    return tables.join(lists, "dir", "full").select(
+        F.col("dir").alias("run_dir"),
+        F.coalesce("n", "m", F.when(F.col("m").isNull(), F.lit(0))).cast("bigint").alias("n_rows_predictions"),
+    )
+
+
 def load_table(spark: SparkSession, root: str, preds: DataFrame | None = None) -> DataFrame:
-    """Load status of every experiment folder: what is there, row counts, warnings and errors."""
+    """Load status of every experiment folder: what is there, row counts, warnings and errors.
+
+    Rows are those of ``preds`` where given, else those of the folder's prediction files (CSV before JSON).
+    """
     found = discover_experiments(spark, root)
     texts = read_texts(spark, root, "report.json", "config.resolved.json")
     valid = F.get_json_object("body", "$").isNotNull() & F.startswith(F.ltrim("body"), F.lit("{"))
@@ -259,7 +287,7 @@ def load_table(spark: SparkSession, root: str, preds: DataFrame | None = None) -
         rows = preds.groupBy(F.regexp_replace("run_dir", "^.*?" + re.escape(root.rstrip("/")) + "/", "").alias("run_dir")).agg(F.count(F.lit(1)).alias("n_rows_predictions"))
         out = out.join(rows, "run_dir", "left")
     else:
-        out = out.withColumn("n_rows_predictions", F.lit(None).cast("bigint"))
+        out = out.join(prediction_counts(spark, root), "run_dir", "left")
     keep = lambda *cols: F.filter(F.array(*cols), lambda x: x.isNotNull())
     text = lambda cond, msg: F.when(cond, F.concat(F.lit(msg), F.col("run_dir")))
     warnings = keep(
@@ -388,15 +416,25 @@ def read_result_list(spark: SparkSession, root: str, series: str = "mvp4_results
     stems = in_series(list_files(spark, root, "preds_*.csv"), series).select(
         F.regexp_replace(F.regexp_replace("name", r"\.csv$", ""), "^preds_", "").alias("stem")
     )
-    names = stems.agg(F.array_sort(F.collect_set("stem"))).scalar()
-    n = F.col("train_n").cast("bigint").cast("string")
     flat = lambda c: F.replace(c, F.lit("_"), F.lit(""))
-    fits = lambda s: (
-        F.contains(flat(s), flat(F.col("dataset")))
-        & (F.contains(s, F.substring_index("model", "_", 1)) | F.contains(s, F.col("model")))
-        & (F.col("train_n").isNull() | F.contains(s, F.concat(F.lit("n"), n)) | (F.col("model_family") == "LLM"))
-    )
-    rows = rows.withColumn("_stems", names).withColumn("hit", F.exists("_stems", fits))
+    n = F.col("train_n").cast("bigint").cast("string")
+    rows = rows.withColumn("_key", F.to_json(F.struct("dataset", "model", "train_n", "model_family")))
+    asked = rows.select("_key", "dataset", "model", "train_n", "model_family", flat(F.col("dataset")).alias("part")).distinct()
+    # every part of a stem that is as long as some data set's name, so that names meet stems by equality
+    lengths = asked.filter("part <> ''").agg(F.collect_set(F.length("part"))).scalar()
+    parts = (
+        stems.distinct()
+        .select("stem", flat(F.col("stem")).alias("_flat"), F.explode(lengths).alias("_n"))
+        .filter(F.length("_flat") >= F.col("_n"))
+        .select("stem", F.explode(F.transform(F.sequence(F.lit(1), F.length("_flat") - F.col("_n") + 1), lambda i: F.substr("_flat", i, F.col("_n")))).alias("part"))
+        .distinct()
+    )
+    stem = F.col("stem")
+    hits = asked.join(parts, "part").filter(
+        (F.contains(stem, F.substring_index("model", "_", 1)) | F.contains(stem, F.col("model")))
+        & (F.col("train_n").isNull() | F.contains(stem, F.concat(F.lit("n"), n)) | (F.col("model_family") == "LLM"))
+    ).select("_key", F.lit(True).alias("hit")).distinct()
+    rows = rows.join(hits, "_key", "left")
     spent = F.coalesce("fit_seconds", F.lit(0.0)) + F.coalesce("infer_seconds", F.lit(0.0))
     return _legacy(
         rows,

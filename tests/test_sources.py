@@ -78,6 +78,33 @@ def test_broken_json_and_fallbacks(spark, tmp_path):
     assert status["s/r2"]["n_missing"] == 2 and status["s/r2"]["ok"]
 
 
+def test_rows_of_prediction_files_are_counted(spark, tmp_path):
+    for r in ("a", "b", "c", "d", "e"):
+        harness_run(tmp_path / r)
+    for r in ("b", "c", "d", "e"):
+        (tmp_path / r / "predictions.csv").unlink()
+    table(tmp_path / "a" / "predictions.csv", ["id", "text"], ["1", "two\nlines"], ["2", 'a "b"'])
+    put(tmp_path / "a" / "full_predictions.json", [{}] * 9)
+    put(tmp_path / "b" / "full_predictions.json", [{"id": 1}, {"id": 2}, {"id": 3}])
+    put(tmp_path / "c" / "full_predictions.json", {"predictions": [{"id": 1}]})
+    table(tmp_path / "d" / "predictions.csv", ["id", "text"])
+    got = {r["run_dir"]: r["n_rows_predictions"] for r in RN.load_table(spark, str(tmp_path)).collect()}
+    assert got == {"a": 2, "b": 3, "c": 1, "d": 0, "e": None}
+
+
+def test_result_rows_meet_their_files(spark, tmp_path):
+    item = lambda d, m, n, f="ML": {"dataset": d, "model_family": f, "model": m, "train_n": n, "accuracy": 0.5, "macro_f1": 0.5}
+    put(tmp_path / "mvp4_results" / "mvp4_final_results.json", [
+        item("ag_news", "svm_tfidf", 100), item("ag_news", "svm_tfidf", 200), item("ag_news", "knn", 100), item("news", "svm", None),
+        item("trec", "gpt_x", 5, "LLM"), item("", "svm", None), item("ag_news", "svm_tfidf", 100),
+    ])
+    for stem in ("agnews_svm_n100", "trec_gpt_zero"):
+        table(tmp_path / "mvp4_results" / f"preds_{stem}.csv", ["text"], ["a"])
+    got = RN.read_result_list(spark, str(tmp_path)).select("dataset_name", "model_id", "run_leaf", "has_predictions").collect()
+    assert len(got) == 7
+    assert {(r[0], r[1], r[2]) for r in got if r[3]} == {("ag_news", "svm_tfidf", "svm_tfidf_train100"), ("news", "svm", None), ("trec", "gpt_x", "gpt_x_train5")}
+
+
 def test_first_match_stops_descent(spark, tmp_path):
     harness_run(tmp_path / "a")
     harness_run(tmp_path / "a" / "inner")
