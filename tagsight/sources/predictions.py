@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import csv
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..plans.lineage import collect_small
 from ..schema import coalesce_columns
+from .records import csv_records, json_records
 
 ALIASES = {
     "sample_id": ["sample_id", "id", "source_index"],
@@ -68,14 +71,30 @@ def harmonise(df: DataFrame) -> DataFrame:
     )
 
 
-def _csv_headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """Header line of every file, in one job."""
+def _csv_files(spark: SparkSession, paths: list[str]) -> list[Row]:
+    """Header line of every file, and whether a record may go over several lines, in one job."""
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("f"), "value", F.monotonically_increasing_id().alias("i"),
-        F.col("_metadata.file_block_start").alias("b"),
+        F.col("_metadata.file_block_start").alias("b"), (odd % 2 == 1).alias("odd"),
+    )
+    return collect_small(
+        lines.groupBy("f").agg(
+            F.min_by(F.when(F.col("b") == 0, F.col("value")), F.when(F.col("b") == 0, F.col("i"))).alias("header"),
+            F.bool_or("odd").alias("spans"),
+            F.min_by(F.when(F.col("b") == 0, F.col("odd")), F.when(F.col("b") == 0, F.col("i"))).alias("header_spans"),
+        )
     )
-    first = lines.filter("b = 0").groupBy("f").agg(F.min_by("value", "i").alias("h"))
-    return {r["f"]: r["h"] for r in collect_small(first)}
+
+
+def _split_csv(spark: SparkSession, paths: list[str], header: str) -> DataFrame:
+    """CSV files with line breaks in quoted fields, still read by many tasks."""
+    names = next(csv.reader([header]))
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    rows = csv_records(spark, paths).select(
+        F.from_csv("text", schema, {"quote": '"', "escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}).alias("r"), run_dir_of(F.col("f")).alias("run_dir")
+    )
+    return rows.select("r.*", "run_dir")
 
 
 def run_dir_of(path: Column) -> Column:
@@ -87,28 +106,34 @@ def read_predictions(
 ) -> DataFrame:
     """Prediction files of many runs as one long table with ``run_dir``.
 
-    CSV files are scanned once per distinct header; JSON files hold an array or
-    ``{"predictions": [...]}`` and are read whole, whatever their size.
+    CSV files are scanned once per distinct header.  JSON files hold an array or ``{"predictions": [...]}``.
+    A large file is read by many tasks, also where quoted fields hold line breaks and where a JSON list has no line
+    breaks at all.  Only a CSV file whose header goes over several lines or repeats a name, and a JSON object that does
+    not begin with ``predictions``, are read by one task each.
     """
     parts: list[DataFrame] = []
     if csv_paths:
-        groups: dict[str, list[str]] = {}
-        for path, header in _csv_headers(spark, list(csv_paths)).items():
-            groups.setdefault(header, []).append(path)
-        for paths in groups.values():
-            scan = spark.read.csv(paths, header=True, multiLine=True, quote='"', escape='"')
-            parts.append(harmonise(scan.withColumn("run_dir", run_dir_of(F.col("_metadata.file_path")))))
+        groups: dict[tuple[str, str], list[str]] = {}
+        for r in _csv_files(spark, list(csv_paths)):
+            names = next(csv.reader([r["header"]]), [])
+            whole = r["header_spans"] or "" in names or len({n.lower() for n in names}) < len(names)
+            how = "lines" if not r["spans"] else "whole" if whole else "split"
+            groups.setdefault((how, r["header"]), []).append(r["f"])
+        for (how, header), paths in groups.items():
+            if how == "split":
+                parts.append(harmonise(_split_csv(spark, paths, header)))
+            else:
+                scan = spark.read.csv(paths, header=True, multiLine=how == "whole", quote='"', escape='"')
+                parts.append(harmonise(scan.withColumn("run_dir", run_dir_of(F.col("_metadata.file_path")))))
     if json_paths:
         row = "struct<" + ",".join(f"{c}:string" for c in PRED_FIELDS) + ">"
-        body = spark.read.text(list(json_paths), wholetext=True).select(
-            "value", F.col("_metadata.file_path").alias("f")
-        )
-        # from_json turns a lone object into a one-element array, so the shape is told apart first
-        rows = F.when(
-            F.startswith(F.ltrim("value"), F.lit("[")), F.from_json("value", f"array<{row}>")
-        ).otherwise(F.from_json("value", f"struct<predictions:array<{row}>>")["predictions"])
-        flat = body.select(run_dir_of(F.col("f")).alias("run_dir"), F.inline(rows))
-        parts.append(harmonise(flat))
+        listed, others = json_records(spark, list(json_paths))
+        listed = listed.select(run_dir_of(F.col("f")).alias("run_dir"), F.from_json("text", row).alias("r"))
+        parts.append(harmonise(listed.select("run_dir", "r.*")))
+        if others:
+            body = spark.read.text(others, wholetext=True).select("value", run_dir_of(F.col("_metadata.file_path")).alias("run_dir"))
+            rows = F.from_json("value", f"struct<predictions:array<{row}>>")["predictions"]
+            parts.append(harmonise(body.select("run_dir", F.inline(rows))))
     if not parts:
         raise ValueError("no prediction files")
     out = parts[0]

@@ -140,6 +140,38 @@ def test_prediction_files(spark, tmp_path):
     assert got.filter("sample_id = 's1'").first()["text"] == 'hi, "you"\nthere'
 
 
+@pytest.mark.parametrize("size", ["97", "128m"])
+def test_prediction_files_are_read_in_splits(spark, tmp_path, size):
+    texts = ['plain', 'two\nlines', 'a "quoted" word', 'br}ace [{ "', 'back\\slash \\" }', "", "x" * 300, 'end\r\nof line', "{}", "ünï }\n{"]
+    items = [{"id": i, "true": "t", "pred": None if i % 7 == 0 else f"p{i}", "text": texts[i % len(texts)], "meta_json": {"a": [{"b": i}, "}"]}} for i in range(60)]
+    table(tmp_path / "c" / "predictions.csv", ["id", "true", "pred", "text"], *[[x["id"], "t", x["pred"] or "", x["text"]] for x in items])
+    table(tmp_path / "plain" / "predictions.csv", ["id", "true", "pred"], *[[i, "t", "p"] for i in range(60)])
+    put(tmp_path / "flat" / "full_predictions.json", items)
+    put(tmp_path / "wide" / "full_predictions.json", json.dumps(items, indent=3) + "\n")
+    put(tmp_path / "wrap" / "full_predictions.json", {"predictions": items, "extra": {"x": {"y": {}}, "z": [{"id": 900}]}})
+    put(tmp_path / "last" / "full_predictions.json", {"extra": {"id": 900}, "predictions": items})
+    put(tmp_path / "cut" / "full_predictions.json", json.dumps(items)[:-40])
+    put(tmp_path / "empty" / "full_predictions.json", [])
+    jsons = [str(tmp_path / r / "full_predictions.json") for r in ("flat", "wide", "wrap", "last", "cut", "empty")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = PR.read_predictions(spark, [str(tmp_path / r / "predictions.csv") for r in ("c", "plain")], jsons)
+        out = got.select(F.substring_index("run_dir", "/", -1).alias("r"), "sample_id", "true_label", "pred_label", "text").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    by = {}
+    for r in out:
+        by.setdefault(r["r"], []).append(tuple(r)[1:])
+    want = sorted((str(x["id"]), "t", x["pred"], x["text"]) for x in items)
+    for name in ("flat", "wide", "wrap", "last"):
+        assert sorted(by[name]) == want, name
+    assert sorted((a, b, c or None, d or "") for a, b, c, d in by["c"]) == want
+    assert sorted(r[0] for r in by["plain"]) == sorted(str(i) for i in range(60))
+    assert set(by) == {"c", "plain", "flat", "wide", "wrap", "last"}
+
+
 def test_source_index_counts_rows(spark, tmp_path):
     lines = [{"context": f" c{i} " if i != 3 else "  ", "safety_label": "__Needs Caution__", "safety_annotations": ["A b"]} for i in range(50)]
     put(tmp_path / "d.jsonl", "\n".join(json.dumps(x) for x in lines))
