@@ -11,7 +11,7 @@ from tagsight.sources import predictions as PR
 from tagsight.sources import runs as RN
 from tagsight.sources import tiers as TR
 
-from .base import PREDS, RUNS, SAMPLES, SEED, preds, query, rank_cte, rounded, samples, table, with_
+from .base import PREDS, RUNS, SAMPLES, SEED, preds, query, rank_cte, rounded, samples, table, wide_preds_sql, with_
 from .q_ranks import take_quota_ctes
 from .q_scores import RUNS_SQL, report_docs, runs_table
 
@@ -310,6 +310,36 @@ def _(spark, sf):
     return spark.read.json(f"{path}/summary.json").select("dataset_name", "model", "n_rows", "n_failed")
 
 
+@query("s19_bundle_rows", with_(PREDS, body="""SELECT sample_id, run_id, true_label, pred_label, confidence, (SELECT count(DISTINCT d.pred_label) FROM preds d WHERE d.sample_id = p.sample_id) > 1 AS disagreed FROM preds p"""))
+def _(spark, sf):
+    """The written table, with the samples of the written disagreements marked."""
+    path, p = scratch_path(spark, "bundle"), preds(spark, sf)
+    PR.write_analysis_bundle(path, table=p, reports=RN.aggregate_reports(report_docs(spark, sf)), disagreements=A.disagreements(p))
+    back = lambda name: spark.read.csv(f"{path}/{name}.csv", header=True, multiLine=True, quote='"', escape='"')
+    marked = back("disagreements").select("sample_id", F.lit(True).alias("hit"))
+    return back("loaded_table").join(marked, "sample_id", "left").select(
+        "sample_id", "run_id", "true_label", "pred_label", F.col("confidence").cast("double").alias("confidence"), F.coalesce("hit", F.lit(False)).alias("disagreed")
+    )
+
+
+@query("s20_written_rows", with_(PREDS, wide_preds_sql(), body=f"""SELECT p.sample_id, p.run_id AS model, p.true_label, p.pred_label, p.pred_label AS json_label, p.pred_label IS NULL AS failed,
+  concat_ws(',', {', '.join(f"COALESCE(w.{r}, '-')" for r in RUNS)}) AS votes FROM preds p JOIN wide w USING (sample_id)"""))
+def _(spark, sf):
+    """Every long row as CSV and JSON hold it, whether it is among the errors, and its row of the wide table."""
+    path = scratch_path(spark, "longwide")
+    long = preds(spark, sf).withColumnRenamed("run_id", "model")
+    PR.write_long_wide_metrics(path, long=long, wide=J.wide_votes(long, RUNS, ["dataset_name", "sample_id"]), metrics=V.per_model_metrics(long, RUNS))
+    back = lambda name: spark.read.csv(f"{path}/{name}.csv", header=True, multiLine=True, quote='"', escape='"')
+    key = ["sample_id", "model"]
+    errors = back("errors").select(*key, F.lit(True).alias("hit"))
+    lines = spark.read.json(f"{path}/predictions_long.jsonl").select(*key, F.col("pred_label").alias("json_label"))
+    wide = back("predictions_wide")
+    votes = wide.select("sample_id", F.concat_ws(",", *[F.coalesce(r, F.lit("-")) for r in RUNS]).alias("votes"))
+    return back("predictions_long").join(lines, key).join(errors, key, "left").join(votes, "sample_id").select(
+        *key, "true_label", "pred_label", "json_label", F.coalesce("hit", F.lit(False)).alias("failed"), "votes"
+    )
+
+
 @query("f13_build_dataset", with_("tops AS (SELECT source AS label FROM documents GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5)", "kept AS (SELECT * FROM documents WHERE source IN (SELECT label FROM tops))", body="""
   SELECT 'train_seed/tier_10' AS part, 10::BIGINT AS n UNION ALL SELECT 'train_seed/tier_20', 20 UNION ALL SELECT 'train_pool_remaining/full', count(*) - 30 FROM kept UNION ALL SELECT 'test/tier_20', 20 UNION ALL SELECT 'card', 2 * count(*) FROM kept"""))
 def _(spark, sf):

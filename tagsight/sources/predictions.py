@@ -116,7 +116,7 @@ def read_predictions(
         groups: dict[tuple[str, str], list[str]] = {}
         for r in _csv_files(spark, list(csv_paths)):
             names = next(csv.reader([r["header"]]), [])
-            whole = r["header_spans"] or "" in names or len({n.lower() for n in names}) < len(names)
+            whole = r["header_spans"] or not names or "" in names or len({n.lower() for n in names}) < len(names)
             how = "lines" if not r["spans"] else "whole" if whole else "split"
             groups.setdefault((how, r["header"]), []).append(r["f"])
         for (how, header), paths in groups.items():
