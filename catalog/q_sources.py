@@ -355,6 +355,23 @@ def _(spark, sf):
     return rows.unionByName(TR.read_card(spark, root, "documents").select(F.lit("card").alias("part"), F.col("sample_count").alias("n")))
 
 
+@query("f13_built_rows", """WITH tops AS (SELECT source AS label FROM documents GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5)
+  SELECT doc_id, source AS true_label, text, 1::BIGINT AS n_places FROM documents WHERE source IN (SELECT label FROM tops)""")
+def _(spark, sf):
+    """Every row of the kept labels as the written training parts hold it, and in how many of them."""
+    root, docs = scratch_path(spark, "dataset"), table(spark, sf, "documents")
+    TR.build_dataset(
+        docs, docs, root, dataset="documents", text_col="text", label_col="source", row_col="doc_id", seed=SEED, train_tiers=[20, 10], test_tiers=[20],
+        origin={"id": "documents"}, top_k=5,
+    )
+    parts = [TR.read_tier(spark, root, "documents", "train_seed", n) for n in (10, 20)] + [TR.read_artifact(spark, root, "documents", "train_pool_remaining", "full")]
+    rows = None
+    for part in parts:
+        part = part.select(F.regexp_extract("sample_id", r"(\d+)$", 1).cast("bigint").alias("doc_id"), "true_label", "text")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("doc_id", "true_label", "text").agg(F.count("*").alias("n_places"))
+
+
 @query("m18_leaderboard", with_(PREDS, RUNS_SQL, TREE, RECORDS, FLAT, body="""SELECT run_key, format, ROUND(accuracy, 9) AS accuracy, ROUND(f1_macro, 9) AS f1_macro, has_predictions FROM flat UNION ALL SELECT run_key, format, accuracy, f1_macro, has_predictions FROM rec
   UNION ALL SELECT 'evaluate/20260501_120004', 'manifest_only', NULL, NULL, FALSE"""))
 def _(spark, sf):
