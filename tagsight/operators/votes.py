@@ -44,7 +44,8 @@ def majority_vote(
 
     ``lexicographic`` and ``arbitrary`` take the smallest tied label, ``first_seen``
     the one whose first vote has the smallest ``order``, ``confidence`` the one
-    with the largest summed confidence, ``tie_marker`` writes 'TIE',
+    with the largest summed confidence (to six digits: sums that differ by the order of
+    their terms only are equal), ``tie_marker`` writes 'TIE',
     ``confusing`` ignores 'error' votes and writes 'confusing', ``unanimous``
     writes 'confusing' unless all usable votes agree.
     """
@@ -57,7 +58,7 @@ def majority_vote(
     n, lab = F.col("n"), F.col("label")
     lead = {
         "first_seen": [F.col("seen")],
-        "confidence": [-F.col("conf")],
+        "confidence": [-F.round("conf", 6)],
     }.get(tie_policy, [])
     best = F.min(F.when(usable, F.struct((-n).alias("n"), *lead, lab.alias("label"))))
     other = F.max(F.when(usable, F.struct(n.alias("n"), lab.alias("label"))))
