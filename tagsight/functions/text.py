@@ -55,14 +55,18 @@ def route_expert(col: Column, n_experts: int) -> Column:
     )
 
 
-def corrupt_words(text: Column, key: Column, mode: str) -> Column:
+def corrupt_words(text: Column, key: Column, mode: str, *, keep_least: int = 2) -> Column:
     """Deterministic word-level noise driven by ``md5(key|position)``.
 
-    ``word_dropout`` drops about a quarter of the words and keeps at least two,
+    ``word_dropout`` drops about a quarter of the words and keeps at least ``keep_least``,
     ``word_shuffle`` reorders, ``truncate`` cuts the tail, ``swap_adjacent`` swaps
     half of the neighbouring pairs.  Texts of at most three words lose the last one.
     """
-    tokens = words(text)
+    # as a lambda variable the words are split once a text; as an expression they would be once for every word
+    return F.transform(F.array(words(text)), lambda tokens: _corrupted(text, tokens, key, mode, keep_least))[0]
+
+
+def _corrupted(text: Column, tokens: Column, key: Column, mode: str, keep_least: int) -> Column:
     n = F.size(tokens)
 
     def draw(i: Column) -> Column:
@@ -73,10 +77,12 @@ def corrupt_words(text: Column, key: Column, mode: str) -> Column:
         tokens, lambda w, i: F.struct(draw(i).alias("h"), i.alias("i"), w.alias("w"))
     )
     if mode == "word_dropout":
-        kept = F.filter(tagged, lambda s: s["h"] % 100 >= 25)
-        forced = F.array_sort(F.slice(F.array_sort(tagged), 1, 2), lambda a, b: a["i"] - b["i"])
-        chosen = F.when(F.size(kept) >= 2, kept).otherwise(forced)
-        noisy = F.transform(chosen, lambda s: s["w"])
+        def dropped(all_: Column) -> Column:
+            kept = F.filter(all_, lambda s: s["h"] % 100 >= 25)
+            forced = F.array_sort(F.slice(F.array_sort(all_), 1, keep_least), lambda a, b: a["i"] - b["i"])
+            return F.transform(F.when(F.size(kept) >= keep_least, kept).otherwise(forced), lambda s: s["w"])
+
+        noisy = F.transform(F.array(tagged), dropped)[0]
     elif mode == "word_shuffle":
         noisy = F.transform(F.array_sort(tagged), lambda s: s["w"])
     elif mode == "truncate":

@@ -132,19 +132,19 @@ def corrupt_labels_shift(
 
 def corrupt_text(
     df: DataFrame, frac: float, *, mode: str = "word_dropout", seed: int, label: str = "true_label",
-    text: str = "text", id_col: str = "sample_id",
+    text: str = "text", id_col: str = "sample_id", keep_least: int = 2,
 ) -> DataFrame:
-    """Word-level noise on a share of every class, in column expressions."""
+    """Word-level noise on a share of every class, in column expressions; dropout keeps ``keep_least`` words."""
     marked = _chosen(df, noise_quotas(label_sizes(df, label), frac), label, seed, id_col)
-    return _noisy_text(marked, mode, seed, text, id_col)
+    return _noisy_text(marked, mode, seed, text, id_col, keep_least)
 
 
-def _noisy_text(marked: DataFrame, mode: str, seed: int, text: str, id_col: str) -> DataFrame:
+def _noisy_text(marked: DataFrame, mode: str, seed: int, text: str, id_col: str, keep_least: int = 2) -> DataFrame:
     on = F.coalesce("_hit", F.lit(False))
     key = F.concat_ws("|", F.lit(f"{seed}-words"), F.col(id_col).cast("string"))
     return marked.withColumns(
         {
-            "observed_text": F.when(on, corrupt_words(F.col(text), key, mode)).otherwise(F.col(text)),
+            "observed_text": F.when(on, corrupt_words(F.col(text), key, mode, keep_least=keep_least)).otherwise(F.col(text)),
             "is_corrupted": on,
             "corruption_kind": F.when(on, f"text_{mode}").otherwise(""),
             "corruption_detail": F.when(on, mode).otherwise(""),

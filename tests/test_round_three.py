@@ -1,5 +1,14 @@
 """Faults found on larger tables and odd inputs."""
 
+import time
+
+import numpy as np
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from tagsight.functions.text import corrupt_words
+from tagsight.operators import noise as N
 from tagsight.operators import votes as V
 
 
@@ -8,3 +17,26 @@ def test_equal_confidence_sums_are_a_tie(spark):
     data = [("i", "a", 0.3), ("i", "a", 0.0), ("i", "b", 0.1), ("i", "b", 0.2)]
     df = spark.createDataFrame(data, "item string, label string, conf double")
     assert V.majority_vote(df, ["item"], tie_policy="confidence", confidence="conf").first()["vote"] == "a"
+
+
+def dropped(spark, text, **kw):
+    df = spark.createDataFrame([(text, f"k{i}") for i in range(400)], "text string, key string")
+    return [r["x"].split() for r in df.select(corrupt_words(F.col("text"), F.col("key"), "word_dropout", **kw).alias("x")).collect()]
+
+
+def test_dropout_keeps_as_many_words_as_asked(spark):
+    assert min(len(x) for x in dropped(spark, "a b c d")) == 2
+    assert min(len(x) for x in dropped(spark, "a b c d", keep_least=0)) == 0
+    df = spark.createDataFrame([(f"s{i}", "x", "a b c d") for i in range(400)], "sample_id string, true_label string, text string")
+    sizes = {len(r["observed_text"].split()) for r in N.corrupt_text(df, 1.0, seed=1, keep_least=0).collect()}
+    assert {0, 1} & sizes and sizes <= {0, 1, 2, 3, 4}
+
+
+@pytest.mark.parametrize("mode", ["word_dropout", "word_shuffle", "truncate", "swap_adjacent"])
+def test_noise_is_linear_in_the_words_of_a_text(spark, mode):
+    text = " ".join(f"w{i}" for i in range(40_000))
+    df = spark.createDataFrame([(text, "k")], "text string, key string")
+    start = time.perf_counter()
+    got = df.select(corrupt_words(F.col("text"), F.col("key"), mode).alias("x")).first()["x"].split()
+    assert time.perf_counter() - start < 15
+    assert set(got) <= set(text.split()) and len(got) >= 20_000
