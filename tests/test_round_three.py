@@ -8,8 +8,12 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from tagsight.functions.text import corrupt_words
+from tagsight.operators import jobs as JB
+from tagsight.operators import neighbours as K
 from tagsight.operators import noise as N
+from tagsight.operators import ranking as R
 from tagsight.operators import votes as V
+from tagsight.plans import order as O
 
 
 def test_equal_confidence_sums_are_a_tie(spark):
@@ -40,3 +44,58 @@ def test_noise_is_linear_in_the_words_of_a_text(spark, mode):
     got = df.select(corrupt_words(F.col("text"), F.col("key"), mode).alias("x")).first()["x"].split()
     assert time.perf_counter() - start < 15
     assert set(got) <= set(text.split()) and len(got) >= 20_000
+
+
+def test_ranks_of_few_groups_deal_no_group_to_one_task(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id"), (F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 50).alias("v"))
+    monkeypatch.setattr(O, "EDGES", 8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = O._bucketed(df, ["g"], "v", None)._jdf.queryExecution().toString()
+        few = rows(O.value_ranks(df, by=["g"], value="v", id_col="id"), "id", "g", "row_rank", "avg_rank")
+        monkeypatch.setattr(O, "FEW_GROUPS", 2)
+        many = rows(O.value_ranks(df, by=["g"], value="v", id_col="id"), "id", "g", "row_rank", "avg_rank")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert few == many and sorted(r[2] for r in few if r[1] == 0) == list(range(1, 1001))
+
+
+def test_common_tokens_fold_before_the_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(R, "COMMON", 3)
+    texts = ["a b c a rare", "b b c", None, "", "other rare rare"]
+    docs = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "sample_id string, text string")
+    priors = R.token_prior(docs)
+    prior = {r["token"]: r["prior"] for r in priors.collect()}
+    stats = R.prior_stats(docs, priors)
+    got = {r["sample_id"]: r for r in stats.collect()}
+    for i, text in enumerate(texts):
+        p = [prior[w] for w in (text or "").split()] or [0.0]
+        assert got[str(i)]["prior_mu"] == pytest.approx(np.mean(p)) and got[str(i)]["prior_sigma"] == pytest.approx(np.std(p))
+    # one row for all common tokens of a text goes into the shuffle
+    assert "CASE WHEN isnull(common" in stats._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_visits_leave_a_task_in_small_batches(spark):
+    rng = np.random.default_rng(3)
+    pivots = rng.normal(size=(64, 8))
+    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    data = [(i, [float(x) for x in rng.normal(size=8)], "", 0, 2.0) for i in range(1000)]
+    df = spark.createDataFrame(data, "q_id long, q_vec array<double>, q_label string, cell int, limit double").coalesce(1)
+    out = K._open_cells(df, pivots, {c: 1.0 for c in range(64)})
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    assert sum(r["n"] for r in out.mapInArrow(sizes, "n long").collect()) == 1000 * 63
+    assert K._slice_rows(K.BLOCK_ROWS) * K.BLOCK_ROWS <= K.SLICE_CELLS
+
+
+def test_predictors_see_whole_batches_though_rows_come_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(JB, "SLICE_ROWS", 5)
+    df = spark.range(50).select(F.col("id").cast("string").alias("sample_id"), (F.col("id") / 8).cast("long").alias("batch_id"), (F.col("id") % 8).cast("int").alias("position"), F.lit("t").alias("text"))
+    got = JB.batch_predict(df, lambda t: [str(len(t))] * len(t)).groupBy("batch_id").agg(F.count("*").alias("n"), F.max("pred_label").alias("seen")).collect()
+    assert len(got) == 7 and all(str(r["n"]) == r["seen"] for r in got)
