@@ -89,29 +89,30 @@ def token_prior(corpus: DataFrame, *, text: str = "text") -> DataFrame:
 def prior_stats(docs: DataFrame, priors: DataFrame, *, id_col: str = "sample_id", text: str = "text") -> DataFrame:
     """Mean and deviation of the token priors of each text (0 without tokens).
 
-    Repeated tokens of a text are counted before the join, which keeps frequent
-    words from multiplying the shuffled rows.  The ``COMMON`` likeliest tokens go to every
-    task; their rows take no part in the join of the others, where they are dealt by text.
+    The ``COMMON`` likeliest tokens go to every task, where a text's occurrences of them fold into one row of sums before
+    anything is shuffled. Of the others, repeated tokens of a text are counted before the join, in which the rows of sums
+    take no part: they are dealt by text.
     """
-    toks = (
-        docs.select(id_col, F.explode(F.split(text, r"\s+")).alias("token"))
-        .filter("token <> ''")
-        .groupBy(id_col, "token")
-        .agg(F.count(F.lit(1)).alias("k"))
-    )
+    toks = docs.select(id_col, F.explode(F.split(text, r"\s+")).alias("token")).filter("token <> ''")
     common = priors.orderBy(F.desc("prior"), "token").limit(COMMON).select("token", F.col("prior").alias("common"))
-    found = toks.join(F.broadcast(common), "token", "left").withColumn(
-        "seat", F.when(F.col("common").isNull(), F.lit(0).cast("bigint")).otherwise(1 + F.pmod(F.xxhash64(id_col), F.lit(1 << 20)))
+    found = (
+        toks.join(F.broadcast(common), "token", "left")
+        .groupBy(id_col, F.when(F.col("common").isNull(), F.col("token")).alias("token"))
+        .agg(F.count(F.lit(1)).alias("k"), F.sum("common").alias("s1"), F.sum(F.col("common") * F.col("common")).alias("s2"))
+        .withColumn("seat", F.when(F.col("token").isNotNull(), F.lit(0).cast("bigint")).otherwise(1 + F.pmod(F.xxhash64(id_col), F.lit(1 << 20))))
+        .withColumn("token", F.coalesce("token", F.lit("")))
     )
     others = priors.select("token", "prior", F.lit(0).cast("bigint").alias("seat"))
+    p = F.coalesce("prior", F.lit(0.0))
     per = (
         found.join(others, ["token", "seat"], "left")
-        .withColumn("p", F.coalesce("common", "prior", F.lit(0.0)))
+        .withColumn("s1", F.coalesce("s1", F.col("k") * p))
+        .withColumn("s2", F.coalesce("s2", F.col("k") * p * p))
         .groupBy(id_col)
         .agg(
             F.sum("k").alias("token_count"),
-            (F.sum(F.col("k") * F.col("p")) / F.sum("k")).alias("prior_mu"),
-            (F.sum(F.col("k") * F.col("p") * F.col("p")) / F.sum("k")).alias("_m2"),
+            (F.sum("s1") / F.sum("k")).alias("prior_mu"),
+            (F.sum("s2") / F.sum("k")).alias("_m2"),
         )
         .withColumn("prior_sigma", F.sqrt(F.greatest(F.lit(0.0), F.col("_m2") - F.col("prior_mu") ** 2)))
         .drop("_m2")
