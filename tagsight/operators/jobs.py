@@ -6,6 +6,7 @@ import time
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,12 @@ from ..plans.lineage import durable
 from .votes import majority_vote
 
 PREDICTED = "sample_id string, batch_id bigint, position int, pred_label string, confidence double, raw string, error string, attempts int, elapsed_s double"
+ARROW = {
+    "sample_id": pa.string(), "batch_id": pa.int64(), "position": pa.int32(), "pred_label": pa.string(), "confidence": pa.float64(),
+    "raw": pa.string(), "error": pa.string(), "attempts": pa.int32(), "elapsed_s": pa.float64(),
+}
+#: rows that a task turns into Python objects at once
+SLICE_ROWS = 256
 
 
 def batch_predict(
@@ -68,11 +75,19 @@ def batch_predict(
             }
         )
 
+    def sliced(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield batch.slice(at, SLICE_ROWS).to_pandas()
+
+    def handed(batches):
+        for out in answered(sliced(batches)):
+            columns = [pa.Array.from_pandas(out[c], type=t) for c, t in ARROW.items()]
+            yield pa.RecordBatch.from_arrays(columns, names=list(ARROW))
+
     def answered(frames):
         held = None
         for frame in frames:
-            if not len(frame):
-                continue
             rows = frame if held is None else pd.concat([held, frame])
             last = rows["batch_id"].iloc[-1]
             open_ = rows["batch_id"].isna() if pd.isna(last) else rows["batch_id"] == last
@@ -83,7 +98,7 @@ def batch_predict(
             yield call(held)
 
     sorted_ = batches.select(*keep).repartition("batch_id").sortWithinPartitions("batch_id", "position")
-    return sorted_.mapInPandas(answered, PREDICTED)
+    return sorted_.mapInArrow(handed, PREDICTED)
 
 
 def two_pass_predict(batches: DataFrame, first: Callable, second: Callable, **kw) -> DataFrame:
