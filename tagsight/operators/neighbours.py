@@ -25,6 +25,9 @@ from ..plans.order import md5_head
 
 BLOCK_ROWS = 20_000
 SLICE_ROWS = 256
+#: cosines that a task holds at once, and visits that it hands on at once
+SLICE_CELLS = 1 << 20
+VISITS = 4096
 MAX_PIVOTS = 1024
 PRUNE_PAIRS = 10**11
 SLACK = 1e-6
@@ -38,12 +41,17 @@ def _matrix(table: pa.Table, name: str) -> np.ndarray:
         col = pa.concat_arrays(col.chunks)
     flat = col.flatten().to_numpy(zero_copy_only=False)
     # rows without a vector are left out before; a wrong width would move every later row
-    if len(col) and (col.null_count or len(set(pc.list_value_length(col).to_pylist())) != 1):
+    if len(col) and (col.null_count or len(pc.unique(pc.list_value_length(col))) != 1):
         raise ValueError("vectors are missing or differ in length")
     vecs = flat.reshape(len(col), -1).astype(np.float64) if len(col) else np.zeros((0, 1))
     norm = np.sqrt((vecs * vecs).sum(axis=1, keepdims=True))
     norm[norm == 0] = 1.0
-    return vecs / norm
+    return np.divide(vecs, norm, out=vecs)
+
+
+def _slice_rows(width: int) -> int:
+    """Rows that are compared with `width` others at once."""
+    return max(1, min(SLICE_ROWS, SLICE_CELLS // max(1, width)))
 
 
 def _kernel(k: int, mode: str, id_type: pa.DataType):
@@ -60,8 +68,9 @@ def _kernel(k: int, mode: str, id_type: pa.DataType):
         q_id, q_label = left.column("q_id").to_numpy(), left.column("q_label").to_numpy()
         queries, kk = _matrix(left, "q_vec"), min(k, len(p_id))
         found = []
-        for at in range(0, len(q_id), SLICE_ROWS):
-            part = slice(at, at + SLICE_ROWS)
+        step = _slice_rows(len(p_id))
+        for at in range(0, len(q_id), step):
+            part = slice(at, at + step)
             sims = np.round(queries[part] @ pool, DIGITS)
             if mode == "other_label":
                 sims[q_label[part, None] == p_label[None, :]] = -np.inf
@@ -93,8 +102,9 @@ def _forest(threshold: float, id_type: pa.DataType):
         queries, pool = _matrix(left, "q_vec"), _matrix(right, "p_vec").T
         sets = np.arange(len(p_id))  # the set of each pool row so far
         rows, cols = [], []
-        for at in range(0, len(q_id), SLICE_ROWS):
-            near = np.round(queries[at : at + SLICE_ROWS] @ pool, DIGITS) >= threshold
+        step = _slice_rows(len(p_id))
+        for at in range(0, len(q_id), step):
+            near = np.round(queries[at : at + step] @ pool, DIGITS) >= threshold
             for i in np.flatnonzero(near.any(axis=1)):
                 hits = np.flatnonzero(near[i])
                 met = sets[hits]
@@ -158,11 +168,17 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("place", place).filter(F.col("place") <= k)
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    step = _slice_rows(width)
+    for b in batches:
+        yield from (b.slice(at, step) for at in range(0, b.num_rows, step))
+
+
 def _with_cell(df: DataFrame, vec: str, pivots: np.ndarray) -> DataFrame:
     """Nearest pivot of every row and the distance of the unit vectors."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches, len(pivots)):
             unit = _matrix(pa.Table.from_batches([b]), vec)
             sims = unit @ pivots.T if len(unit) else np.zeros((0, len(pivots)))
             cell = sims.argmax(axis=1).astype(np.int32) if len(unit) else np.zeros(0, np.int32)
@@ -184,7 +200,7 @@ def _open_cells(df: DataFrame, pivots: np.ndarray, radius: dict[int, float], lat
     reach = np.array([radius[c] for c in cells])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches, len(cells)):  # a row may visit every cell
             t = pa.Table.from_batches([b])
             if not t.num_rows:
                 continue
@@ -193,8 +209,10 @@ def _open_cells(df: DataFrame, pivots: np.ndarray, radius: dict[int, float], lat
             own = t.column("cell").to_numpy()[:, None]
             open_ &= own < cells[None, :] if later else own != cells[None, :]
             rows, cols = np.nonzero(open_)
-            out = t.select(["q_id", "q_vec", "q_label"]).take(pa.array(rows))
-            yield from out.append_column("cell", pa.array(cells[cols])).combine_chunks().to_batches()
+            asked = t.select(["q_id", "q_vec", "q_label"])
+            for at in range(0, len(rows), VISITS):
+                out = asked.take(pa.array(rows[at : at + VISITS]))
+                yield from out.append_column("cell", pa.array(cells[cols[at : at + VISITS]])).combine_chunks().to_batches()
 
     kinds = ", ".join(f"{c} {t}" for c, t in df.dtypes if c in ("q_id", "q_vec", "q_label"))
     return df.select("q_id", "q_vec", "q_label", "cell", "limit").mapInArrow(keep, f"{kinds}, cell int")
