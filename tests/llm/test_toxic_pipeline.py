@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from plain import OTHER, PROSE, TEXTS, by_sequence, near, pieces, rows, table, tiling
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -132,3 +133,35 @@ def test_same_rows_as_sql(spark, name):
     cur = connect(SF).execute(ORACLES[name])
     want = canonical([d[0] for d in cur.description], cur.fetchall())
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == want
+
+
+def test_every_labelled_row_is_trained_on(spark, monkeypatch):
+    """8,000 labelled rows; a word that tells is only in those beyond the 6,000 smallest hashed ids."""
+    monkeypatch.setattr(toxic, "SHARE", 60_000)  # several trainers
+    ids = spark.range(8000).select(F.col("id").alias("doc_id"), F.row_number().over(Window.orderBy(F.xxhash64("id"))).alias("place"))
+    marks = ids.select("doc_id", (F.crc32(F.concat(F.lit("x"), "doc_id")) % 3 == 0).cast("int").alias("toxic"), "place")
+    word = F.when(F.col("toxic") == 0, "calm").when(F.col("place") <= 6000, "awful").otherwise("vicious")
+    docs = marks.select("doc_id", F.concat_ws(" ", F.lit("it was a"), word, F.lit("day"), F.col("doc_id") % 97).alias("text"))
+    model = toxic.train(docs, marks.select("doc_id", "toxic"), epochs=2)
+    right = toxic.score(docs, model).join(marks, "doc_id").groupBy(word.alias("word")).agg(F.avg(((F.col("score") >= 0.5).cast("int") == F.col("toxic")).cast("int")))
+    assert {w: round(x, 2) for w, x in right.collect()} == {"calm": 1.0, "awful": 1.0, "vicious": 1.0}
+    again = toxic.train(docs.repartition(5), marks.select("doc_id", "toxic"), epochs=2)
+    assert (again.table == model.table).all() and again.shift == model.shift
+
+
+def test_cuts_of_all_rows_are_the_plain_ones(spark):
+    rng = np.random.default_rng(5)
+    logits = np.round(rng.normal(size=3000), 2).astype(np.float32)
+    labels = (logits + rng.normal(size=3000) > 0.5).astype(int)
+    kinds = rng.choice(["a", "b", "c"], 3000)
+    labels[kinds == "c"] = 0
+    data = spark.createDataFrame([(k, float(x), int(y)) for k, x, y in zip(kinds, logits, labels, strict=True)], "kind string, logit float, label int")
+    got = toxic.best_cuts(data.repartition(7))
+    for kind in "abc":
+        own, y = logits[kinds == kind], labels[kinds == kind]
+        assert got[kind][1:] == (len(y), y.sum())
+        f1 = {x: 2 * y[own >= x].sum() / ((own >= x).sum() + y.sum()) for x in own} if y.any() else {}
+        best = max(f1.items(), key=lambda kv: (kv[1], kv[0]))[0] if f1 else 0.0
+        below = own[own < best].max() if f1 else 0.0
+        assert got[kind][0] == pytest.approx((float(best) + float(below)) / 2)
+    assert toxic.best_cuts(data.limit(0)) == {}
