@@ -18,7 +18,7 @@ from .repeats import (
     BLOCKS, FOUND, block_rows, body_slices, by_bucket, chosen_places, edges_of, fragments, gathered, pack, repeated_seeds, runs_of,
     spread_ranges, squeezed, to_ids, unpack, unsqueezed,
 )
-from .words import Words, mix
+from .words import Words, short_hashes
 
 #: bytes of a seed
 SEED = 16
@@ -32,8 +32,7 @@ def _seed_size(span: int) -> int:
 
 def _cut_words(texts: list, span: int):
     w, k = Words(texts), _seed_size(span)
-    at = np.arange(max(0, len(w.data) - k + 1))
-    return w, fragments(w.between(at, at + k), span - k + 1, w.text_start[:-1], w.text_start[1:] - 1, span)
+    return w, fragments(short_hashes(w.data, k), span - k + 1, w.text_start[:-1], w.text_start[1:] - 1, span)
 
 
 def _cut(span: int):
@@ -122,8 +121,10 @@ def _send(batches: Iterator[pa.RecordBatch], span: int, parts: int, hot: np.ndar
 
     def send(frags: list, windows: list) -> Iterator[pa.RecordBatch]:
         if frags:
-            key, seed, ids, place, offset = (np.concatenate(x) for x in list(zip(*frags, strict=True))[:5])
-            texts = [t for f in frags for t in f[5]]
+            seed, ids, place, offset = (np.concatenate(x) for x in list(zip(*frags, strict=True))[:4])
+            texts = [t for f in frags for t in f[4]]
+            kinds: dict[tuple[int, bytes], int] = {}
+            key = np.fromiter((kinds.setdefault(x, len(kinds)) for x in zip(offset.tolist(), texts, strict=True)), np.int64, len(texts))
             first = _first_of(key, ids, place) if fold else np.ones(len(key), bool)
             size = np.array([len(t) for t in texts], np.int64)
             rest = ~first
@@ -154,8 +155,7 @@ def _send(batches: Iterator[pa.RecordBatch], span: int, parts: int, hot: np.ndar
             start, end = f.start[few], f.start[few] + f.windows[few] + span - 1
             texts = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
             offset = f.seed[few] - start
-            key = mix(w.between(start, end) + offset.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            frags.append((key, f.hash[few], ids[f.text[few]], start - begin[f.text[few]], offset, texts))
+            frags.append((f.hash[few], ids[f.text[few]], start - begin[f.text[few]], offset, texts))
             n += len(few)
         if many.any():
             place = spread_ranges(f.start[many], f.windows[many])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -94,10 +96,24 @@ class _Places:
         return (self.sums[end] - self.sums[start]) * self.down[start & (_STEP - 1)] * self.back[start >> 16]
 
 
+def short_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the `width` bytes (16 at most) from each place on: they are read as one or two numbers, without a polynomial."""
+    n = len(data) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    room = np.concatenate([data, np.zeros(8, np.uint8)])
+    low = np.ndarray((n,), "<u8", room, strides=(1,))
+    if width < 8:
+        return mix((low & np.uint64((1 << 8 * width) - 1)) + np.uint64(_BASE))
+    high = np.ndarray((n,), "<u8", room, offset=width - 8, strides=(1,))
+    return mix(mix(low + np.uint64(_BASE)) + high)
+
+
 class Words:
     """Words of several texts: byte bounds and hashes; first[i] to first[i + 1] are those of text i.
 
     With `places` the hashes only serve as places in a table: they cost less, and words that cancel out share one.
+    Bounds and prefix sums are made when they are first asked for.
     """
 
     def __init__(self, texts: list[str | None], ends: np.ndarray = BLANK, fold: np.ndarray = KEEP, places: bool = False):
@@ -105,16 +121,36 @@ class Words:
         self.data = np.frombuffer(b" ".join([*raw, b""]) if raw else b"", np.uint8)
         sizes = np.fromiter((len(r) for r in raw), np.int64, len(raw))
         self.text_start = np.concatenate([[0], np.cumsum(sizes + 1)])
-        folded = fold[self.data]
-        inside = ~ends[self.data]
+        self.ends, self.fold, self.places = ends, fold, places
+
+    @cached_property
+    def _bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        inside = ~self.ends[self.data]
         edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-        self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        self.first = np.searchsorted(self.start, self.text_start)
+        return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+    @property
+    def start(self) -> np.ndarray:
+        return self._bounds[0]
+
+    @property
+    def end(self) -> np.ndarray:
+        return self._bounds[1]
+
+    @cached_property
+    def first(self) -> np.ndarray:
+        return np.searchsorted(self.start, self.text_start)
+
+    @cached_property
+    def sums(self) -> list:
         padded = np.zeros((len(self.data) // _STEP + 1) * _STEP, np.uint64)
-        padded[: len(self.data)] = folded
+        padded[: len(self.data)] = self.fold[self.data]
         padded[: len(self.data)] += np.uint64(1)
-        self.sums = [_Places(padded)] if places else [_Sums(padded, which) for which in range(len(_BASES))]
-        self.hash = self.between(self.start, self.end)
+        return [_Places(padded)] if self.places else [_Sums(padded, which) for which in range(len(_BASES))]
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self.between(self.start, self.end)
 
     def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of each byte range; equal bytes give equal hashes wherever they lie."""

@@ -5,7 +5,7 @@ import pytest
 from plain import OTHER, PROSE, TEXTS, byte_repeats, near, rows, table, tiling, word_repeats
 from pyspark.sql import functions as F
 
-from tagsight.llm import debruijn, minmax, suffixes, tiling as tiles
+from tagsight.llm import debruijn, minmax, suffixes, tiling as tiles, words
 from tagsight.llm.components import components
 
 DOCS = list(enumerate(TEXTS))
@@ -149,3 +149,22 @@ def test_digests_follow_what_is_kept(spark):
     got = suffixes.drop_repeats(table(spark)).select("doc_id", F.sha2("kept", 256)).collect()
     want = byte_repeats(DOCS, 100)
     assert all(r[1] == hashlib.sha256(want[r[0]][3]).hexdigest() for r in got)
+
+
+def test_short_hashes_follow_the_bytes():
+    rng = np.random.default_rng(4)
+    data = np.concatenate([rng.integers(97, 99, 400), np.zeros(40), np.full(40, 255), rng.integers(0, 256, 50)]).astype(np.uint8)
+    for width in range(1, 17):
+        got = words.short_hashes(data, width).tolist()
+        strings = [data[p : p + width].tobytes() for p in range(len(data) - width + 1)]
+        assert len(got) == len(strings) and len(set(zip(strings, got, strict=True))) == len(set(strings)) == len(set(got))
+        assert len(words.short_hashes(data[: width - 1], width)) == 0
+
+
+def test_seeds_are_cut_without_prefix_sums(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("prefix sums over whole texts")
+
+    monkeypatch.setattr(words, "_Sums", refuse)
+    found, begin = suffixes._cut(100)(["x" * 300, None, "word and word " * 40])
+    assert found.windows.sum() == 201 + 461 and begin.tolist() == [0, 301, 302]
