@@ -7,13 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagsight.plans.lineage import collect_small, small_table
 
-from .tokens import ENCODED, encoder, text_slices
+from .tokens import BULK, encoder, text_slices
 
 #: ids of a block
 BLOCK = 65_536
@@ -80,9 +81,8 @@ def _write_blocks(path: str, spaced: bool, end: bytes, kind: str, block: int):
             chunk, start, doc = chunk + 1, start + size, doc + done
             return pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, schema, strict=True)], schema=schema)
 
-        for batch in text_slices(batches, "text", ENCODED):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc_id, ids in zip(batch.column("id").to_pylist(), codes.encode(texts), strict=True):
+        for batch in text_slices(batches, "text", BULK):
+            for doc_id, ids in zip(batch.column("id").to_pylist(), codes.encode(batch.column("text")), strict=True):
                 held += ids + end
                 docs.append(doc_id)
                 counts.append((len(ids) + len(end)) // 4)
@@ -182,9 +182,17 @@ def read_documents(spark: SparkSession, out: str) -> DataFrame:
         _read_blocks, "part int, place long, doc_id long, at long, n long, crc long"
     )
 
-    @F.pandas_udf("long")
-    def joined(parts):
-        return parts.map(lambda p: p[0]["crc"] if len(p) == 1 else crc32_joined([(x["crc"], 4 * x["n"]) for x in p]))
+    @F.arrow_udf("long")
+    def joined(parts: pa.Array) -> pa.Array:
+        held = parts.flatten()
+        crcs, sizes = held.field("crc").to_numpy(), held.field("n").to_numpy()
+        counts = pc.list_value_length(parts).to_numpy()
+        begins = np.cumsum(counts) - counts
+        out = crcs[begins]
+        for i in np.flatnonzero(counts > 1).tolist():
+            own = slice(begins[i], begins[i] + counts[i])
+            out[i] = crc32_joined(list(zip(crcs[own].tolist(), (4 * sizes[own]).tolist(), strict=True)))
+        return pa.array(out, pa.int64())
 
     docs = pieces.groupBy("part", "place").agg(
         F.first("doc_id").alias("doc_id"), F.min("at").alias("at"), F.sum("n").alias("n_tokens"),
