@@ -381,6 +381,37 @@ def _logits(model: Model):
     return run
 
 
+#: places of a filter of ids: 16 an id, up to 8 MB in all; beyond that it lets more rows through
+PLACES, MOST_PLACES = 1 << 15, 1 << 26
+
+
+def _bits(table: pa.Table) -> pa.Table:
+    marks = np.zeros(PLACES, bool)
+    marks[table.column("place").to_numpy()] = True
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(marks).tobytes()], pa.binary())})
+
+
+def perhaps_in(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows whose id may be one of `n` ids: all that are, and one in 16 or so of the others.
+
+    Each id marks one place by its hash; blocks of places are put together on the executors, the driver holds 8 MB at most.
+    """
+    size = min(MOST_PLACES, max(PLACES, 1 << (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64(F.col("id").cast(rows.schema["id"].dataType)), F.lit(size)).cast("int")
+    blocks = ids.select(F.floor(place / PLACES).cast("int").alias("block"), (place % PLACES).alias("place"))
+    bits = np.zeros((size // PLACES, PLACES // 8), np.uint8)
+    for block, own in blocks.groupBy("block").applyInArrow(_bits, "block int, bits binary").collect():
+        bits[block] = np.frombuffer(own, np.uint8)
+    flat = bits.reshape(-1)
+
+    @F.arrow_udf("boolean")
+    def marked(places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array((flat[at >> 3] >> (7 - (at & 7))) & 1 == 1)
+
+    return rows.where(F.col("id").isNotNull()).where(marked(place))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, lang_col: str, every: int) -> DataFrame:
     """Distinct labelled rows: id, body, lang, label, kept (from the fit: those of every so many'th labelled id, in order).
 
@@ -399,7 +430,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
     )
     lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), F.coalesce(lang, F.lit("")).alias("lang"))
-    return rows.join(chosen, "id").distinct()
+    # most rows without a label leave here, before their texts are shuffled
+    return perhaps_in(rows, ranges, at).join(chosen, "id").distinct()
 
 
 def train(
