@@ -28,13 +28,15 @@ _EMPTY, _FIRST = pa.scalar("", pa.large_string()), pa.scalar("\0", pa.large_stri
 #: texts of one slice of a batch, in characters; the encoders take larger ones, where units repeat more often
 SLICE = 1_000_000
 ENCODED = 2_000_000
-BULK = 8_000_000
+BULK = 4_000_000
 #: units that a worker remembers (about 100 bytes each, with their ids), and the longest of them in characters
 ROOM = 1_000_000
 SHORT = 48
 #: units that are encoded as one text, and texts that the library gets at once
 JOINED = 100
 TOGETHER = 200
+#: units whose ids are put together at once
+PART = 100_000
 
 
 class Encoder:
@@ -130,9 +132,6 @@ class Encoder:
         own[order], starts[order] = counts, _begins(counts)
         return ids, starts, own
 
-    def _places(self, words: pa.Array) -> np.ndarray:
-        return pc.fill_null(pc.index_in(words, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int32)
-
     def _keep(self, units: pa.Array, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, lasting: np.ndarray) -> None:
         """Remember units as long as there is room: the short ones of those that are right in every place."""
         short = pc.less_equal(pc.utf8_length(units), SHORT).to_numpy(zero_copy_only=False)
@@ -160,7 +159,7 @@ class Encoder:
         codes, parts = coded.indices.to_numpy(), coded.dictionary
         lasting = np.ones(len(parts), bool)
         lasting[codes[np.flatnonzero(loose)]] = False
-        place = self._places(parts)
+        place = places(parts, self.known)
         place[~lasting] = -1
         missing = np.flatnonzero(place < 0)
         unknown = parts.take(pa.array(missing))
@@ -182,7 +181,7 @@ class Encoder:
         """Ids of texts, of which text i has the words at codes[bounds[i]:bounds[i + 1]]; loose ones are right in this place only."""
         used = np.zeros(len(words), bool)
         used[codes] = True
-        place = self._places(words)
+        place = places(words, self.known)
         place[loose] = -1
         missing = np.flatnonzero((place < 0) & used)
         pool, starts, counts = self.ids, self.starts, self.counts
@@ -190,11 +189,17 @@ class Encoder:
         if len(missing):
             ids, more, n = self._learn(words.take(pa.array(missing)), loose[missing])
             starts, counts, pool = np.concatenate([starts, more + np.int32(len(pool))]), np.concatenate([counts, n]), np.concatenate([pool, ids])
-        where = place[codes]
-        n = counts[where]
-        raw = memoryview(pool[_runs(starts[where], n)].tobytes())
-        ends = 4 * np.concatenate([[0], np.cumsum(n)])[bounds]
-        return [bytes(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        out: list[bytes] = []
+        first = 0
+        while first < len(bounds) - 1:  # some texts at a time, so that no column of all ids is made
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + PART, side="right")) - 1)
+            where = place[codes[bounds[first] : bounds[last]]]
+            n = counts[where]
+            raw = memoryview(pool[_runs(starts[where], n)].tobytes())
+            ends = 4 * np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[bounds[first : last + 1] - bounds[first]]
+            out += [bytes(raw[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            first = last
+        return out
 
     def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. NULL texts are empty."""
@@ -212,6 +217,7 @@ class Encoder:
         cut = pc.split_pattern(plain, " ")
         bounds, coded = cut.offsets.to_numpy().astype(np.int64), cut.values.dictionary_encode()
         codes, words = coded.indices.to_numpy(), coded.dictionary
+        del plain, cut, coded
         rows, odd = np.arange(len(out)), np.zeros(0, np.int64)
         if self.spaced:
             edged = pc.and_(pc.match_substring_regex(words, _EDGED), pc.not_equal(words, "\0\n")).to_numpy(zero_copy_only=False)
@@ -233,6 +239,14 @@ class Encoder:
         return out
 
 
+def places(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Where each word is known, or -1. Both are distinct; the table of hashes is that of the words, however much is known."""
+    found = pc.index_in(known, value_set=words)
+    out, valid = np.full(len(words), -1, np.int32), found.is_valid().to_numpy(zero_copy_only=False)
+    out[found.drop_null().to_numpy()] = np.flatnonzero(valid)
+    return out
+
+
 def _begins(counts: np.ndarray) -> np.ndarray:
     """First places of runs that follow one another."""
     return (np.cumsum(counts) - counts).astype(np.int32)
@@ -260,13 +274,20 @@ def trim() -> None:
         give_back(0)
 
 
-def _give_up_idle(key: tuple[str, bool]) -> None:
+def _give_up_idle(key: tuple[str, ...]) -> None:
     while key in _ENCODERS:
         time.sleep(IDLE)
-        if time.monotonic() - _ENCODERS[key][1][0] >= IDLE:
-            del _ENCODERS[key]
-            gc.collect()
-            trim()
+        if key in _ENCODERS and time.monotonic() - _ENCODERS[key][1][0] >= IDLE:
+            give_up(key)
+
+
+def give_up(*keys: tuple[str, ...]) -> None:
+    """Forget these encoders, or all: tasks that need none begin with it, as their worker may have encoded just before."""
+    found = [_ENCODERS.pop(key, None) for key in keys or list(_ENCODERS)]
+    if found:
+        del found
+        gc.collect()
+        trim()
 
 
 def encoder(path: str, spaced: bool) -> Encoder:
