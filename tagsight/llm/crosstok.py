@@ -13,12 +13,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagsight.plans.lineage import durable
 
-from .tokens import _ENCODERS, ENCODED, _give_up_idle, text_slices, trim
+from .tokens import _ENCODERS, _give_up_idle, give_up, places, text_slices, trim
 
 #: a single blank between two other characters: no token of either kind crosses into it from the left
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
@@ -104,7 +105,9 @@ class Pair:
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
-        self.units: dict[str, tuple | None] = {}
+        self.known = pa.array([], pa.large_string())
+        self.groups, self.links = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.sizes = np.zeros((0, 2), np.int32)  # numbers of a and of b
         self.used = [0.0]
 
     def _aligned(self, units: list[str]) -> list[tuple | None]:
@@ -139,34 +142,68 @@ class Pair:
         stops = (last + 1).tolist()
         return [(";".join(groups[i:j]), links[8 * i : 8 * j], n) for i, j, n in zip([0, *stops], stops, sizes, strict=False)]
 
-    def align(self, texts: list[str | None]) -> list[tuple | None]:
-        """(groups, links, number of a, number of b) of whole texts. A unit is what lies between single blanks; its end is an end of both tokenizations."""
-        self.used[0] = time.monotonic()
-        cut = [(_BETWEEN.split(text) if text[0].isspace() or text[-1].isspace() or _LOOSE.search(text) else text.split(" ")) if text else [] for text in texts]
-        known = self.units
-        missing = list(set(chain.from_iterable(cut)).difference(known))
+    def _learn(self, units: list[str]) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+        """Columns of units that are not known: groups and links (NULL where the bytes differ), sizes, and whose rows they are."""
         # units with blanks of their own are aligned alone: their blanks would not stay single
-        alone = [u for u in missing if u[0].isspace() or u[-1].isspace()]
-        joint = [u for u in missing if not (u[0].isspace() or u[-1].isspace())]
-        free = ROOM - len(known)
-        known.update((u, self._aligned([u])[0]) for u in alone)
-        for i in range(0, len(joint), JOINED):
-            known.update(zip(joint[i : i + JOINED], self._aligned(joint[i : i + JOINED]), strict=True))
-        out: list[tuple | None] = []
-        for units in cut:
-            found = [known[u] for u in units]
-            if not found or None in found:
-                out.append(None)
-                continue
-            groups, links, sizes = zip(*found, strict=True)
-            n = sum(sizes)
-            out.append((";".join(groups), b"".join(links), n & 0xFFFFFFFF, n >> 32))
-        for u in missing:  # as many as there is room for stay
-            if free > 0 and len(u) <= SHORT:
-                free -= 1
-            else:
-                del known[u]
-        return out
+        loose = np.fromiter((u[0].isspace() or u[-1].isspace() for u in units), bool, len(units))
+        alone, joint = np.flatnonzero(loose).tolist(), np.flatnonzero(~loose).tolist()
+        parts = [[i] for i in alone] + [joint[i : i + JOINED] for i in range(0, len(joint), JOINED)]
+        groups, links, sizes = [self.groups[:0]], [self.links[:0]], [np.zeros(0, np.int64)]
+        for part in parts:
+            own_groups, own_links, n = zip(*(x or (None, None, 0) for x in self._aligned([units[i] for i in part])), strict=True)
+            groups.append(pa.array(own_groups, pa.large_string()))
+            links.append(pa.array(own_links, pa.large_binary()))
+            sizes.append(np.array(n, np.int64))
+        n = np.concatenate(sizes)
+        both = np.stack([n & 0xFFFFFFFF, n >> 32], 1).astype(np.int32)
+        return pa.concat_arrays(groups), pa.concat_arrays(links), both, np.array([*alone, *joint], np.int64)
+
+    def align(self, texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """Groups, links and numbers of a and b of whole texts. A unit is what lies between single blanks; its end is an end of both tokenizations.
+
+        Units are told apart, looked up and put together as columns, Python sees a unit only to align it.
+        """
+        self.used[0] = time.monotonic()
+        cut = [
+            (_BETWEEN.split(text) if text[0].isspace() or text[-1].isspace() or _LOOSE.search(text) else text.split(" ")) if text else []
+            for text in texts.to_pylist()
+        ]
+        lengths = np.fromiter(map(len, cut), np.int64, len(cut))
+        coded = pa.array(list(chain.from_iterable(cut)), pa.large_string()).dictionary_encode()
+        del cut
+        codes, words = coded.indices.to_numpy(), coded.dictionary
+        place = places(words, self.known)
+        missing = np.flatnonzero(place < 0)
+        fresh = words.take(pa.array(missing))
+        groups, links, sizes, order = self._learn(fresh.to_pylist())
+        place[missing[order]] = len(self.known) + np.arange(len(missing))
+        short = pc.less_equal(pc.utf8_length(fresh), SHORT).to_numpy(zero_copy_only=False)[order]
+        kept = np.flatnonzero(short)[: max(0, ROOM - len(self.known))]  # as many as there is room for stay
+        stay, known = pa.array(kept), pa.concat_arrays([self.known, fresh.take(pa.array(order[kept]))])
+        all_groups, all_links = pa.concat_arrays([self.groups, groups]), pa.concat_arrays([self.links, links])
+        all_sizes = np.concatenate([self.sizes, sizes])
+        if len(kept):
+            self.groups, self.links = pa.concat_arrays([self.groups, groups.take(stay)]), pa.concat_arrays([self.links, links.take(stay)])
+            self.known, self.sizes = known, np.concatenate([self.sizes, sizes[kept]])
+        lost = all_groups.is_null().to_numpy(zero_copy_only=False)[place][codes]
+        if lost.any():  # texts with such a unit have no tokens
+            hit = np.zeros(len(lengths), bool)
+            hit[np.searchsorted(np.cumsum(lengths), np.flatnonzero(lost), side="right")] = True
+            codes, lengths = codes[~np.repeat(hit, lengths)], np.where(hit, 0, lengths)
+        bounds, where = np.concatenate([[0], np.cumsum(lengths)]), place[codes]
+        lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), all_groups.take(pa.array(where)))
+        shown = pc.binary_join(lists, pa.scalar(";", pa.large_string()))
+        picked = all_links.take(pa.array(where))
+        ends = np.frombuffer(picked.buffers()[1], np.int64)[: len(where) + 1][bounds] if len(where) else bounds
+        joined = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.astype(np.int32)), picked.buffers()[2]])
+        sums = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(all_sizes[where], 0, np.int64)])[bounds]
+        return shown, joined, np.diff(sums, axis=0)
+
+
+def _digests(column: pa.Array) -> list[str]:
+    """The sha256 of each text where it lies; empty ones for empty texts."""
+    ends, raw = np.frombuffer(column.buffers()[1], np.int64)[column.offset :][: len(column) + 1].tolist(), memoryview(column.buffers()[2] or b"")
+    return [hashlib.sha256(raw[a:b]).hexdigest() if b > a else "" for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def _pair(path_a: str, path_b: str) -> Pair:
@@ -183,16 +220,12 @@ def _pair(path_a: str, path_b: str) -> Pair:
 
 def _align(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, digest: bool) -> Iterator[pa.RecordBatch]:
     pair = _pair(path_a, path_b)
-    for batch in text_slices(batches, "text", ENCODED):
-        found = [v or ("", b"", 0, 0) for v in pair.align(batch.column("text").to_pylist())]
-        groups, links, n_a, n_b = zip(*found, strict=True)
-        sizes = [len(x) // 8 for x in links]
-        if digest:
-            shown = pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups])
-        else:
-            shown = pa.array(groups, pa.large_string()).cast(pa.string())
+    for batch in text_slices(batches, "text"):
+        groups, links, n = pair.align(batch.column("text"))
+        shown = pa.array(_digests(groups), pa.string()) if digest else groups.cast(pa.string())
+        sizes = np.diff(_links(links)[1])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(sizes, pa.int64()), shown, pa.array(links, pa.binary())],
+            [batch.column("id"), pa.array(n[:, 0]), pa.array(n[:, 1]), pa.array(sizes), shown, links],
             names=["id", "n_a", "n_b", "n_groups", "groups", "links"],
         )
 
@@ -237,6 +270,7 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the links of a task; at most `HELD` distinct ones and those of one step are held."""
+    give_up()
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def counts() -> pa.RecordBatch:
@@ -269,6 +303,7 @@ def link_counts(rows: DataFrame) -> DataFrame:
 
 
 def _judge(batches: Iterator[pa.RecordBatch], links: np.ndarray, counts: np.ndarray, best: np.ndarray) -> Iterator[pa.RecordBatch]:
+    give_up()
     for whole in batches:
         names = [c for c in whole.schema.names if c != "links"]
         for at in range(0, whole.num_rows, STEP):

@@ -27,7 +27,6 @@ _EDGED = rf"^\x00?{_SPACE}|{_SPACE}$|^\x00?$"
 _EMPTY, _FIRST = pa.scalar("", pa.large_string()), pa.scalar("\0", pa.large_string())
 #: texts of one slice of a batch, in characters; the encoders take larger ones, where units repeat more often
 SLICE = 1_000_000
-ENCODED = 2_000_000
 BULK = 4_000_000
 #: units that a worker remembers (about 100 bytes each, with their ids), and the longest of them in characters
 ROOM = 1_000_000

@@ -1,11 +1,13 @@
 """What a Python worker holds besides its results."""
 
+import gc
 import tracemalloc
 
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from tagsight.llm import crosstok
 from tagsight.llm.tokens import Encoder
 from tagsight.plans.lineage import BATCH, BATCH_CONF, durable
 
@@ -31,3 +33,21 @@ def test_stored_stages_hand_rows_to_python_in_small_batches(spark):
     got = durable(rows.mapInArrow(sizes, "n long, size long")).agg(F.sum("n").alias("n"), F.max("size").alias("size")).first()
     assert got["n"] == 3000 and got["size"] < BATCH + 100_000  # 30 MB at once before
     assert spark.conf.get(BATCH_CONF, None) is None
+
+
+def test_aligned_units_are_held_as_columns_and_only_while_texts_are_aligned():
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    units = [f"{x}{y}{i}{z}" for x in ("pre", "un", "Re") for y in "klmnopqrst" for z in ("ing", "ed") for i in range(500)]
+    batch = pa.record_batch({"id": pa.array([0]), "text": pa.array([" ".join(units)])})
+    crosstok._ENCODERS.clear()
+    crosstok._pair(a, b)
+    gc.collect()
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    assert sum(x.num_rows for x in crosstok._align(iter([batch]), a, b, True)) == 1
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 200 * len(units)  # 322 bytes a unit as Python objects
+    list(crosstok._pairs(iter([])))  # a task that only counts links
+    assert (a, b) not in crosstok._ENCODERS
