@@ -91,38 +91,52 @@ def prior_stats(docs: DataFrame, priors: DataFrame, *, id_col: str = "sample_id"
 
     The ``COMMON`` likeliest tokens go to every task, where a text's occurrences of them fold into one row of sums before
     anything is shuffled. Of the others, repeated tokens of a text are counted before the join, in which the rows of sums
-    take no part: they are dealt by text.
+    take no part: they are dealt by text. Squared deviations are summed around the mean of the common and of the other
+    tokens, so that equal priors deviate by 0 however many there are.
     """
     toks = docs.select(id_col, F.explode(F.split(text, r"\s+")).alias("token")).filter("token <> ''")
     common = priors.orderBy(F.desc("prior"), "token").limit(COMMON).select("token", F.col("prior").alias("common"))
     found = (
         toks.join(F.broadcast(common), "token", "left")
         .groupBy(id_col, F.when(F.col("common").isNull(), F.col("token")).alias("token"))
-        .agg(F.count(F.lit(1)).alias("k"), F.sum("common").alias("s1"), F.sum(F.col("common") * F.col("common")).alias("s2"))
+        .agg(F.count(F.lit(1)).alias("k"), F.sum("common").alias("s1"), F.var_pop("common").alias("v"))
         .withColumn("seat", F.when(F.col("token").isNotNull(), F.lit(0).cast("bigint")).otherwise(1 + F.pmod(F.xxhash64(id_col), F.lit(1 << 20))))
         .withColumn("token", F.coalesce("token", F.lit("")))
     )
     others = priors.select("token", "prior", F.lit(0).cast("bigint").alias("seat"))
-    p = F.coalesce("prior", F.lit(0.0))
-    per = (
+    p, rare = F.coalesce("prior", F.lit(0.0)), F.col("s1").isNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    parts = (
         found.join(others, ["token", "seat"], "left")
-        .withColumn("s1", F.coalesce("s1", F.col("k") * p))
-        .withColumn("s2", F.coalesce("s2", F.col("k") * p * p))
         .groupBy(id_col)
         .agg(
             F.sum("k").alias("token_count"),
-            (F.sum("s1") / F.sum("k")).alias("prior_mu"),
-            (F.sum("s2") / F.sum("k")).alias("_m2"),
+            F.coalesce(F.sum(F.when(rare, F.col("k"))), F.lit(0)).alias("_k"),
+            total("s1").alias("_c1"),
+            total(F.col("k") * F.col("v")).alias("_c2"),
+            total(F.when(rare, F.col("k") * p)).alias("_r1"),
+            total(F.when(rare, F.col("k") * p * p)).alias("_r2"),
         )
-        .withColumn("prior_sigma", F.sqrt(F.greatest(F.lit(0.0), F.col("_m2") - F.col("prior_mu") ** 2)))
-        .drop("_m2")
+    )
+    n, k = F.col("token_count"), F.col("_k")
+    own = F.when(k > 0, F.greatest(F.lit(0.0), F.col("_r2") - F.col("_r1") * F.col("_r1") / k)).otherwise(0.0)
+    gap = F.when((k > 0) & (k < n), F.col("_c1") / (n - k) - F.col("_r1") / k).otherwise(0.0)
+    per = parts.select(
+        id_col,
+        "token_count",
+        ((F.col("_c1") + F.col("_r1")) / n).alias("prior_mu"),
+        F.sqrt((F.col("_c2") + own + gap * gap * k * ((n - k) / n)) / n).alias("prior_sigma"),
     )
     return docs.select(id_col).join(per, id_col, "left").fillna(0)
 
 
-def prior_score(docs: DataFrame, priors: DataFrame, *, id_col: str = "sample_id", text: str = "text") -> DataFrame:
-    """Norm of the robust scores of mean and deviation of the token priors, with its quintile."""
-    stats = durable(prior_stats(docs, priors, id_col=id_col, text=text))  # read by three passes
+def prior_score(docs: DataFrame, priors: DataFrame, *, id_col: str = "sample_id", text: str = "text", keep_empty: bool = True) -> DataFrame:
+    """Norm of the robust scores of mean and deviation of the token priors, with its quintile.
+
+    Texts without tokens count as 0 in both, or have no part (``keep_empty`` false).
+    """
+    stats = prior_stats(docs, priors, id_col=id_col, text=text)
+    stats = durable(stats if keep_empty else stats.filter("token_count > 0"))  # read by three passes
     z = robust_z(stats, ["prior_mu", "prior_sigma"])
     scored = z.withColumn("prior_score", F.sqrt(F.col("prior_mu_z") ** 2 + F.col("prior_sigma_z") ** 2))
     return quintiles(scored, by=[], score="prior_score", id_col=id_col)
