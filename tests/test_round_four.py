@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from catalog.check import compare
 from tagsight.operators import ranking as R
+from tagsight.operators import textmodels as T
 
 
 def tables(path, **kept):
@@ -41,3 +42,43 @@ def test_equal_priors_deviate_by_nothing(spark, monkeypatch, common):
         p = [prior.get(w, 0.0) for w in texts[int(r["sample_id"])].split()]
         assert r["token_count"] == len(p) and r["prior_mu"] == pytest.approx(np.mean(p), abs=1e-12)
         assert r["prior_sigma"] == pytest.approx(np.std(p), abs=1e-12 if common > 1 or len(set(p)) > 1 else 1e-7)
+
+
+def test_blocks_are_cut_by_terms_and_read_one_at_a_time(spark, monkeypatch):
+    """What a task holds of stored blocks does not grow with the texts: a block has few terms, a row group few blocks."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(T, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(T, "BLOCK_TERMS", 40)
+    monkeypatch.setattr(T, "BLOCK_FILES", {**T.BLOCK_FILES, "parquet.block.size": "64"})
+    texts = [" ".join(f"w{i * j % 97}" for j in range(1, 3 + i % 9)) for i in range(120)] + [" ".join(f"v{j}" for j in range(60))]
+    df = spark.createDataFrame([(str(i), "ab"[i % 2], t) for i, t in enumerate(texts)], "sample_id string, true_label string, text string")
+    blocks = T.blocks_of(df, 1 << 12, label="true_label")
+    sizes = [(len(b["y"]), len(b["places"])) for r in blocks.table.collect() for b in [T._opened(r.asDict())]]
+    assert sum(n for n, _ in sizes) == 121 and all(terms <= 40 or n == 1 for n, terms in sizes) and any(n > 1 for n, _ in sizes)
+    for path in blocks.table.inputFiles():
+        meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+        assert all(meta.row_group(i).num_rows == 1 for i in range(meta.num_row_groups))
+    seen = T.smooth_idf(blocks.total, 1 << 12, 0)
+    df_of = np.zeros(1 << 12)
+    for t in texts:
+        df_of[T.hashed_text(t, 1 << 12)[0]] += 1
+    assert np.allclose(seen[0], np.log(122 / (1 + df_of)) + 1, atol=1e-6)
+
+
+def test_slopes_by_place_are_plain_sums(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(30)], n)) for n in (0, 1, 2, 40, 400, 70_000)]
+    ends, places, counts = T.hashed_rows(texts, 64)
+    b = {"y": np.zeros(len(texts), "<i4"), "ends": ends, "places": places, "counts": T._packed(counts)}
+    ready = T._ready(b, np.ones((1, 64)))
+    stored = T._opened({c: np.ascontiguousarray(ready[c]).tobytes() for c in T._KINDS if c in ready})
+    assert stored["counts"].dtype == "<u2" and np.array_equal(stored["counts"], counts)
+    slopes = rng.normal(size=(len(texts), 3)).astype("f4")
+    want = np.zeros((64, 3))
+    np.add.at(want, places, slopes[np.repeat(np.arange(len(texts)), np.diff(ends))] * counts[:, None])
+    got = np.zeros((64, 3))
+    got[stored["used"]] = T._backward(stored, slopes)
+    assert np.allclose(got, want, rtol=1e-5, atol=1e-3)
+    big = T._packed(np.array([1, 1 << 16], np.float32))
+    assert big.dtype == "<f4" and list(T._opened({"places": bytes(8), "counts": big.tobytes()})["counts"]) == [1, 65536]
