@@ -59,6 +59,8 @@ def test_blocks_are_cut_by_terms_and_read_one_at_a_time(spark, monkeypatch):
     for path in blocks.table.inputFiles():
         meta = pq.ParquetFile(path.removeprefix("file://")).metadata
         assert all(meta.row_group(i).num_rows == 1 for i in range(meta.num_row_groups))
+        # a writer would hold the values themselves as each group's least and largest until its file ends
+        assert all(meta.row_group(i).column(c).statistics is None for i in range(meta.num_row_groups) for c in range(5))
     seen = T.smooth_idf(blocks.total, 1 << 12, 0)
     df_of = np.zeros(1 << 12)
     for t in texts:
