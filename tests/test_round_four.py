@@ -84,3 +84,35 @@ def test_slopes_by_place_are_plain_sums(spark):
     assert np.allclose(got, want, rtol=1e-5, atol=1e-3)
     big = T._packed(np.array([1, 1 << 16], np.float32))
     assert big.dtype == "<f4" and list(T._opened({"places": bytes(8), "counts": big.tobytes()})["counts"]) == [1, 65536]
+
+
+def test_boosting_sums_one_child_of_every_node(spark, monkeypatch):
+    """The child with fewer rows is summed, the other one is what it leaves; the root's rows are counted once."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(12)]
+    data = [(str(i), "abc"[i % 3], " ".join(rng.choice(words[i % 3 : i % 3 + 8], 6))) for i in range(90)]
+    df = spark.createDataFrame(data, "sample_id string, true_label string, text string").repartition(3)
+    one = T.fit_boost(T.blocks_of(df, 64, label="true_label"), rounds=3, least_rows=3)
+    shapes, total = [], T.Blocks.total
+
+    def seen(self, part, shape):
+        shapes.append(shape)
+        return total(self, part, shape)
+
+    monkeypatch.setattr(T, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(T.Blocks, "total", seen)
+    many = T.fit_boost(T.blocks_of(df, 64, label="true_label"), rounds=3, least_rows=3)
+    assert [s[:3] for s in shapes if len(s) == 5] == [(3, 3, 1), (3, 3, 1), (3, 3, 2)] + 2 * [(2, 3, 1), (3, 3, 1), (3, 3, 2)]
+    split = one.feature >= 0
+    assert np.array_equal(one.feature, many.feature) and np.array_equal(one.cut[split], many.cut[split]) and np.abs(one.leaf - many.leaf).max() < 1e-5
+
+
+def test_stored_codes_give_the_bins_that_the_trees_ask_for():
+    feature = np.full((2, 1, 7), -1)
+    feature[1, 0, :2] = 3, 1
+    model = T.BoostModel(["a"], 4, None, None, np.zeros(1), 3, feature, np.zeros((2, 1, 7), np.int64), np.zeros((2, 1, 8)))
+    stored = {"y": [0, 0], "ends": [0, 2, 3], "codes": [1 * 8 + 5, 2 * 8 + 1, 3 * 8 + 7], "z": [0.0, 0.0], "round": [1]}
+    kinds = {**T._BOOST, "codes": "<u2"}
+    b = T._opened({c: np.asarray(x, kinds[c]).tobytes() for c, x in stored.items()})
+    trees = T._binned(b, model, 1)
+    assert b["codes"].dtype == "<u2" and b["bins"].tolist() == [[5, 0], [0, 7]] and trees.feature[1, 0].tolist() == [1, 0, -1, -1, -1, -1, -1]
