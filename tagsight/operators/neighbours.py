@@ -29,6 +29,8 @@ SLICE_ROWS = 256
 SLICE_CELLS = 1 << 20
 VISITS = 4096
 MAX_PIVOTS = 1024
+#: cells of large inputs meet in groups of up to so many blocks, whose vectors take so many bytes in single precision at most
+WIDE, BLOCK_BYTES = 4, 24 << 20
 PRUNE_PAIRS = 10**11
 SLACK = 1e-6
 DIGITS = 12
@@ -63,29 +65,33 @@ def _kernel(k: int, mode: str, id_type: pa.DataType):
         p_id = right.column("p_id").to_numpy()
         by_id = np.argsort(p_id, kind="stable")  # ties go to the smaller id
         p_id = p_id[by_id]
-        p_label = right.column("p_label").to_numpy()[by_id]
         pool = _matrix(right, "p_vec")[by_id].T
-        q_id, q_label = left.column("q_id").to_numpy(), left.column("q_label").to_numpy()
+        q_id = left.column("q_id").to_numpy()
+        # labels as numbers (NULL: -1): comparing strings takes longer than the product
+        labels = pa.concat_arrays([*left.column("q_label").chunks, *right.column("p_label").chunks]).dictionary_encode()
+        number = pc.fill_null(labels.indices, -1).to_numpy()
+        q_label, p_label = number[: len(q_id)], number[len(q_id) :][by_id]
         queries, kk = _matrix(left, "q_vec"), min(k, len(p_id))
         found = []
         step = _slice_rows(len(p_id))
         for at in range(0, len(q_id), step):
             part = slice(at, at + step)
-            sims = np.round(queries[part] @ pool, DIGITS)
+            sims = queries[part] @ pool
             if mode == "other_label":
                 sims[q_label[part, None] == p_label[None, :]] = -np.inf
             elif mode == "same_label":
                 sims[q_label[part, None] != p_label[None, :]] = -np.inf
             elif mode == "other_row":
                 sims[q_id[part, None] == p_id[None, :]] = -np.inf
-            # everything at least as good as the k-th value, then cut at k in (score, id) order
-            kth = -np.partition(-sims, kk - 1, axis=1)[:, kk - 1 : kk]
-            rows, cols = np.nonzero((sims >= kth) & np.isfinite(sims))
-            order = np.lexsort((cols, -sims[rows, cols], rows))
-            rows, cols = rows[order], cols[order]
+            # everything that can be rounded to the k-th value or more, then cut at k in (rounded score, id) order
+            kth = sims.max(axis=1, keepdims=True) if kk == 1 else np.partition(sims, len(p_id) - kk, axis=1)[:, len(p_id) - kk, None]
+            rows, cols = np.nonzero(sims >= np.maximum(kth, -2.0) - 10.0 ** (1 - DIGITS))  # -inf: less than k rows
+            score = np.round(sims[rows, cols], DIGITS)
+            order = np.lexsort((cols, -score, rows))
+            rows, cols, score = rows[order], cols[order], score[order]
             keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < kk
             rows, cols = rows[keep], cols[keep]
-            found.append((q_id[part][rows], p_id[cols], sims[rows, cols]))
+            found.append((q_id[part][rows], p_id[cols], score[keep]))
         q, p, s = (np.concatenate(x) for x in zip(*found))
         return pa.table({"q_id": q, "p_id": p, "score": s}).cast(schema)
 
@@ -190,14 +196,35 @@ def _with_cell(df: DataFrame, vec: str, pivots: np.ndarray) -> DataFrame:
     return df.mapInArrow(assign, f"{kinds}, cell int, dist double")
 
 
-def _open_cells(df: DataFrame, pivots: np.ndarray, radius: dict[int, float], later: bool = False) -> DataFrame:
+def _grouped(sizes: dict[int, int], pivots: np.ndarray, rows: int) -> dict[int, int]:
+    """Cells to groups of about ``rows`` rows of the pool: each cell is followed by the nearest one that is left, and the row of cells is cut."""
+    left, groups, held = dict(sizes), {}, 0
+    cell, group = next(iter(sorted(left))), 0
+    while True:
+        if held and held + left[cell] > rows:
+            group, held = group + 1, 0
+        groups[cell] = group
+        held += left.pop(cell)
+        if not left:
+            return groups
+        others = np.array(sorted(left))
+        cell = int(others[(pivots[others] @ pivots[cell]).argmax()])
+
+
+def _open_cells(df: DataFrame, pivots: np.ndarray, radius: dict[int, float], later: bool = False, groups: dict[int, int] | None = None) -> DataFrame:
     """Other cells (``later``: of a higher number) that can hold a row within the query's limit.
 
     By the triangle inequality no row of a cell is nearer than the distance to its
-    pivot minus the cell's radius.
+    pivot minus the cell's radius. With ``groups`` a query visits its own group and those (``later``: of a higher number)
+    that hold such a cell: one copy of its vector for each group, however many cells that has.
     """
-    cells = np.array(sorted(radius), dtype=np.int32)
+    cells = np.array(sorted(radius, key=lambda c: (groups[c] if groups else 0, c)), dtype=np.int32)
     reach = np.array([radius[c] for c in cells])
+    group = np.array([groups[c] for c in cells], dtype=np.int32) if groups else None
+    group_of = np.full(len(pivots), -1, np.int32)  # a cell without rows of the pool has none
+    if groups:
+        group_of[cells] = group
+        numbers, starts = np.unique(group, return_index=True)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _sliced(batches, len(cells)):  # a row may visit every cell
@@ -206,18 +233,40 @@ def _open_cells(df: DataFrame, pivots: np.ndarray, radius: dict[int, float], lat
                 continue
             away = np.sqrt(np.maximum(0.0, 2 - 2 * (_matrix(t, "q_vec") @ pivots[cells].T)))
             open_ = away - reach[None, :] <= t.column("limit").to_numpy()[:, None] + SLACK
-            own = t.column("cell").to_numpy()[:, None]
-            open_ &= own < cells[None, :] if later else own != cells[None, :]
+            own, names = t.column("cell").to_numpy()[:, None], cells
+            if groups:
+                own, names = group_of[own], numbers
+                open_ = np.logical_or.reduceat(open_, starts, axis=1)
+                open_ |= own == names[None, :]
+                open_ &= own <= names[None, :] if later else True
+            else:
+                open_ &= own < cells[None, :] if later else own != cells[None, :]
             rows, cols = np.nonzero(open_)
             asked = t.select(["q_id", "q_vec", "q_label"])
             for at in range(0, len(rows), VISITS):
                 out = asked.take(pa.array(rows[at : at + VISITS]))
-                yield from out.append_column("cell", pa.array(cells[cols[at : at + VISITS]])).combine_chunks().to_batches()
+                yield from out.append_column("cell", pa.array(names[cols[at : at + VISITS]])).combine_chunks().to_batches()
 
     kinds = ", ".join(f"{c} {t}" for c, t in df.dtypes if c in ("q_id", "q_vec", "q_label"))
     return df.select("q_id", "q_vec", "q_label", "cell", "limit").mapInArrow(keep, f"{kinds}, cell int")
 
 
+def _cells_of(placed: DataFrame) -> tuple[dict[int, float], dict[int, int]]:
+    """Radius and number of rows of every cell."""
+    found = placed.groupBy("cell").agg(F.max("dist").alias("r"), F.count(F.lit(1)).alias("n")).collect()
+    return {r["cell"]: r["r"] for r in found}, {r["cell"]: r["n"] for r in found}
+
+
+def _with_group(pool: DataFrame, groups: dict[int, int]) -> DataFrame:
+    """The pool with its rows' groups for cells."""
+    named = small_table(pool.sparkSession, groups.items(), "cell int, _group int")
+    return pool.join(named, "cell").drop("cell").withColumnRenamed("_group", "cell")
+
+
+def _wide(block_rows: int, dims: int) -> int:
+    return max(block_rows, min(WIDE * block_rows, BLOCK_BYTES // (4 * dims)))
+
+
 def _whole(df: DataFrame, vec: str) -> DataFrame:
     return df.filter(F.col(vec).isNotNull() & (F.size(vec) > 0) & ~F.exists(vec, lambda x: x.isNull()))
 
@@ -269,14 +318,14 @@ def topk_cosine(
     some = md5_head(p.select("p_id", "p_vec"), min(MAX_PIVOTS, max(2, math.isqrt(n_pool))), seed="pivots", id_col="p_id")
     pivots = _matrix(some.select("p_vec").toArrow(), "p_vec")  # at most MAX_PIVOTS vectors
     q, p = durable(_with_cell(q, "q_vec", pivots)), durable(_with_cell(p, "p_vec", pivots))
-    radius = {r["cell"]: r["r"] for r in p.groupBy("cell").agg(F.max("dist").alias("r")).collect()}
-    near = durable(_best(_blocked(q.drop("dist"), p, k, mode, kind, block_rows), k))
+    radius, sizes = _cells_of(p)
+    near = _best(_blocked(q.drop("dist"), p, k, mode, kind, block_rows), k)
     kth = near.groupBy("q_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("s"))
     limit = F.when(F.col("n") == k, F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("s")))).otherwise(2.0)
-    bounded = q.join(kth, "q_id", "left").withColumn("limit", limit)
-    visits = durable(_open_cells(bounded, pivots, radius))
-    far = _blocked(visits, p, k, mode, kind, block_rows)
-    return _best(near.drop("place").unionByName(far), k)
+    bounded = durable(q.join(kth, "q_id", "left").withColumn("limit", limit).drop("dist", "n", "s"))
+    rows = _wide(block_rows, pivots.shape[1])
+    groups = _grouped(sizes, pivots, rows)
+    return _best(_blocked(_open_cells(bounded, pivots, radius, groups=groups), _with_group(p, groups), k, mode, kind, rows), k)
 
 
 def threshold_links(
@@ -299,10 +348,12 @@ def threshold_links(
         some = md5_head(rows.select("q_id", "q_vec"), min(MAX_PIVOTS, max(2, math.isqrt(n))), seed="pivots", id_col="q_id")
         pivots = _matrix(some.select("q_vec").toArrow(), "q_vec")  # at most MAX_PIVOTS vectors
         placed = durable(_with_cell(rows, "q_vec", pivots))
-        radius = {r["cell"]: r["r"] for r in placed.groupBy("cell").agg(F.max("dist").alias("r")).collect()}
+        radius, sizes = _cells_of(placed)
+        block_rows = _wide(block_rows, pivots.shape[1])
+        groups = _grouped(sizes, pivots, block_rows)
         reach = F.lit(math.sqrt(max(0.0, 2 - 2 * threshold)))
-        rows = placed.drop("dist")
-        visits = durable(rows.unionByName(_open_cells(rows.withColumn("limit", reach), pivots, radius, later=True)))
+        visits = _open_cells(placed.withColumn("limit", reach), pivots, radius, later=True, groups=groups)
+        rows = _with_group(placed.drop("dist"), groups)
     else:
         rows = visits = rows.withColumn("cell", F.lit(0))
     pool = rows.select(*[F.col(c).alias(c.replace("q_", "p_")) for c in ("q_id", "q_vec", "q_label", "cell")])

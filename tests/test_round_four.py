@@ -4,6 +4,7 @@ import catalog
 import numpy as np
 import pytest
 from catalog.check import compare
+from tagsight.operators import neighbours as K
 from tagsight.operators import ranking as R
 from tagsight.operators import textmodels as T
 
@@ -116,3 +117,41 @@ def test_stored_codes_give_the_bins_that_the_trees_ask_for():
     b = T._opened({c: np.asarray(x, kinds[c]).tobytes() for c, x in stored.items()})
     trees = T._binned(b, model, 1)
     assert b["codes"].dtype == "<u2" and b["bins"].tolist() == [[5, 0], [0, 7]] and trees.feature[1, 0].tolist() == [1, 0, -1, -1, -1, -1, -1]
+
+
+def test_a_query_is_copied_once_for_a_group_of_cells(spark, monkeypatch):
+    """Vectors in no order leave nearly all cells open; what is moved is a copy for every group of blocks, not for every cell."""
+    rng = np.random.default_rng(7)
+    vecs = rng.normal(size=(400, 8))
+    data = [(i, "abc"[i % 3], [float(x) for x in vecs[i]]) for i in range(400)]
+    df = spark.createDataFrame(data, "sample_id bigint, true_label string, embedding array<float>")
+    visits, blocked = [], K._blocked
+
+    def seen(asked, *args, **kw):
+        visits.append(asked.count())
+        return blocked(asked, *args, **kw)
+
+    def answer(**kw):
+        out = K.topk_cosine(df, df, k=1, query_id="sample_id", pool_id="sample_id", query_vec="embedding", pool_vec="embedding",
+                            query_label="true_label", pool_label="true_label", mode="other_label", **kw)
+        return sorted(tuple(r) for r in out.select("q_id", "p_id", "score").collect())
+
+    plain = answer(prune=False)
+    links = K.threshold_links(df, threshold=0.9, prune=False).count()
+    monkeypatch.setattr(K, "_blocked", seen)
+    assert answer(prune=True, block_rows=50) == plain and len(plain) == 400
+    assert max(visits) <= 400 * 4  # groups of about 200 rows
+    visits.clear()
+    assert (K.threshold_links(df, threshold=0.9, prune=True, block_rows=50).count() > 0) == (links > 0)
+    assert max(visits) <= 400 * 4
+
+
+def test_null_labels_and_few_rows_in_the_kernel(spark):
+    data = [(0, None, [1.0, 0.0]), (1, "None", [1.0, 0.1]), (2, None, [1.0, 0.2]), (3, "x", [0.0, 1.0])]
+    df = spark.createDataFrame(data, "sample_id bigint, true_label string, embedding array<double>")
+    out = K.topk_cosine(df, df, k=3, query_id="sample_id", pool_id="sample_id", query_vec="embedding", pool_vec="embedding",
+                        query_label="true_label", pool_label="true_label", mode="other_label")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["q_id"], {})[r["place"]] = r["p_id"]
+    assert got == {0: {1: 1, 2: 3}, 1: {1: 2, 2: 0, 3: 3}, 2: {1: 1, 2: 3}, 3: {1: 2, 2: 1, 3: 0}}
