@@ -25,6 +25,8 @@ from ..plans.order import md5_head
 
 BLOCK_ROWS = 20_000
 SLICE_ROWS = 256
+#: rows of the pool that a slice of queries is multiplied with at once: both stay in the cache
+TILE_ROWS = 2048
 #: cosines that a task holds at once, and visits that it hands on at once
 SLICE_CELLS = 1 << 20
 VISITS = 4096
@@ -71,27 +73,32 @@ def _kernel(k: int, mode: str, id_type: pa.DataType):
         labels = pa.concat_arrays([*left.column("q_label").chunks, *right.column("p_label").chunks]).dictionary_encode()
         number = pc.fill_null(labels.indices, -1).to_numpy()
         q_label, p_label = number[: len(q_id)], number[len(q_id) :][by_id]
-        queries, kk = _matrix(left, "q_vec"), min(k, len(p_id))
+        queries = _matrix(left, "q_vec")
         found = []
-        step = _slice_rows(len(p_id))
-        for at in range(0, len(q_id), step):
-            part = slice(at, at + step)
-            sims = queries[part] @ pool
-            if mode == "other_label":
-                sims[q_label[part, None] == p_label[None, :]] = -np.inf
-            elif mode == "same_label":
-                sims[q_label[part, None] != p_label[None, :]] = -np.inf
-            elif mode == "other_row":
-                sims[q_id[part, None] == p_id[None, :]] = -np.inf
-            # everything that can be rounded to the k-th value or more, then cut at k in (rounded score, id) order
-            kth = sims.max(axis=1, keepdims=True) if kk == 1 else np.partition(sims, len(p_id) - kk, axis=1)[:, len(p_id) - kk, None]
-            rows, cols = np.nonzero(sims >= np.maximum(kth, -2.0) - 10.0 ** (1 - DIGITS))  # -inf: less than k rows
-            score = np.round(sims[rows, cols], DIGITS)
+        for at in range(0, len(q_id), SLICE_ROWS):
+            part = slice(at, at + SLICE_ROWS)
+            best = []
+            for first in range(0, len(p_id), TILE_ROWS):
+                tile = slice(first, first + TILE_ROWS)
+                sims = queries[part] @ pool[:, tile]
+                if mode == "other_label":
+                    np.copyto(sims, -np.inf, where=q_label[part, None] == p_label[None, tile])
+                elif mode == "same_label":
+                    np.copyto(sims, -np.inf, where=q_label[part, None] != p_label[None, tile])
+                elif mode == "other_row":
+                    np.copyto(sims, -np.inf, where=q_id[part, None] == p_id[None, tile])
+                # everything that can be rounded to the k-th value of the tile or more
+                width = sims.shape[1]
+                kk = min(k, width)
+                kth = sims.max(axis=1, keepdims=True) if kk == 1 else np.partition(sims, width - kk, axis=1)[:, width - kk, None]
+                rows, cols = np.nonzero(sims >= np.maximum(kth, -2.0) - 10.0 ** (1 - DIGITS))  # -inf: less than k rows
+                best.append((rows, cols + first, np.round(sims[rows, cols], DIGITS)))
+            # cut at k in (rounded score, id) order
+            rows, cols, score = (np.concatenate(x) for x in zip(*best))
             order = np.lexsort((cols, -score, rows))
             rows, cols, score = rows[order], cols[order], score[order]
-            keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < kk
-            rows, cols = rows[keep], cols[keep]
-            found.append((q_id[part][rows], p_id[cols], score[keep]))
+            keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
+            found.append((q_id[part][rows[keep]], p_id[cols[keep]], score[keep]))
         q, p, s = (np.concatenate(x) for x in zip(*found))
         return pa.table({"q_id": q, "p_id": p, "score": s}).cast(schema)
 

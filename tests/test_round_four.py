@@ -155,3 +155,21 @@ def test_null_labels_and_few_rows_in_the_kernel(spark):
     for r in out.collect():
         got.setdefault(r["q_id"], {})[r["place"]] = r["p_id"]
     assert got == {0: {1: 1, 2: 3}, 1: {1: 2, 2: 0, 3: 3}, 2: {1: 1, 2: 3}, 3: {1: 2, 2: 1, 3: 0}}
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_tiles_of_the_pool_give_the_rows_of_the_whole(spark, monkeypatch, k):
+    rng = np.random.default_rng(8)
+    vecs = rng.integers(-2, 3, (60, 3))  # many equal cosines, which go to the smaller id
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "sample_id bigint, embedding array<double>")
+    whole = sorted(tuple(r) for r in K.topk_similar(df, df, k=k, exclude_self=True).select("q_id", "p_id", "score", "place").collect())
+    monkeypatch.setattr(K, "TILE_ROWS", 7)
+    monkeypatch.setattr(K, "SLICE_ROWS", 11)
+    tiles = sorted(tuple(r) for r in K.topk_similar(df, df, k=k, exclude_self=True).select("q_id", "p_id", "score", "place").collect())
+    assert tiles == whole and len(whole) == 60 * k
+    unit = vecs / np.maximum(1e-300, np.sqrt((vecs**2).sum(1, keepdims=True)))
+    unit[~vecs.any(1)] = 0
+    sims = np.round(unit @ unit.T, 12)
+    for q, p, score, place in whole:
+        order = sorted((-sims[q, j], j) for j in range(60) if j != q)
+        assert order[place - 1][1] == p and score == pytest.approx(sims[q, p], abs=1e-12)
