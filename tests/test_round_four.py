@@ -173,3 +173,22 @@ def test_tiles_of_the_pool_give_the_rows_of_the_whole(spark, monkeypatch, k):
     for q, p, score, place in whole:
         order = sorted((-sims[q, j], j) for j in range(60) if j != q)
         assert order[place - 1][1] == p and score == pytest.approx(sims[q, p], abs=1e-12)
+
+
+def test_a_pass_leaves_no_shuffle_files(spark, monkeypatch):
+    from pathlib import Path
+
+    from pyspark import SparkFiles
+
+    monkeypatch.setattr(T, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(T, "PIECE", 16)
+    df = spark.createDataFrame([(str(i), "ab"[i % 2], f"w{i} w{i % 5}") for i in range(60)], "sample_id string, true_label string, text string").repartition(3)
+    blocks = T.blocks_of(df, 64, label="true_label")
+    held = Path(SparkFiles.getRootDirectory()).parent.parent
+    files = lambda: {f for d in held.glob("blockmgr-*") for f in d.rglob("shuffle_*.data")}
+    spark.range(100).groupBy("id").count().collect()
+    before = files()
+    assert before  # the folder is the right one
+    for _ in range(3):
+        T.smooth_idf(blocks.total, 64, 0)
+    assert not files() - before
